@@ -1,0 +1,2 @@
+"""Left empty on purpose: the monitored process is a monthly batch and has no
+streaming source, watermark or state to rebuild."""
