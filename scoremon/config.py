@@ -72,3 +72,22 @@ def where(df: DataFrame, predicate: str | None) -> DataFrame:
     if predicate is None or not predicate.strip():
         return df
     return df.filter(F.expr(predicate))
+
+
+def product_universe(
+    df: DataFrame,
+    equals: dict[str, object] | None = None,
+    excluded: dict[str, list] | None = None,
+    allowed: dict[str, list] | None = None,
+) -> DataFrame:
+    """Rows with the given values, without excluded ones, within allowed lists.
+
+    A null in an excluded column drops the row, as ``NOT IN`` does.
+    """
+    for c, v in (equals or {}).items():
+        df = df.filter(F.col(c) == v)
+    for c, values in (excluded or {}).items():
+        df = df.filter(~F.col(c).isin(*values))
+    for c, values in (allowed or {}).items():
+        df = df.filter(F.col(c).isin(*values))
+    return df

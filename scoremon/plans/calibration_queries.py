@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from scoremon.operators import calibration as cal
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
-from scoremon.plans.setup import ALL_ROWS, CFG
+from scoremon.plans.setup import ALL_ROWS, CFG, r6
 from scoremon.sources.views import scored_base
 
 
-def r6(*names: str):
-    return [F.round(n, 6).alias(n) for n in names]
-
-
 @query(
     "monthly_calibration",
     scored(

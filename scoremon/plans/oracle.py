@@ -62,7 +62,9 @@ GEO_RULES = """geo_rules AS (
 
 def base(select: str, *views: str) -> str:
     """A statement over ``app_base`` and further views."""
-    return "WITH " + ",\n".join([APP_BASE, *views]) + "\n" + select.strip()
+    text = select.strip()
+    views = ",\n".join([APP_BASE, *views])
+    return f"WITH {views}\n{text}"
 
 
 def scored(select: str, *views: str) -> str:
