@@ -49,7 +49,7 @@ def table_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     rows = ", ".join(f"'{c}', nulls_{i}, min_{i}, max_{i}" for i, c in enumerate(columns))
     return df.agg(*aggs).select(
         "n", F.lit(len(df.columns)).alias("n_columns"),
-        F.expr(f"stack({len(columns)}, {rows}) AS (column, nulls, min, max)"),
+        F.expr(f"stack({len(columns)}, {rows}) AS (column_name, nulls, min, max)"),
     )
 
 
@@ -125,7 +125,7 @@ def table_diff(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
     per_key = side(left, "L").unionByName(side(right, "R")).groupBy(*key).agg(*aggs)
     both = F.col("in_l") & F.col("in_r")
     totals = per_key.agg(
-        F.count_if(both).alias("both"),
+        F.count_if(both).alias("matched"),
         F.count_if(F.col("in_l") & ~F.col("in_r")).alias("left_only"),
         F.count_if(F.col("in_r") & ~F.col("in_l")).alias("right_only"),
         *[
@@ -138,6 +138,6 @@ def table_diff(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
     if not rows:
         rows = ["CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS BIGINT)"]
     return totals.select(
-        F.expr(f"stack({len(rows)}, {', '.join(rows)}) AS (column, present, mismatches)"),
-        "both", "left_only", "right_only",
+        F.expr(f"stack({len(rows)}, {', '.join(rows)}) AS (column_name, present, mismatches)"),
+        "matched", "left_only", "right_only",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scoremon.plans import calibration_queries, column_queries  # noqa: F401
+from scoremon.plans import calibration_queries, column_queries, table_queries  # noqa: F401
 from scoremon.plans.registry import ORACLES, QUERIES, Query
 
 
