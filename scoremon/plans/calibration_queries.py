@@ -1,15 +1,76 @@
-"""Registered queries: calibration and projection."""
+"""Registered queries: calibration, projection, cohort factors and bands."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scoremon.operators import bands
 from scoremon.operators import calibration as cal
+from scoremon.operators import cohorts
+from scoremon.operators import projection as pj
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
-from scoremon.plans.setup import ALL_ROWS, CFG, r6
+from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r4, r6, with_drivers
 from scoremon.sources.views import scored_base
 
+UNIVERSE = "def_at_origin = 0 AND xb IS NOT NULL"
+HORIZONS = (3, 12, 16, 17, 18, 19, 20, 21, 22, 23, 24)
+# Newest closed cohort 199908 has month index 23995.
+CLOSED = 23995
+# Open cohort (months after the closed one) -> usable horizon.
+OPEN = ((1, 23), (2, 22), (3, 22), (4, 21), (5, 20), (6, 19))
+
+
+# -- oracle pieces -----------------------------------------------------------
+
+
+def sums_sql(name: str, source: str, predicate: str, by: str = "") -> str:
+    keys = f"{by}, codmes, month_idx" if by else "codmes, month_idx"
+    d = ",\n ".join(
+        f"CAST(sum(CASE WHEN dist_def<={k} THEN 1 ELSE 0 END) AS DOUBLE) AS d{k}_n, "
+        f"CAST(sum(CASE WHEN dist_def<={k} THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS d{k}_m"
+        for k in HORIZONS
+    )
+    return f"""{name} AS (SELECT {keys}, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS m,
+ sum(pd) AS pd_n, sum(pd*amount) AS pd_m, {d}
+ FROM {source} WHERE {predicate} GROUP BY {keys})"""
+
+
+def projection_sql(name: str, sums: str, view: str, method: str = "met1", by: str = "") -> str:
+    """Long-form growth history, then one row per open cohort."""
+    key = f"{by}, " if by else ""
+    history = " UNION ALL ".join(
+        f"SELECT {key}{h} AS h, month_idx, d24_{view}/nullif(d{h}_{view}, 0) AS r FROM {sums} "
+        f"WHERE month_idx BETWEEN {CLOSED - 13} AND {CLOSED}"
+        for h in sorted({h for _, h in OPEN})
+    )
+    usable = "CASE " + " ".join(
+        f"WHEN s.month_idx = {CLOSED + j} THEN d{h}_{view}" for j, h in OPEN
+    ) + f" END / nullif({view}, 0)"
+    pick_h = "CASE " + " ".join(f"WHEN s.month_idx = {CLOSED + j} THEN {h}" for j, h in OPEN) + " END"
+    factor = {
+        "met1": "g.q75",
+        "met2": "(g.q75 + g.q50)/2",
+        "met3": "g.icept + g.slope*s.month_idx",
+    }[method]
+    same = f" AND g.{by} = s.{by}" if by else ""
+    group = f"GROUP BY {key}h"
+    return f"""{name} AS (SELECT s.*, {usable} AS rd_usable, {factor} AS factor, ({usable})*({factor}) AS rd_proj
+ FROM {sums} s LEFT JOIN (SELECT {key}h, quantile_cont(r, 0.75) AS q75, quantile_cont(r, 0.5) AS q50,
+   regr_slope(r, month_idx) AS slope, regr_intercept(r, month_idx) AS icept FROM ({history}) {group}) g
+ ON g.h = {pick_h}{same})"""
+
+
+def open_only(name: str) -> str:
+    return f"FROM {name} WHERE month_idx BETWEEN {CLOSED + 1} AND {CLOSED + 6}"
+
+
+SUMS = sums_sql("sums", "scored", UNIVERSE)
+SEG_SUMS = sums_sql("seg_sums", "scored", UNIVERSE, "segment")
+
+
+# -- validation cube ---------------------------------------------------------
+
 
 @query(
     "monthly_calibration",
@@ -30,3 +91,374 @@ def monthly_calibration(spark, sf_dir):
     return cal.monthly_calibration(base, ALL_ROWS).select(
         "codmes", "n", "amount_mm", *r6("pd_mean", "rd24", "rd18"), "def24"
     )
+
+
+# -- calibration over time ---------------------------------------------------
+
+
+def _evol_sql(view: str) -> str:
+    return f"""
+SELECT codmes, n, m AS amount, round(pd_{view}/{view}, 6) AS pd,
+ round(CASE WHEN month_idx <= {CLOSED} THEN d24_{view}/{view} END, 6) AS rd24,
+ round(CASE WHEN month_idx <= {CLOSED + 3} THEN d21_{view}/{view} END, 6) AS rd21,
+ round(CASE WHEN month_idx <= {CLOSED + 12} THEN d12_{view}/{view} END, 6) AS rd12,
+ round(CASE WHEN month_idx <= {CLOSED + 21} THEN d3_{view}/{view} END, 6) AS early3,
+ round(factor, 6) AS factor, round(rd_proj, 6) AS rd_proj
+FROM proj
+"""
+
+
+def _evol(spark, sf_dir, view):
+    out = cal.evol_calibration(scored_base(spark, sf_dir), CFG, view, use="codmes >= 199601")
+    return out.select(
+        "codmes", "n", "amount", *r6("pd", "rd24", "rd21", "rd12", "early3", "factor", "rd_proj")
+    )
+
+
+RECENT_SUMS = sums_sql("sums", "scored", UNIVERSE + " AND codmes >= 199601")
+
+
+@query("evol_calibration_n", scored(_evol_sql("n"), RECENT_SUMS, projection_sql("proj", "sums", "n")))
+def evol_calibration_n(spark, sf_dir):
+    return _evol(spark, sf_dir, "n")
+
+
+@query("evol_calibration_m", scored(_evol_sql("m"), RECENT_SUMS, projection_sql("proj", "sums", "m")))
+def evol_calibration_m(spark, sf_dir):
+    return _evol(spark, sf_dir, "m")
+
+
+@query(
+    "window_mean",
+    scored(
+        """
+SELECT round(avg(pd_m/m), 6) AS pd, round(avg(rd_proj), 6) AS rd_proj
+FROM proj WHERE codmes BETWEEN 199909 AND 200002
+""",
+        SUMS, projection_sql("proj", "sums", "m"),
+    ),
+)
+def window_mean(spark, sf_dir):
+    monthly = cal.evol_calibration(scored_base(spark, sf_dir), CFG, "m")
+    return cal.window_mean(monthly, ["pd", "rd_proj"], 199909, 200002).select(*r6("pd", "rd_proj"))
+
+
+# -- projection --------------------------------------------------------------
+
+
+def projected(spark, sf_dir, view="n", method="met1", by=()):
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    sums = cal.cohort_sums(base, CFG.with_(pds=()), [24, *CFG.usable.values()], by)
+    return pj.with_projection(sums, CFG, view, method, by)
+
+
+def _register_method(method: str) -> None:
+    text = "SELECT codmes, round(rd_usable, 6) AS rd_usable, round(factor, 6) AS factor, round(rd_proj, 6) AS rd_proj "
+
+    @query(
+        f"projection_{method}",
+        scored(text + open_only("proj"), SUMS, projection_sql("proj", "sums", "n", method)),
+    )
+    def run(spark, sf_dir):
+        out = pj.open_cohorts(projected(spark, sf_dir, "n", method), CFG)
+        return out.select("codmes", *r6("rd_usable", "factor", "rd_proj"))
+
+
+for _m in pj.METHODS:
+    _register_method(_m)
+
+
+EARLY_CFG = CFG.with_(
+    closed_month=200105, target=3, usable={1: 2, 2: 1}, open_months=2
+)
+
+
+@query(
+    "projection_early",
+    scored(
+        """
+, e AS (SELECT codmes, month_idx, count(*) AS n,
+  CAST(sum(CASE WHEN dist_def<=1 THEN 1 ELSE 0 END) AS DOUBLE) AS d1,
+  CAST(sum(CASE WHEN dist_def<=2 THEN 1 ELSE 0 END) AS DOUBLE) AS d2,
+  CAST(sum(CASE WHEN dist_def<=3 THEN 1 ELSE 0 END) AS DOUBLE) AS d3
+ FROM scored WHERE def_at_origin = 0 AND xb IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT quantile_cont(d3/nullif(d1,0), 0.75) AS f1, quantile_cont(d3/nullif(d2,0), 0.75) AS f2
+ FROM e WHERE month_idx BETWEEN 24016-13 AND 24016)
+SELECT codmes, round(CASE WHEN month_idx = 24017 THEN f2 ELSE f1 END, 6) AS factor,
+ round(CASE WHEN month_idx = 24017 THEN d2/n*f2 ELSE d1/n*f1 END, 6) AS rd_proj
+FROM e, h WHERE month_idx IN (24017, 24018)
+"""
+    ),
+)
+def projection_early(spark, sf_dir):
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    sums = cal.cohort_sums(base, EARLY_CFG.with_(pds=()), [1, 2, 3])
+    out = pj.open_cohorts(pj.with_projection(sums, EARLY_CFG), EARLY_CFG)
+    return out.select("codmes", *r6("factor", "rd_proj"))
+
+
+OVERRIDES = [(199909, "add", 0.005), (199911, "set", 0.005), (200001, "set", 0.25)]
+
+
+@query(
+    "projection_override",
+    scored(
+        """
+, fixed AS (SELECT *, CASE codmes WHEN 199909 THEN rd_proj + 0.005 WHEN 199911 THEN 0.005
+  WHEN 200001 THEN 0.25 ELSE rd_proj END AS rd_new FROM proj)
+SELECT codmes, round(CASE WHEN codmes IN (199909, 199911, 200001) THEN rd_new/nullif(rd_usable, 0) ELSE factor END, 6) AS factor,
+ round(rd_new, 6) AS rd_proj """ + open_only("fixed"),
+        SUMS, projection_sql("proj", "sums", "n"),
+    ),
+)
+def projection_override(spark, sf_dir):
+    table = spark.createDataFrame(OVERRIDES, "codmes INT, op STRING, value DOUBLE")
+    out = pj.override_projection(pj.open_cohorts(projected(spark, sf_dir), CFG), table)
+    return out.select("codmes", *r6("factor", "rd_proj"))
+
+
+@query(
+    "projection_smooth",
+    scored(
+        """
+, o AS (SELECT * """ + open_only("proj") + """)
+SELECT segment, codmes, round(avg(rd_proj) OVER (PARTITION BY segment ORDER BY month_idx
+ ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS rd_proj FROM o
+""",
+        SEG_SUMS, projection_sql("proj", "seg_sums", "n", by="segment"),
+    ),
+)
+def projection_smooth(spark, sf_dir):
+    rows = pj.open_cohorts(projected(spark, sf_dir, by=("segment",)), CFG)
+    return pj.smooth_projection(rows, 3, by=("segment",)).select("segment", "codmes", *r6("rd_proj"))
+
+
+@query(
+    "portfolio_projection",
+    scored(
+        "SELECT codmes, count(rd_proj) AS segments, round(sum(rd_proj*m)/sum(CASE WHEN rd_proj IS NOT NULL THEN m END), 6) AS rd_proj "
+        + open_only("proj") + " GROUP BY codmes",
+        SEG_SUMS, projection_sql("proj", "seg_sums", "m", by="segment"),
+    ),
+)
+def portfolio_projection(spark, sf_dir):
+    rows = pj.open_cohorts(projected(spark, sf_dir, "m", by=("segment",)), CFG)
+    return pj.portfolio_projection(rows, "m").select("codmes", "segments", *r6("rd_proj"))
+
+
+# -- factor table ------------------------------------------------------------
+
+FACTOR_VIEWS = (
+    SEG_SUMS,
+    projection_sql("proj_n", "seg_sums", "n", by="segment"),
+    projection_sql("proj_m", "seg_sums", "m", by="segment"),
+    f"""factors AS (SELECT {RUN_MONTH} AS month_def, a.codmes,
+ CASE a.segment WHEN '1. Affluent' THEN 1 WHEN '2. Consumer' THEN 2 END AS seg_proy,
+ coalesce(b.rd_proj, 0.005) AS projection_amounts, coalesce(b.factor, 0) AS factor_amounts,
+ coalesce(a.rd_proj, 0.005) AS projection_accounts, coalesce(a.factor, 0) AS factor_accounts
+ FROM proj_n a JOIN proj_m b ON a.segment = b.segment AND a.codmes = b.codmes
+ WHERE a.month_idx BETWEEN {CLOSED + 1} AND {CLOSED + 6} AND a.segment IN ('1. Affluent', '2. Consumer'))""",
+)
+FACTOR_COLUMNS = ("projection_amounts", "factor_amounts", "projection_accounts", "factor_accounts")
+
+
+def factors(spark, sf_dir):
+    return cohorts.factor_table(scored_base(spark, sf_dir), CFG, SEGMENT_IDS, RUN_MONTH)
+
+
+@query(
+    "factor_table",
+    scored(
+        "SELECT month_def, codmes, seg_proy, "
+        + ", ".join(f"round({c}, 6) AS {c}" for c in FACTOR_COLUMNS) + " FROM factors",
+        *FACTOR_VIEWS,
+    ),
+)
+def factor_table(spark, sf_dir):
+    return factors(spark, sf_dir).select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
+
+
+LATEST_SQL = "CASE " + " ".join(
+    f"WHEN month_idx = {CLOSED + j} AND dist_def <= {h} THEN 1"
+    for j, h in (*OPEN, (7, 18), (8, 17), (9, 16))
+) + " ELSE 0 END"
+
+SEG_SCORED_SQL = f"""seg_scored AS (SELECT *, {LATEST_SQL} AS ult_rd,
+ CASE segment WHEN '1. Affluent' THEN 1 WHEN '2. Consumer' THEN 2 END AS seg_proy FROM scored)"""
+
+
+@query(
+    "factor_join",
+    scored(
+        """
+SELECT s.app_id, s.codmes, s.seg_proy, s.ult_rd,
+ round(s.ult_rd*f.factor_amounts, 6) AS proj_factor_m, round(s.ult_rd*f.factor_accounts, 6) AS proj_factor_n,
+ round(f.projection_amounts, 6) AS proj_value_m, round(f.projection_accounts, 6) AS proj_value_n
+FROM seg_scored s LEFT JOIN factors f ON f.codmes = s.codmes AND f.seg_proy = s.seg_proy
+""",
+        *FACTOR_VIEWS, SEG_SCORED_SQL,
+    ),
+)
+def factor_join(spark, sf_dir):
+    base = scored_base(spark, sf_dir).withColumn("seg_proy", cohorts.segment_id("segment", SEGMENT_IDS))
+    out = cohorts.factor_join(base, factors(spark, sf_dir), CFG)
+    return out.select(
+        "app_id", "codmes", "seg_proy", "ult_rd",
+        *r6("proj_factor_m", "proj_factor_n", "proj_value_m", "proj_value_n"),
+    )
+
+
+# -- by driver ---------------------------------------------------------------
+
+USE = "codmes BETWEEN 199801 AND 200002 AND codmes NOT IN (199805, 199903)"
+
+
+def month_factors(spark, sf_dir, view="n"):
+    return pj.open_cohorts(projected(spark, sf_dir, view), CFG).select("codmes", "factor")
+
+
+def _by_driver_sql(drivers, view: str, min_share: float, keep_missing: bool) -> str:
+    w = "1" if view == "n" else "CAST(amount AS DECIMAL(18,2))"
+    long = " UNION ALL ".join(
+        f"SELECT '{d}' AS variable, CAST({d} AS VARCHAR) AS bucket, codmes, month_idx, dist_def, pd, amount, {w} AS w "
+        f"FROM drivers WHERE {UNIVERSE} AND {USE}" for d in drivers
+    )
+    missing = "" if keep_missing else "WHERE bucket NOT LIKE '%issing%'"
+    usable = "CASE " + " ".join(
+        f"WHEN l.month_idx = {CLOSED + j} THEN CASE WHEN dist_def <= {h} THEN w ELSE 0 END" for j, h in OPEN
+    ) + " END"
+    pd = "sum(pd)" if view == "n" else "sum(pd*amount)"
+    return f"""
+, long AS (SELECT * FROM ({long}) {missing}),
+g AS (SELECT variable, bucket, count(*) AS n, CAST(sum(w) AS DOUBLE) AS weight, {pd} AS pd_sum,
+  CAST(sum(CASE WHEN dist_def <= 12 THEN w ELSE 0 END) AS DOUBLE) AS aux_sum,
+  CAST(sum(CASE WHEN l.month_idx <= {CLOSED} THEN CASE WHEN dist_def <= 24 THEN w ELSE 0 END END) AS DOUBLE) AS closed_sum,
+  CAST(sum(CASE WHEN l.month_idx <= {CLOSED} THEN w END) AS DOUBLE) AS closed_weight,
+  sum(CAST({usable} AS DOUBLE) * p.factor) AS open_sum,
+  CAST(sum(CASE WHEN p.factor IS NOT NULL THEN w END) AS DOUBLE) AS open_weight
+ FROM long l LEFT JOIN (SELECT codmes, factor {open_only('proj')}) p ON p.codmes = l.codmes GROUP BY 1, 2),
+s AS (SELECT *, weight/sum(weight) OVER (PARTITION BY variable) AS share FROM g)
+SELECT variable, bucket, n, round(share, 6) AS share, round(pd_sum/weight, 6) AS pd, round(aux_sum/weight, 6) AS rd12,
+ round(closed_sum/closed_weight, 6) AS rd24, round(open_sum/open_weight, 6) AS rd_proj
+FROM s WHERE share >= {min_share}
+"""
+
+
+@query(
+    "driver_calibration",
+    scored(
+        "SELECT * EXCLUDE (variable, bucket), bucket AS pd_r FROM ("
+        + "WITH x AS (SELECT 1)" + _by_driver_sql(["pd_r"], "n", 0, False) + ")",
+        DRIVERS_SQL, SUMS, projection_sql("proj", "sums", "n"),
+    ),
+)
+def driver_calibration(spark, sf_dir):
+    out = cal.driver_calibration(
+        with_drivers(scored_base(spark, sf_dir)), CFG, "pd_r", month_factors(spark, sf_dir), use=USE
+    )
+    return out.select("pd_r", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
+
+
+CAL_DRIVERS = ("amount_r", "income_r", "score_r", "segment", "job_type")
+
+
+@query(
+    "multi_driver_calibration",
+    scored(
+        _by_driver_sql(CAL_DRIVERS, "m", 0.05, False),
+        DRIVERS_SQL, SUMS, projection_sql("proj", "sums", "m"),
+    ),
+)
+def multi_driver_calibration(spark, sf_dir):
+    out = cal.multi_driver_calibration(
+        with_drivers(scored_base(spark, sf_dir)), CFG, CAL_DRIVERS, month_factors(spark, sf_dir, "m"),
+        view="m", use=USE, min_share=0.05,
+    )
+    return out.select("variable", "bucket", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
+
+
+@query(
+    "information_value",
+    scored(
+        ", long AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{d}' AS variable, {d} AS bucket, CASE WHEN dist_def <= 24 THEN 1 ELSE 0 END AS bad "
+            f"FROM drivers WHERE {UNIVERSE} AND codmes <= 199908" for d in CAL_DRIVERS
+        )
+        + """), c AS (SELECT variable, bucket, CAST(sum(bad) AS DOUBLE) AS b, CAST(sum(1-bad) AS DOUBLE) AS g FROM long GROUP BY 1, 2),
+s AS (SELECT variable, greatest(g/sum(g) OVER w, 0.0001) AS pg, greatest(b/sum(b) OVER w, 0.0001) AS pb FROM c WINDOW w AS (PARTITION BY variable))
+SELECT variable, count(*) AS buckets, round(sum((pg-pb)*ln(pg/pb)), 6) AS iv FROM s GROUP BY variable
+""",
+        DRIVERS_SQL,
+    ),
+)
+def information_value(spark, sf_dir):
+    out = cal.information_value(
+        with_drivers(scored_base(spark, sf_dir)), CFG, CAL_DRIVERS, use="codmes <= 199908"
+    )
+    return out.select("variable", "buckets", *r6("iv"))
+
+
+@query(
+    "evol_calibration_driver",
+    scored(
+        f"""
+, c AS (SELECT job_type, codmes, month_idx, count(*) AS n, sum(pd) AS pd_sum,
+ CAST(sum(CASE WHEN dist_def<=24 THEN 1 ELSE 0 END) AS DOUBLE) AS d24,
+ CAST(sum(CASE WHEN dist_def<=21 THEN 1 ELSE 0 END) AS DOUBLE) AS d21,
+ CAST(sum(CASE WHEN dist_def<=12 THEN 1 ELSE 0 END) AS DOUBLE) AS d12,
+ {", ".join(f"CAST(sum(CASE WHEN dist_def<={h} THEN 1 ELSE 0 END) AS DOUBLE) AS u{h}" for h in (23, 22, 20, 19))}
+ FROM scored WHERE {UNIVERSE} AND codmes >= 199701 GROUP BY 1, 2, 3)
+SELECT c.job_type, c.codmes AS block_end, n, round(pd_sum/n, 6) AS pd,
+ round(CASE WHEN month_idx <= {CLOSED} THEN d24/n END, 6) AS rd24,
+ round(CASE WHEN month_idx <= {CLOSED + 3} THEN d21/n END, 6) AS rd21,
+ round(CASE WHEN month_idx <= {CLOSED + 12} THEN d12/n END, 6) AS rd12,
+ round(CASE month_idx - {CLOSED} WHEN 1 THEN u23 WHEN 2 THEN u22 WHEN 3 THEN u22 WHEN 4 THEN d21
+  WHEN 5 THEN u20 WHEN 6 THEN u19 END * factor / n, 6) AS rd_proj
+FROM c LEFT JOIN (SELECT codmes AS pm, factor {open_only('proj')}) p ON p.pm = c.codmes
+""",
+        SUMS, projection_sql("proj", "sums", "n"),
+    ),
+)
+def evol_calibration_driver(spark, sf_dir):
+    out = cal.evol_calibration_driver(
+        scored_base(spark, sf_dir), CFG, "job_type", month_factors(spark, sf_dir), use="codmes >= 199701"
+    )
+    return out.select("job_type", "block_end", "n", *r6("pd", "rd24", "rd21", "rd12", "rd_proj"))
+
+
+# -- bands -------------------------------------------------------------------
+
+
+def _monthly(spark, sf_dir):
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    return cal.monthly_calibration(base, CFG).filter("codmes <= 199908")
+
+
+@query(
+    "bands_wilson",
+    scored(
+        """
+, k AS (SELECT codmes, n, d24_n AS d, pd_n/n AS pd_mean, d24_n/n AS p, 1.959963984540054::DOUBLE AS z
+ FROM sums WHERE codmes <= 199908),
+w AS (SELECT *, (p + z*z/(2*n))/(1 + z*z/n) AS c, z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))/(1 + z*z/n) AS h FROM k)
+SELECT codmes, n, round(c-h, 6) AS lower, round(c+h, 6) AS upper, pd_mean BETWEEN c-h AND c+h AS inside FROM w
+""",
+        SUMS,
+    ),
+)
+def bands_wilson(spark, sf_dir):
+    out = bands.bands_wilson(_monthly(spark, sf_dir), "n", "def24", "pd_mean")
+    return out.select("codmes", "n", *r6("lower", "upper"), "inside")
+
+
+@query("bands_jeffreys")
+def bands_jeffreys(spark, sf_dir):
+    out = bands.bands_jeffreys(_monthly(spark, sf_dir), "n", "def24", "pd_mean")
+    return out.select("codmes", "n", *r6("lower", "upper"), "inside")
+
+
+@query("bands_vasicek")
+def bands_vasicek(spark, sf_dir):
+    out = bands.bands_vasicek(_monthly(spark, sf_dir), "pd_mean", "rd24")
+    return out.select("codmes", "n", *r6("lower", "upper"), "inside")
