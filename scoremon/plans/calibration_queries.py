@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from scoremon.operators import bands
 from scoremon.operators import calibration as cal
 from scoremon.operators import cohorts
 from scoremon.operators import projection as pj
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
-from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r4, r6, with_drivers
+from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r6, with_drivers
 from scoremon.sources.views import scored_base
 
 UNIVERSE = "def_at_origin = 0 AND xb IS NOT NULL"

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from scoremon.plans import calibration_queries, column_queries, table_queries  # noqa: F401
+from scoremon.plans import (  # noqa: F401
+    calibration_queries,
+    column_queries,
+    monitor_queries,
+    table_queries,
+)
 from scoremon.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -37,10 +37,6 @@ def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def r4(*names: str) -> list[Column]:
-    return [F.round(n, 4).alias(n) for n in names]
-
-
 def with_drivers(df: DataFrame) -> DataFrame:
     """The bucket drivers used by the driver, stability and cube queries."""
     return df.withColumns(
