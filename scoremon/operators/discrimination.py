@@ -41,8 +41,9 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     Adds ``n`` and, per target ``t``, ``gini_<t>`` and ``ks_<t>``; both are
     null for a group with defaults only or without any.
     """
-    # Group totals are needed before the ranges can be compared; they are
-    # integers, so reading them in a second branch cannot disagree.
+    # Group totals are needed to compare distances across ranges.  They join
+    # before the range partitioning, so that both branches read the same
+    # aggregated shuffle.
     # One row per group - a driver and a month - hence the broadcast.
     totals = F.broadcast(
         counts.groupBy(*group).agg(
@@ -51,11 +52,12 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     )
     slices = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
-        counts.repartitionByRange(slices, *group, "score")
+        counts.join(totals, list(group), "inner")
+        .repartitionByRange(slices, *group, "score")
         .withColumn("part", F.spark_partition_id())
     )
     upto = Window.partitionBy(*group, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.join(totals, list(group), "inner").withColumns(
+    running = ranged.withColumns(
         {c: e for t in targets for c, e in {
             f"{t}_b": F.sum(t).over(upto),
             f"{t}_g": F.sum(F.col("n") - F.col(t)).over(upto),

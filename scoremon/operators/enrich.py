@@ -61,7 +61,8 @@ def forward_panel(
 
     The later rows are re-keyed to the month they look back to, so all joins
     share one key and the left side is shuffled once for the whole chain.
-    Several later rows per key and month multiply the row, as joins do.
+    The panel should be a stored table: every horizon reads its own months
+    of it.  Several later rows per key and month multiply the row, as joins do.
     """
     lo, hi = index_of(start), index_of(end)
     base = panel.filter(F.col(month_idx).between(lo, hi))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from math import ceil
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -19,6 +20,13 @@ QUARTILES = (0.25, 0.5, 0.75, 1.0)
 MISSING = "98. Missing"
 
 
+class Cuts(NamedTuple):
+    """Minimum over all rows and the cut points; ``edges`` is None without data."""
+
+    lowest: float | None
+    edges: list[float] | None
+
+
 def _check_numeric(df: DataFrame, columns: Sequence[str]) -> None:
     for c in columns:
         if not isinstance(df.schema[c].dataType, NumericType):
@@ -29,100 +37,112 @@ def _value(c: str):
     return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
 
 
+def _sketch(v: Column, ranks: Sequence[float], relative_error: float) -> Column:
+    return F.percentile_approx(v, [float(r) for r in ranks], F.lit(ceil(1 / relative_error)))
+
+
 def approx_cuts(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUARTILES, relative_error: float = 0.01
-) -> dict[str, list[float] | None]:
+    df: DataFrame,
+    columns: Sequence[str],
+    window: str = "",
+    probs: Sequence[float] = QUARTILES,
+    relative_error: float = 0.01,
+) -> dict[str, Cuts]:
     """Approximate quantiles of all columns in one aggregation.
 
     The rank of a cut is off by at most ``relative_error * n``.
-
-    A column without any value gives ``None``.
     """
     _check_numeric(df, columns)
-    accuracy = F.lit(ceil(1 / relative_error))
-    row = df.agg(
-        *[
-            F.percentile_approx(_value(c), [float(p) for p in probs], accuracy).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    return {c: (None if row[i] is None else list(row[i])) for i, c in enumerate(columns)}
+    inside = F.expr(window) if window.strip() else F.lit(True)
+    aggs = []
+    for c in columns:
+        aggs += [F.min(_value(c)), _sketch(F.when(inside, _value(c)), probs, relative_error)]
+    row = df.agg(*[a.alias(f"c{t}") for t, a in enumerate(aggs)]).first()
+    return {
+        c: Cuts(row[2 * i], None if row[2 * i + 1] is None else list(row[2 * i + 1]))
+        for i, c in enumerate(columns)
+    }
+
+
+class _Search(NamedTuple):
+    """Open bracket around the value of one rank: exclusive ends, rows before it, rows in it."""
+
+    rank: int
+    lo: float | None
+    hi: float | None
+    before: int
+    size: int
 
 
 def exact_cuts(
     df: DataFrame,
     columns: Sequence[str],
+    window: str = "",
     probs: Sequence[float] = QUARTILES,
-    relative_error: float = 0.001,
-) -> dict[str, list[float] | None]:
+    relative_error: float = 1e-4,
+) -> dict[str, Cuts]:
     """Exact discrete quantiles: the smallest value whose rank reaches ``p * n``.
 
-    Two plain aggregations per round: one sketches the values inside the open
+    Rounds of two plain aggregations: one sketches the values inside the
     bracket around the wanted rank, one counts exactly how many values lie
     below and up to the sketched candidates.  A round finds the value or
-    shrinks the bracket by about the sketch accuracy, so a few rounds do for
-    any table.  Nothing is sorted or shuffled, and only a few numbers per
-    column come back.
+    shrinks the bracket by about the sketch accuracy, so two or three rounds
+    do for any table.  Nothing is sorted or shuffled, and only a few numbers
+    per column come back; the table should be a stored one, as it is read
+    several times.
     """
     _check_numeric(df, columns)
-    counts = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    rows = where(df, window)
+    first = df.agg(*[F.min(_value(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    counts = rows.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     found: dict[tuple[int, int], float] = {}
-    # (column, prob) -> rank, exclusive ends of the bracket, rows before and inside it
-    todo: dict[tuple[int, int], tuple] = {}
-    for i, _ in enumerate(columns):
-        n = counts[i]
-        for j, p in enumerate(probs):
-            if n:
-                todo[i, j] = (min(max(ceil(p * n), 1), n), None, None, 0, n)
-    accuracy = F.lit(ceil(1 / relative_error))
-
-    def inside(key):
-        v = _value(columns[key[0]])
-        _, lo, hi, _, _ = todo[key]
+    todo = {
+        (i, j): _Search(min(max(ceil(p * counts[i]), 1), counts[i]), None, None, 0, counts[i])
+        for i, _ in enumerate(columns) if counts[i]
+        for j, p in enumerate(probs)
+    }
+
+    def candidates(key: tuple[int, int]) -> Column:
+        s, v = todo[key], _value(columns[key[0]])
         ok = v.isNotNull()
-        ok = ok & (v > lo) if lo is not None else ok
-        return F.when((ok & (v < hi)) if hi is not None else ok, v)
+        if s.lo is not None:
+            ok = ok & (v > s.lo)
+        if s.hi is not None:
+            ok = ok & (v < s.hi)
+        at = (s.rank - s.before) / s.size
+        near = [min(max(at + e, 0.0), 1.0) for e in (-relative_error, 0.0, relative_error)]
+        return _sketch(F.when(ok, v), near, relative_error)
 
     while todo:
         keys = list(todo)
-        aggs = []
-        for key in keys:
-            rank, _, _, before, size = todo[key]
-            at = (rank - before) / size
-            near = [max(at - relative_error, 0.0), min(at, 1.0), min(at + relative_error, 1.0)]
-            aggs.append(F.percentile_approx(inside(key), near, accuracy))
-        grids = [sorted(set(g)) for g in df.agg(*aggs).first()]
+        sketched = rows.agg(*[candidates(k).alias(f"g{t}") for t, k in enumerate(keys)]).first()
+        grids = [sorted(set(g)) for g in sketched]
         aggs = []
         for key, grid in zip(keys, grids):
             v = _value(columns[key[0]])
             for g in grid:
                 aggs += [F.count_if(v < g), F.count_if(v <= g)]
-        row = iter(df.agg(*[a.alias(f"c{t}") for t, a in enumerate(aggs)]).first())
+        ranks = iter(rows.agg(*[a.alias(f"c{t}") for t, a in enumerate(aggs)]).first())
         for key, grid in zip(keys, grids):
-            rank, lo, hi, before, size = todo.pop(key)
-            end = before + size
+            s = todo.pop(key)
+            lo, hi, before, end = s.lo, s.hi, s.before, s.before + s.size
             for g in grid:
-                below, upto = next(row), next(row)
-                if below < rank <= upto:
+                below, upto = next(ranks), next(ranks)
+                if below < s.rank <= upto:
                     found[key] = g
-                elif upto < rank and upto >= before:
-                    lo, before = g, upto
-                elif below >= rank and below <= end:
+                elif upto < s.rank:
+                    if upto > before or lo is None:
+                        lo, before = g, upto
+                elif hi is None or below < end:
                     hi, end = g, below
             if key not in found:
-                todo[key] = (rank, lo, hi, before, end - before)
+                todo[key] = _Search(s.rank, lo, hi, before, end - before)
     return {
-        c: ([found[i, j] for j in range(len(probs))] if counts[i] else None)
+        c: Cuts(first[i], [found[i, j] for j in range(len(probs))] if counts[i] else None)
         for i, c in enumerate(columns)
     }
 
 
-def column_minima(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Minimum of every column, one aggregation."""
-    row = df.agg(*[F.min(_value(c)) for c in columns]).first()
-    return dict(zip(columns, row))
-
-
 def quantile_buckets(
     df: DataFrame,
     columns: Sequence[str],
@@ -139,17 +159,17 @@ def quantile_buckets(
     cut are labelled missing, and so is everything when the window is empty.
     All columns share the aggregations, whatever their number.
     """
-    cut = exact_cuts if exact else approx_cuts
-    extra = {} if exact else {"relative_error": relative_error}
-    cuts = cut(where(df, window), columns, probs, **extra)
-    lowest = column_minima(df, columns)
+    if exact:
+        cuts = exact_cuts(df, columns, window, probs)
+    else:
+        cuts = approx_cuts(df, columns, window, probs, relative_error)
     labels = {}
     for c in columns:
-        edges = cuts[c]
+        start, edges = cuts[c]
         if edges is None:
             labels[f"{c}_q"] = F.lit(MISSING)
             continue
-        out, start, v = F, lowest[c], _value(c)
+        out, v = F, _value(c)
         for i, edge in enumerate(edges, 1):
             out = out.when(v <= edge, f"{i}. {start:.3f} - {edge:.3f}")
             start = edge

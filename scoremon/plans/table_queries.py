@@ -103,7 +103,8 @@ WHERE p.codmes BETWEEN 199503 AND 200106
     ),
 )
 def forward_delinquency(spark, sf_dir):
-    out = enrich.forward_panel(v.panel(spark, sf_dir), "client_id", "days_late", 199503, 200106)
+    panel = tb.store(v.panel(spark, sf_dir), "panel")
+    out = enrich.forward_panel(panel, "client_id", "days_late", 199503, 200106)
     return out.select(
         "client_id", "codmes", F.col("balance").cast("double").alias("balance"),
         "days_late", "days_late_f1", "days_late_f2", "days_late_f3",
@@ -275,7 +276,9 @@ QUANTILE_COLUMNS = ("amount", "income", "score")
     ),
 )
 def quantile_buckets(spark, sf_dir):
-    out = quantiles.quantile_buckets(v.scored_base(spark, sf_dir), QUANTILE_COLUMNS, WINDOW, exact=True)
+    # Exact cuts read their input several times: store the derived base once.
+    base = v.scored_base(spark, sf_dir).select("app_id", "codmes", "def_at_origin", *QUANTILE_COLUMNS)
+    out = quantiles.quantile_buckets(tb.store(base, "base"), QUANTILE_COLUMNS, WINDOW, exact=True)
     return out.select("app_id", *[f"{c}_q" for c in QUANTILE_COLUMNS])
 
 

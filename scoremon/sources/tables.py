@@ -97,3 +97,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix=f"scoremon-{label}-")
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived frame once and read it back, for several passes over it."""
+    path = work_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
