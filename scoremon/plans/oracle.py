@@ -34,13 +34,13 @@ APP_EXT = """app_ext AS (
  SELECT app_id, codmes, client_id, xb + 0.25 AS xb_alt,
   CASE WHEN app_id % 23 = 0 THEN CAST(1111111111.0 AS DOUBLE)
        WHEN app_id % 29 = 0 THEN CAST(-2222222222.0 AS DOUBLE)
-       ELSE round(income/100, 2) END AS debt_raw
+       ELSE floor(income)/100 END AS debt_raw
  FROM app_base WHERE app_id % 5 <> 0
  UNION ALL
  SELECT app_id, codmes, client_id, xb + 0.25,
   CASE WHEN app_id % 23 = 0 THEN CAST(1111111111.0 AS DOUBLE)
        WHEN app_id % 29 = 0 THEN CAST(-2222222222.0 AS DOUBLE)
-       ELSE round(income/100, 2) END
+       ELSE floor(income)/100 END
  FROM app_base WHERE app_id % 50 = 1)"""
 
 PANEL = """panel AS (

@@ -105,7 +105,7 @@ def app_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(
                 """CASE WHEN app_id % 23 = 0 THEN CAST(1111111111.0 AS DOUBLE)
                         WHEN app_id % 29 = 0 THEN CAST(-2222222222.0 AS DOUBLE)
-                        ELSE round(income / 100, 2) END"""
+                        ELSE floor(income) / 100 END"""
             ).alias("debt_raw"),
             F.explode(F.expr("sequence(1, copies)")).alias("copy"),
         )
