@@ -25,7 +25,10 @@ class MonitorConfig:
     ``pds`` are the predicted default probabilities, the first one being the
     score in use.  ``distance`` holds the months from origination to default
     (null = no default), from which every "defaulted within k months" target
-    is derived.
+    is derived; with ``target_prefix`` the stored 0/1 columns
+    ``<prefix><k>`` are read instead.  ``early`` names a stored 0/1 flag of
+    early delinquency, otherwise "defaulted within ``early_target`` months"
+    stands for it.
     """
 
     closed_month: int
@@ -35,6 +38,8 @@ class MonitorConfig:
     distance: str = "dist_def"
     segment: str = "segment"
     universe: str = ""
+    target_prefix: str = ""
+    early: str = ""
     target: int = 24
     early_target: int = 3
     history: int = 14
@@ -60,8 +65,18 @@ class MonitorConfig:
 
     def defaulted(self, k: int) -> Column:
         """0/1: defaulted within ``k`` months of origination (null distance -> 0)."""
+        if self.target_prefix:
+            return F.col(f"{self.target_prefix}{k}")
         return F.when(F.col(self.distance) <= k, 1).otherwise(0)
 
+    def early_flag(self) -> Column:
+        return F.col(self.early) if self.early else self.defaulted(self.early_target)
+
+    def target_inputs(self, horizons) -> list[str]:
+        """Columns the targets of these horizons are derived from."""
+        stored = [f"{self.target_prefix}{k}" for k in sorted(set(horizons))]
+        return stored if self.target_prefix else [self.distance]
+
     def select_universe(self, df: DataFrame, extra: str = "") -> DataFrame:
         """Apply the monitored universe and a free-form predicate ('' = none)."""
         return where(where(df, self.universe), extra)

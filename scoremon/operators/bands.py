@@ -139,3 +139,17 @@ def bands_vasicek(df: DataFrame, pd_col: str, rate: str, rho: float = 0.15, leve
 
     out = df.withColumn("_band", limits(F.col(pd_col).cast("double")))
     return _inside(out.withColumns({"lower": F.col("_band.lower"), "upper": F.col("_band.upper")}).drop("_band"), rate)
+
+
+def add_bands(
+    df: DataFrame, kind: str, count: str, events: str, predicted: str, observed: str, level: float = 0.95
+) -> DataFrame:
+    """Band by name: ``jeffreys`` and ``wilson`` lie around the observed rate and
+    test the predicted one, ``vasicek`` the other way round."""
+    if kind == "jeffreys":
+        return bands_jeffreys(df, count, events, predicted, level)
+    if kind == "wilson":
+        return bands_wilson(df, count, events, predicted, level)
+    if kind == "vasicek":
+        return bands_vasicek(df, predicted, observed, level=level)
+    raise ValueError("kind is jeffreys, wilson or vasicek")

@@ -39,22 +39,25 @@ def rate(total: str | Column, weight: str | Column) -> Column:
 
 
 def cohort_sums(
-    df: DataFrame, cfg: MonitorConfig, horizons: Sequence[int], by: Sequence[str] = ()
+    df: DataFrame, cfg: MonitorConfig, horizons: Sequence[int], by: Sequence[str] = (),
+    early: bool = False,
 ) -> DataFrame:
     """Counts, amounts, PD sums and default sums per group and month.
 
-    Columns: ``n``, ``m``, ``<pd>_n``, ``<pd>_m`` and, per horizon k,
-    ``d<k>_n`` and ``d<k>_m``.
+    Columns: ``n``, ``m``, ``<pd>_n``, ``<pd>_m``, per horizon k ``d<k>_n``
+    and ``d<k>_m``, and with ``early`` also ``early_n`` and ``early_m``.
     """
     amount = money(cfg.amount)
     out = {"n": F.count(F.lit(1)), "m": F.sum(amount)}
     for pd in cfg.pds:
         out[f"{pd}_n"] = F.sum(pd)
         out[f"{pd}_m"] = F.sum(F.col(pd) * F.col(cfg.amount))
-    for k in sorted(set(horizons)):
-        hit = F.col(cfg.distance) <= k
-        out[f"d{k}_n"] = F.sum(cfg.defaulted(k))
-        out[f"d{k}_m"] = F.sum(F.when(hit, amount).otherwise(F.lit(0).cast(MONEY)))
+    flags = {f"d{k}": cfg.defaulted(k) for k in sorted(set(horizons))}
+    if early:
+        flags["early"] = cfg.early_flag()
+    for name, hit in flags.items():
+        out[f"{name}_n"] = F.sum(hit)
+        out[f"{name}_m"] = F.sum(F.when(hit == 1, amount).otherwise(F.lit(0).cast(MONEY)))
     return (
         df.groupBy(*by, cfg.month)
         .agg(*[c.alias(name) for name, c in out.items()])
@@ -98,21 +101,22 @@ def evol_calibration(
     factor for the open cohorts.
     """
     w = weight_of(view)
-    k, early = cfg.target, cfg.early_target
-    horizons = {k, early, *aux, *cfg.usable.values()}
-    sums = cohort_sums(cfg.select_universe(df, use), cfg, sorted(horizons), by)
+    k = cfg.target
+    horizons = {k, *aux, *cfg.usable.values()}
+    sums = cohort_sums(cfg.select_universe(df, use), cfg, sorted(horizons), by, early=True)
     proj = with_projection(sums, cfg, view, method, by)
     age = F.lit(cfg.closed_index + k) - F.col("month_idx")
 
-    def seen(h: int) -> Column:
-        return F.when(age >= h, rate(f"d{h}_{w}", w))
+    def seen(h: int, name: str | None = None) -> Column:
+        return F.when(age >= h, rate(f"{name or f'd{h}'}_{w}", w))
 
     return proj.select(
         *by, cfg.month, "n", F.col("m").cast("double").alias("amount"),
         *[rate(f"{p}_{w}", w).alias(p) for p in cfg.pds],
         seen(k).alias(f"rd{k}"),
         *[seen(h).alias(f"rd{h}") for h in aux if h != k],
-        seen(early).alias(f"early{early}"),
+        seen(cfg.early_target, "early").alias(f"early{cfg.early_target}"),
+        F.when(age >= k, F.col(f"d{k}_n")).alias("defaults"),
         F.col("factor"), F.col("rd_proj"),
     )
 
@@ -148,7 +152,7 @@ def driver_cells(
 ) -> DataFrame:
     """Sums per (driver, bucket, month): all drivers in one pass."""
     long = unpivot_drivers(
-        df, drivers, [cfg.month, cfg.amount, cfg.distance, *cfg.pds]
+        df, drivers, [cfg.month, cfg.amount, *cfg.target_inputs(horizons), *cfg.pds]
     )
     if not keep_missing:
         long = _drop_missing(long, "bucket")
@@ -225,7 +229,7 @@ def information_value(
     """
     w = weight_of(view)
     amount = money(cfg.amount)
-    bad = F.col(cfg.distance) <= cfg.target
+    bad = cfg.defaulted(cfg.target) == 1
     weight = F.lit(1) if w == "n" else amount
     long = unpivot_drivers(
         cfg.select_universe(df, use), drivers,

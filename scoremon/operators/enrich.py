@@ -18,6 +18,7 @@ def left_enrich(
     on: Sequence[str],
     columns: Mapping[str, str] | Sequence[str],
     keep_if: str = "",
+    distinct: bool = True,
 ) -> DataFrame:
     """Left join to the distinct, filtered rows of a scored extract.
 
@@ -26,13 +27,12 @@ def left_enrich(
     columns are de-duplicated, so the DISTINCT reads no more than it needs.
     The distinct combines copies before the shuffle; a hot key on the base
     side is left to adaptive skew handling, which splits the left input.
+    With ``distinct=False`` every matching row counts.
     """
     wanted = columns if isinstance(columns, Mapping) else {c: c for c in columns}
-    right = (
-        where(extract, keep_if)
-        .select(*on, *[F.col(src).alias(new) for src, new in wanted.items()])
-        .distinct()
-    )
+    right = where(extract, keep_if).select(*on, *[F.col(src).alias(new) for src, new in wanted.items()])
+    if distinct:
+        right = right.distinct()
     clash = [c for c in wanted.values() if c in base.columns and c not in on]
     return base.drop(*clash).join(right, list(on), "left")
 
