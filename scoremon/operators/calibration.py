@@ -225,7 +225,8 @@ def information_value(
 ) -> DataFrame:
     """Information value of every driver: sum of (good% - bad%) * ln(good% / bad%).
 
-    A bucket without goods or bads enters with the share ``floor``.
+    A bucket without goods or bads enters with the share ``floor``; a driver
+    without any goods or bads at all has no information value.
     """
     w = weight_of(view)
     amount = money(cfg.amount)
@@ -241,13 +242,13 @@ def information_value(
     )
     per_driver = Window.partitionBy("variable")
     share = {
-        side: F.greatest(
-            F.coalesce(F.col(side), F.lit(0.0)) / F.nullif(F.sum(side).over(per_driver), F.lit(0.0)),
-            F.lit(floor),
-        )
+        side: F.coalesce(F.col(side), F.lit(0.0)) / F.nullif(F.sum(side).over(per_driver), F.lit(0.0))
         for side in ("goods", "bads")
     }
-    terms = cells.select("variable", share["goods"].alias("g"), share["bads"].alias("b"))
+    terms = cells.select(
+        "variable",
+        *[F.when(s.isNotNull(), F.greatest(s, F.lit(floor))).alias(side[0]) for side, s in share.items()],
+    )
     return terms.groupBy("variable").agg(
         F.count(F.lit(1)).alias("buckets"),
         F.sum((F.col("g") - F.col("b")) * F.log(F.col("g") / F.col("b"))).alias("iv"),

@@ -47,9 +47,10 @@ def mix_by_month(df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], use:
 
 
 def _term(base: Column, recent: Column) -> Column:
+    """Contribution of one bucket; null when a whole side is empty."""
     p = F.greatest(base, F.lit(EMPTY_SHARE))
     q = F.greatest(recent, F.lit(EMPTY_SHARE))
-    return (q - p) * F.log(q / p)
+    return F.when(base.isNotNull() & recent.isNotNull(), (q - p) * F.log(q / p))
 
 
 def _share(part: Column, total: Column) -> Column:
