@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import month_index
@@ -135,12 +136,21 @@ def unpivot_drivers(df: DataFrame, drivers: Sequence[str], keep: Sequence[str |
 
     Only the columns named in ``keep`` travel with it, so the expansion stays
     narrow; the aggregation that follows combines it before the shuffle.
+    Flags kept as floating numbers are labelled as whole numbers.
     """
-    pairs = ", ".join(f"'{d}', CAST(`{d}` AS STRING)" for d in drivers)
+    pairs = ", ".join(f"'{d}', {_label(df, d)}" for d in drivers)
     kept = [c if isinstance(c, Column) else F.col(c) for c in keep]
     return df.select(*kept, F.expr(f"stack({len(drivers)}, {pairs}) AS (variable, bucket)"))
 
 
+def _label(df: DataFrame, driver: str) -> str:
+    text = f"CAST(`{driver}` AS STRING)"
+    if not isinstance(df.schema[driver].dataType, (DoubleType, FloatType)):
+        return text
+    whole = f"CAST(CAST(`{driver}` AS DECIMAL(38,0)) AS STRING)"
+    return f"CASE WHEN `{driver}` = floor(`{driver}`) AND abs(`{driver}`) < 1e15 THEN {whole} ELSE {text} END"
+
+
 def _drop_missing(df: DataFrame, bucket: str) -> DataFrame:
     """Leave out missing labels; a null label goes too."""
     return df.filter(~F.col(bucket).like("%issing%"))
@@ -265,11 +275,13 @@ def evol_calibration_driver(
     aux: Sequence[int] = (21, 12),
     keep_missing: bool = False,
     months: int = 1,
+    moving: bool = False,
 ) -> DataFrame:
     """Calibration over time for each bucket of one driver.
 
     Open cohorts use the portfolio factor of their month.  With ``months`` > 1
-    consecutive cohorts are pooled into blocks that end at ``block_end``.
+    cohorts are pooled: into consecutive blocks that end at ``block_end``, or
+    with ``moving`` into one window per month, up to the run month.
     """
     w = weight_of(view)
     k = cfg.target
@@ -286,6 +298,11 @@ def evol_calibration_driver(
     weight = F.col(w).cast("double")
     # Blocks are aligned to the newest closed cohort.
     block_end = F.col("month_idx") + F.pmod(F.lit(cfg.closed_index) - F.col("month_idx"), F.lit(months))
+    if moving:
+        block_end = F.explode(F.sequence(F.col("month_idx"), F.col("month_idx") + F.lit(months - 1)))
+    joined = joined.withColumn("block_idx", block_end)
+    if moving:
+        joined = joined.filter(F.col("block_idx") <= cfg.closed_index + k)
     age = F.lit(cfg.closed_index + k) - F.col("month_idx")
 
     def seen(h: int) -> list[Column]:
@@ -296,7 +313,7 @@ def evol_calibration_driver(
         ]
 
     horizons = [k, *[h for h in aux if h != k]]
-    grouped = joined.groupBy(driver, block_end.alias("block_idx")).agg(
+    grouped = joined.groupBy(driver, "block_idx").agg(
         F.sum("n").alias("n"),
         F.sum(weight).alias("weight"),
         *[F.sum(f"{p}_{w}").alias(f"{p}_sum") for p in cfg.pds],

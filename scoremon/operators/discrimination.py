@@ -38,7 +38,8 @@ def score_counts(
 def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Gini and KS per group from ``score_counts`` rows, for several targets.
 
-    Adds ``n`` and, per target ``t``, ``gini_<t>`` and ``ks_<t>``; both are
+    A score may come in several rows of its group (one per month of a
+    window); the frames below treat equal scores as one.  Adds ``n`` and, per target ``t``, ``gini_<t>`` and ``ks_<t>``; both are
     null for a group with defaults only or without any.
     """
     # Group totals are needed to compare distances across ranges.  They join
@@ -56,11 +57,14 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
         .repartitionByRange(slices, *group, "score")
         .withColumn("part", F.spark_partition_id())
     )
-    upto = Window.partitionBy(*group, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    by_score = Window.partitionBy(*group, "part").orderBy("score")
+    upto = by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = by_score.rangeBetween(Window.currentRow, Window.currentRow)
     running = ranged.withColumns(
         {c: e for t in targets for c, e in {
             f"{t}_b": F.sum(t).over(upto),
             f"{t}_g": F.sum(F.col("n") - F.col(t)).over(upto),
+            f"{t}_tie": F.sum(F.col("n") - F.col(t)).over(ties),
         }.items()}
     )
     aggs = [F.first("total").alias("total"), F.sum("n").alias("n")]
@@ -70,13 +74,12 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
         gap = F.col(f"{t}_b") / F.nullif(bads.cast("double"), F.lit(0.0)) - F.col(f"{t}_g") / F.nullif(
             goods.cast("double"), F.lit(0.0)
         )
-        own_goods = F.col("n") - F.col(t)
         aggs += [
             F.first(bads).alias(f"{t}_bads"),
             F.sum(t).alias(f"{t}_in"),
             # Twice the pairs won inside the range (a tie wins half).  Pair
             # counts outgrow a long, so they are doubles.
-            F.sum(F.col(t).cast("double") * (2 * F.col(f"{t}_g") - own_goods)).alias(f"{t}_pairs"),
+            F.sum(F.col(t).cast("double") * (2 * F.col(f"{t}_g") - F.col(f"{t}_tie"))).alias(f"{t}_pairs"),
             F.max(gap).alias(f"{t}_hi"),
             F.min(gap).alias(f"{t}_lo"),
         ]
@@ -216,7 +219,11 @@ def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, c
 
 
 def _to_windows(counts, cfg, start, end, months, moving, names) -> DataFrame:
-    """Move score counts from single months to the windows they belong to."""
+    """Move score counts from single months to the windows they belong to.
+
+    Rows are copied, not merged: equal scores of one window stay apart by
+    month, which saves aggregating the copies.
+    """
     idx = F.floor(F.col(cfg.month) / 100) * 12 + F.col(cfg.month) % 100 - 1
     if months == 1:
         return counts.withColumnRenamed(cfg.month, "window_end")
@@ -237,11 +244,7 @@ def _to_windows(counts, cfg, start, end, months, moving, names) -> DataFrame:
         )
         if end is not None:
             spread = spread.withColumn("end_idx", F.least("end_idx", F.lit(index_of(end))))
-    return (
-        spread.withColumn("window_end", month_from_index("end_idx"))
-        .groupBy("variable", "window_end", "score")
-        .agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in names])
-    )
+    return spread.select("variable", month_from_index("end_idx").alias("window_end"), "score", "n", *names)
 
 
 def discrimination_table(

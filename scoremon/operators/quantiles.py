@@ -93,8 +93,12 @@ def exact_cuts(
     """
     _check_numeric(df, columns)
     rows = where(df, window)
-    first = df.agg(*[F.min(_value(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    counts = rows.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    in_window = F.expr(window) if window.strip() else F.lit(True)
+    head = df.agg(
+        *[F.min(_value(c)).alias(f"c{i}") for i, c in enumerate(columns)],
+        *[F.count(F.when(in_window, _value(c))).alias(f"n{i}") for i, c in enumerate(columns)],
+    ).first()
+    lowest, counts = head[: len(columns)], head[len(columns) :]
     found: dict[tuple[int, int], float] = {}
     todo = {
         (i, j): _Search(min(max(ceil(p * counts[i]), 1), counts[i]), None, None, 0, counts[i])
@@ -102,21 +106,36 @@ def exact_cuts(
         for j, p in enumerate(probs)
     }
 
-    def candidates(key: tuple[int, int]) -> Column:
-        s, v = todo[key], _value(columns[key[0]])
+    def inside(i: int, lo: float | None, hi: float | None) -> Column:
+        v = _value(columns[i])
         ok = v.isNotNull()
-        if s.lo is not None:
-            ok = ok & (v > s.lo)
-        if s.hi is not None:
-            ok = ok & (v < s.hi)
+        if lo is not None:
+            ok = ok & (v > lo)
+        if hi is not None:
+            ok = ok & (v < hi)
+        return F.when(ok, v)
+
+    def near(s: _Search) -> list[float]:
         at = (s.rank - s.before) / s.size
-        near = [min(max(at + e, 0.0), 1.0) for e in (-relative_error, 0.0, relative_error)]
-        return _sketch(F.when(ok, v), near, relative_error)
+        return [min(max(at + e, 0.0), 1.0) for e in (-relative_error, 0.0, relative_error)]
 
     while todo:
         keys = list(todo)
-        sketched = rows.agg(*[candidates(k).alias(f"g{t}") for t, k in enumerate(keys)]).first()
-        grids = [sorted(set(g)) for g in sketched]
+        # Ranks that share a bracket share its sketch.
+        shared: dict[tuple, list] = {}
+        for key in keys:
+            shared.setdefault((key[0], todo[key].lo, todo[key].hi), []).append(key)
+        sketches = rows.agg(
+            *[
+                _sketch(inside(*bracket), [r for k in members for r in near(todo[k])], relative_error).alias(f"g{t}")
+                for t, (bracket, members) in enumerate(shared.items())
+            ]
+        ).first()
+        grid_of = {
+            k: sorted(set(grid[3 * t : 3 * t + 3]))
+            for grid, members in zip(sketches, shared.values()) for t, k in enumerate(members)
+        }
+        grids = [grid_of[k] for k in keys]
         aggs = []
         for key, grid in zip(keys, grids):
             v = _value(columns[key[0]])
@@ -138,7 +157,7 @@ def exact_cuts(
             if key not in found:
                 todo[key] = _Search(s.rank, lo, hi, before, end - before)
     return {
-        c: Cuts(first[i], [found[i, j] for j in range(len(probs))] if counts[i] else None)
+        c: Cuts(lowest[i], [found[i, j] for j in range(len(probs))] if counts[i] else None)
         for i, c in enumerate(columns)
     }
 

@@ -117,6 +117,22 @@ def test_calibration_blocks_pool_months(book):
     assert got.rd24 == pytest.approx(sum(hit(r[3], 24) for r in block) / len(block))
 
 
+def test_moving_calibration_windows(book):
+    rows, df = book
+    factors = df.sparkSession.createDataFrame([(202302, 1.0)], "codmes INT, factor DOUBLE")
+    out = cal.evol_calibration_driver(df, CFG, "segment", factors, months=3, moving=True).collect()
+    got = {r.block_end: r for r in out if r.segment == "B"}
+    window = [r for r in rows if r[4] == "B" and r[0] in (202205, 202206, 202207)]
+    assert got[202207].n == len(window)
+    assert got[202207].rd24 == pytest.approx(sum(hit(r[3], 24) for r in window) / len(window))
+
+
+def test_floating_flags_are_labelled_as_whole_numbers(spark):
+    df = spark.createDataFrame([(202001, 1.0), (202001, 0.0), (202001, 0.5), (202001, None)], "codmes INT, flg DOUBLE")
+    labels = [r.bucket for r in cal.unpivot_drivers(df, ["flg"], ["codmes"]).collect()]
+    assert labels == ["1", "0", "0.5", None]
+
+
 def test_stored_targets_give_the_same_result(book):
     _, df = book
     horizons = {24, 21, 12, *CFG.usable.values()}

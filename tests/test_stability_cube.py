@@ -200,6 +200,12 @@ def test_tables_are_replaced_and_read_by_name(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_kept_frames_spill_to_disk(spark):
+    kept = tb.keep(spark.range(10))
+    assert kept.count() == 10 and kept.storageLevel.useDisk and kept.storageLevel.useMemory
+    kept.unpersist()
+
+
 def test_snapshot_projects_before_distinct(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 2)], "a INT, b INT")
     assert tb.distinct_snapshot(df).count() == 2 and tb.distinct_snapshot(df, ["a"]).count() == 1
