@@ -152,7 +152,8 @@ HOLDER_INCOME_BANDS = (
 
 # ---------------------------------------------------------------------------
 # Zone risk rules (department, district, risk).
-# A null district stands for the whole department; the default is BAJO.
+# A null district stands for the whole department.  Everything else has the
+# default BAJO, so only the ALTO rules are listed.
 # ---------------------------------------------------------------------------
 
 ZONE_RISK_DEFAULT = "BAJO"
@@ -161,21 +162,22 @@ ZONE_RISK_RULES = (
     ("PIURA", None, "ALTO"),
     ("LIMA", "ATE-LIMA", "ALTO"),
     ("LIMA", "BREÑA-LIMA", "ALTO"),
+    ("CALLAO", "CALLAO-LIMA", "ALTO"),
     ("LIMA", "CARABAYLLO-LIMA", "ALTO"),
     ("LIMA", "EL AGUSTINO-LIMA", "ALTO"),
+    ("CALLAO", "MI PERU-CALLAO", "ALTO"),
     ("LIMA", "PACHACAMAC-LIMA", "ALTO"),
     ("LIMA", "PUENTE PIEDRA-LIMA", "ALTO"),
     ("LIMA", "SAN JUAN LURIGANCHO", "ALTO"),
     ("LIMA", "SAN JUAN MIRAFLORES", "ALTO"),
+    ("CALLAO", "VENTANILLA-CALLAO", "ALTO"),
     ("LIMA", "VILLA EL SALVADOR", "ALTO"),
     ("LIMA", "VILLA MARIA DEL TRIUNFO-LIMA", "ALTO"),
-    ("CALLAO", "CALLAO-LIMA", "ALTO"),
-    ("CALLAO", "MI PERU-CALLAO", "ALTO"),
-    ("CALLAO", "VENTANILLA-CALLAO", "ALTO"),
 )
 # Second rule set; a null or blank department or district is ND.
 ZONE_RISK_UNKNOWN = "ND"
 ZONE_RISK_RULES_2 = (
+    ("CALLAO", "VENTANILLA-LIMA", "ALTO"),
     ("LIMA", "ATE-LIMA", "ALTO"),
     ("LIMA", "CARABAYLLO-LIMA", "ALTO"),
     ("LIMA", "EL AGUSTINO-LIMA", "ALTO"),
@@ -186,7 +188,6 @@ ZONE_RISK_RULES_2 = (
     ("LIMA", "SAN JUAN MIRAFLORES", "ALTO"),
     ("LIMA", "VILLA EL SALVADOR", "ALTO"),
     ("LIMA", "VILLA MARIA TRIUNFO", "ALTO"),
-    ("CALLAO", "VENTANILLA-LIMA", "ALTO"),
 )
 ZONE_RISK_WEIGHTS = {
     "ALTO": -4.62497281328427,

@@ -143,7 +143,11 @@ def monitored_columns(
 
 @dataclass(frozen=True)
 class MonitorPlan:
-    """What one monitoring run reports."""
+    """What one monitoring run reports.
+
+    ``request`` names the request number, to tell a missing PD from a missing
+    match of the extract.
+    """
 
     drivers: Sequence[str]
     numeric: Sequence[str]
@@ -159,6 +163,7 @@ class MonitorPlan:
     gini_limits: tuple[float, float] = (0.4, 0.5)
     bands: str = "jeffreys"
     method: str = "met1"
+    request: str = ""
 
 
 def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan, factors: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -168,8 +173,11 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan, factors: DataF
     the driver views compute it on the way.
     """
     pd = cfg.pds[0]
+    checks = {"miss_pd": [pd]}
+    if plan.request:
+        checks["miss_sol"] = [pd, plan.request]
     out: dict[str, DataFrame] = {
-        "missing": quality.missing_by(df, [cfg.month], {"miss_pd": [pd], "miss_both": [pd, cfg.distance]}),
+        "missing": quality.missing_by(df, [cfg.month], checks),
         "validation": calibration.monthly_calibration(cfg.select_universe(df), cfg),
         "reconcile": quality.reconcile_universes(df, cfg, cfg.universe, ""),
     }

@@ -133,6 +133,31 @@ def test_monitor_run_returns_all_views(book):
     assert runs.portfolio_from_segments(df, CFG, "m", plan).count() == 6
 
 
+def test_other_column_names_give_the_same_results(book, tmp_path):
+    """A base with its own, upper-case names and stored targets."""
+    _, df = book
+    horizons = (24, 23, 22, 21, 20, 19, 18, 17, 16, 12)
+    names = {"codmes": "CODMES", "amount": "MONTO", "pd": "PD_USO", "segment": "SEGMENTO", "axis": "EJE"}
+    other = df.withColumns({f"DEF{k}": CFG.defaulted(k) for k in horizons}).withColumn("MORA", CFG.defaulted(3))
+    other = other.drop("dist_def").withColumnsRenamed(names)
+    cfg = CFG.with_(month="CODMES", amount="MONTO", pds=("PD_USO",), segment="SEGMENTO", target_prefix="DEF", early="MORA")
+    plan = dict(numeric=["pd"], base_window=(202101, 202112), recent_window=(202201, 202212), gini_months=(202201, 202203))
+    a = runs.monitor(df, CFG, runs.MonitorPlan(drivers=["segment", "axis"], **plan))
+    b = runs.monitor(other, cfg, runs.MonitorPlan(drivers=["SEGMENTO", "EJE"], **{**plan, "numeric": ["PD_USO"]}))
+    for name in ("calibration_m", "drivers_n", "psi_m", "evol_psi_n", "gini", "information_value", "validation"):
+        x, y = (
+            sorted([tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in f[name].drop("variable").collect()], key=repr)
+            for f in (a, b)
+        )
+        assert x == y, name
+    paths = [
+        runs.publish_cube(frame, c, {ax: "EJE_P1"}, [pd], fx.TRADITIONAL_SEGMENT_IDS, 202501, str(tmp_path / ax))["cube"]
+        for frame, c, ax, pd in ((df, CFG, "axis", "pd"), (other, cfg, "EJE", "PD_USO"))
+    ]
+    totals = [df.sparkSession.read.parquet(p).agg(*[F.round(F.sum(c), 6) for c in cb.measure_names(["pd"])]).first() for p in paths]
+    assert totals[0] == totals[1]
+
+
 def test_traditional_base(spark):
     apps = spark.createDataFrame(
         [(202301, 1, "r1", "a1", "COMPRA", "F", 300_000.0, 334.9, "20"), (202301, 2, "r2", "a2", None, "F", 1.0, 400.0, "30"),
