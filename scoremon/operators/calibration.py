@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import month_index
@@ -66,6 +66,18 @@ def cohort_sums(
     )
 
 
+def roll_up(sums: DataFrame, by: Sequence[str], month: str = "codmes") -> DataFrame:
+    """Coarser cohort sums from finer ones, without going back to the base."""
+    keys = [*by, month, "month_idx"]
+    measures = [f.name for f in sums.schema if f.name not in keys and isinstance(f.dataType, NumericType)]
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
+
+
+def report_horizons(cfg: MonitorConfig, aux: Sequence[int] = ()) -> list[int]:
+    """Horizons that the reports need in their cohort sums."""
+    return sorted({cfg.target, *aux, *cfg.usable.values()})
+
+
 def monthly_calibration(df: DataFrame, cfg: MonitorConfig, by: Sequence[str] = ()) -> DataFrame:
     """Monthly validation cube.
 
@@ -73,8 +85,12 @@ def monthly_calibration(df: DataFrame, cfg: MonitorConfig, by: Sequence[str] = (
     in the denominator.
     """
     pd = cfg.pds[0]
-    k, k2 = cfg.target, cfg.target - 6
-    sums = cohort_sums(df, cfg.with_(pds=(pd,)), [k, k2], by)
+    sums = cohort_sums(df, cfg.with_(pds=(pd,)), [cfg.target, cfg.target - 6], by)
+    return validation_from_sums(sums, cfg, by)
+
+
+def validation_from_sums(sums: DataFrame, cfg: MonitorConfig, by: Sequence[str] = ()) -> DataFrame:
+    pd, k, k2 = cfg.pds[0], cfg.target, cfg.target - 6
     return sums.select(
         *by, cfg.month, "n",
         (F.col("m").cast("double") / 1_000_000).alias("amount_mm"),
@@ -101,10 +117,21 @@ def evol_calibration(
     cohort is old enough for them, early rate, and the projected rate with its
     factor for the open cohorts.
     """
+    sums = cohort_sums(cfg.select_universe(df, use), cfg, report_horizons(cfg, aux), by, early=True)
+    return evol_from_sums(sums, cfg, view, aux, by, method)
+
+
+def evol_from_sums(
+    sums: DataFrame,
+    cfg: MonitorConfig,
+    view: str = "n",
+    aux: Sequence[int] = (21, 12),
+    by: Sequence[str] = (),
+    method: str = "met1",
+) -> DataFrame:
+    """Calibration over time from stored cohort sums (with ``early``)."""
     w = weight_of(view)
     k = cfg.target
-    horizons = {k, *aux, *cfg.usable.values()}
-    sums = cohort_sums(cfg.select_universe(df, use), cfg, sorted(horizons), by, early=True)
     proj = with_projection(sums, cfg, view, method, by)
     age = F.lit(cfg.closed_index + k) - F.col("month_idx")
 
@@ -151,7 +178,7 @@ def _label(df: DataFrame, driver: str) -> str:
     return f"CASE WHEN `{driver}` = floor(`{driver}`) AND abs(`{driver}`) < 1e15 THEN {whole} ELSE {text} END"
 
 
-def _drop_missing(df: DataFrame, bucket: str) -> DataFrame:
+def drop_missing(df: DataFrame, bucket: str = "bucket") -> DataFrame:
     """Leave out missing labels; a null label goes too."""
     return df.filter(~F.col(bucket).like("%issing%"))
 
@@ -165,7 +192,7 @@ def driver_cells(
         df, drivers, [cfg.month, cfg.amount, *cfg.target_inputs(horizons), *cfg.pds]
     )
     if not keep_missing:
-        long = _drop_missing(long, "bucket")
+        long = drop_missing(long)
     return cohort_sums(long, cfg, horizons, by=("variable", "bucket"))
 
 
@@ -186,11 +213,23 @@ def multi_driver_calibration(
     one row per open month.  It is applied to month sums, not to single
     applications.  Buckets below ``min_share`` of their driver are left out.
     """
-    w = weight_of(view)
-    k = cfg.target
     cells = driver_cells(
-        cfg.select_universe(df, use), cfg, drivers, [k, aux, *cfg.usable.values()], keep_missing
+        cfg.select_universe(df, use), cfg, drivers, report_horizons(cfg, [aux]), keep_missing
     )
+    return drivers_from_cells(cells, cfg, factors, view, aux, min_share)
+
+
+def drivers_from_cells(
+    cells: DataFrame,
+    cfg: MonitorConfig,
+    factors: DataFrame,
+    view: str = "n",
+    aux: int = 12,
+    min_share: float = 0.0,
+) -> DataFrame:
+    """Calibration per bucket from stored driver cells."""
+    w = weight_of(view)
+    k = cfg.target
     per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
     joined = cells.join(F.broadcast(per_month), cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
@@ -238,17 +277,16 @@ def information_value(
     A bucket without goods or bads enters with the share ``floor``; a driver
     without any goods or bads at all has no information value.
     """
+    cells = driver_cells(cfg.select_universe(df, use), cfg.with_(pds=()), drivers, [cfg.target])
+    return iv_from_cells(cells, cfg, view, floor)
+
+
+def iv_from_cells(cells: DataFrame, cfg: MonitorConfig, view: str = "n", floor: float = 1e-4) -> DataFrame:
+    """Information value from stored driver cells."""
     w = weight_of(view)
-    amount = money(cfg.amount)
-    bad = cfg.defaulted(cfg.target) == 1
-    weight = F.lit(1) if w == "n" else amount
-    long = unpivot_drivers(
-        cfg.select_universe(df, use), drivers,
-        [F.coalesce(bad, F.lit(False)).alias("bad"), weight.alias("weight")],
-    )
-    cells = long.groupBy("variable", "bucket").agg(
-        F.sum(F.when(F.col("bad"), F.col("weight"))).cast("double").alias("bads"),
-        F.sum(F.when(~F.col("bad"), F.col("weight"))).cast("double").alias("goods"),
+    bad = F.col(f"d{cfg.target}_{w}")
+    cells = cells.groupBy("variable", "bucket").agg(
+        F.sum(bad).cast("double").alias("bads"), F.sum(F.col(w) - bad).cast("double").alias("goods")
     )
     per_driver = Window.partitionBy("variable")
     share = {
@@ -283,12 +321,25 @@ def evol_calibration_driver(
     cohorts are pooled: into consecutive blocks that end at ``block_end``, or
     with ``moving`` into one window per month, up to the run month.
     """
+    cells = driver_cells(
+        cfg.select_universe(df, use), cfg, [driver], report_horizons(cfg, aux), keep_missing
+    )
+    out = evol_drivers_from_cells(cells, cfg, factors, view, aux, months, moving)
+    return out.drop("variable").withColumnRenamed("bucket", driver)
+
+
+def evol_drivers_from_cells(
+    cells: DataFrame,
+    cfg: MonitorConfig,
+    factors: DataFrame,
+    view: str = "n",
+    aux: Sequence[int] = (21, 12),
+    months: int = 1,
+    moving: bool = False,
+) -> DataFrame:
+    """Calibration over time per bucket of every driver, from stored cells."""
     w = weight_of(view)
     k = cfg.target
-    base = cfg.select_universe(df, use)
-    if not keep_missing:
-        base = _drop_missing(base.withColumn(driver, F.col(driver).cast("string")), driver)
-    cells = cohort_sums(base, cfg, [k, *aux, *cfg.usable.values()], by=(driver,))
     per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
     joined = cells.join(F.broadcast(per_month), cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
@@ -313,7 +364,7 @@ def evol_calibration_driver(
         ]
 
     horizons = [k, *[h for h in aux if h != k]]
-    grouped = joined.groupBy(driver, "block_idx").agg(
+    grouped = joined.groupBy("variable", "bucket", "block_idx").agg(
         F.sum("n").alias("n"),
         F.sum(weight).alias("weight"),
         *[F.sum(f"{p}_{w}").alias(f"{p}_sum") for p in cfg.pds],
@@ -322,7 +373,7 @@ def evol_calibration_driver(
         F.sum(F.when(F.col("month_factor").isNotNull() & usable.isNotNull(), weight)).alias("open_weight"),
     )
     return grouped.select(
-        driver,
+        "variable", "bucket",
         F.expr("CAST(floor(block_idx / 12) * 100 + block_idx % 12 + 1 AS INT)").alias("block_end"),
         "n",
         *[rate(f"{p}_sum", "weight").alias(p) for p in cfg.pds],

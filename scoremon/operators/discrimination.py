@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import index_of, month_from_index, shift_yyyymm, yyyymm_of
+from scoremon.operators.calibration import unpivot_drivers
 
 
 def score_counts(
@@ -157,18 +158,30 @@ def multi_driver_gini(
     months: int = 1,
     moving: bool = False,
     limits: tuple[float, float] | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Gini and KS over time for many drivers in one job.
 
     A numeric driver is its own score.  A categorical one is ordered by the
-    default rate of its labels over all months taken in.
+    default rate of its labels over all months taken in; stored driver cells
+    of the calibration (``cells``) save reading the base for them.
     """
+    if cells is None and categorical:
+        targets = {f"d{k}_n": cfg.defaulted(k) for k in horizons}
+        cells = (
+            unpivot_drivers(
+                cfg.select_universe(df, use), categorical,
+                [cfg.month, *[t.alias(name) for name, t in targets.items()]],
+            )
+            .groupBy("variable", "bucket", cfg.month)
+            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(name) for name in targets])
+        )
     return _evol(
-        df, cfg, {v: v for v in numeric}, horizons, use, start, end, months, moving, limits, categorical
+        df, cfg, {v: v for v in numeric}, horizons, use, start, end, months, moving, limits, cells
     )
 
 
-def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, categorical=()):
+def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, cells=None):
     names = [str(k) for k in horizons]
     oldest = shift_yyyymm(start, 1 - months) if moving and start is not None else start
     base = _in_months(cfg.select_universe(df, use), cfg, oldest, end)
@@ -180,19 +193,15 @@ def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, c
         parts.append(
             score_counts(long, ["variable", cfg.month], "value", {t: F.col(t) for t in names})
         )
-    if categorical:
-        pairs = ", ".join(f"'{v}', CAST(`{v}` AS STRING)" for v in categorical)
-        long = base.select(*slim, F.expr(f"stack({len(categorical)}, {pairs}) AS (variable, label)"))
-        cells = long.filter("label IS NOT NULL").groupBy("variable", cfg.month, "label").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in names]
-        )
-        label = Window.partitionBy("variable", "label")
-        ranked = cells.withColumn(
-            "score", F.sum(names[0]).over(label) / F.sum("n").over(label)
+    if cells is not None:
+        labelled = _in_months(cells, cfg, oldest, end).filter("bucket IS NOT NULL").select(
+            "variable", cfg.month, "bucket", "n", *[F.col(f"d{t}_n").alias(t) for t in names]
         )
+        label = Window.partitionBy("variable", "bucket")
+        rate = F.sum(names[0]).over(label) / F.sum("n").over(label)
         # Labels of equal rate are one score.
         parts.append(
-            ranked.groupBy("variable", cfg.month, "score").agg(
+            labelled.withColumn("score", rate).groupBy("variable", cfg.month, "score").agg(
                 F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in names]
             )
         )

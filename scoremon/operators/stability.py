@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
-from scoremon.functions.months import shift_yyyymm
+from scoremon.functions.months import month_range
 from scoremon.operators.calibration import money, unpivot_drivers, weight_of
 
 # Share given to a side on which a bucket does not occur.
@@ -21,12 +21,12 @@ EMPTY_SHARE = 1e-4
 PSI_LIMITS = (0.10, 0.25)
 
 
-def _weight(cfg: MonitorConfig, view: str) -> Column:
-    return F.lit(1).cast("long") if weight_of(view) == "n" else money(cfg.amount)
-
-
 def mix_cells(df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], use: str = "") -> DataFrame:
-    """Count and amount per driver, month and bucket; null is a bucket too."""
+    """Count and amount per driver, month and bucket; null is a bucket too.
+
+    This is the only step that reads the base; stored ``driver_cells`` of the
+    calibration can stand in for it.
+    """
     long = unpivot_drivers(cfg.select_universe(df, use), drivers, [cfg.month, cfg.amount])
     return long.groupBy("variable", cfg.month, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(money(cfg.amount)).alias("m")
@@ -35,14 +35,14 @@ def mix_cells(df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], use: st
 
 def mix_by_month(df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], use: str = "") -> DataFrame:
     """Share of every bucket per month, by applications and by amount."""
-    cells = mix_cells(df, cfg, drivers, use)
+    return mix_from_cells(mix_cells(df, cfg, drivers, use), cfg)
+
+
+def mix_from_cells(cells: DataFrame, cfg: MonitorConfig) -> DataFrame:
     month = Window.partitionBy("variable", cfg.month)
     return cells.select(
         "variable", cfg.month, "bucket", "n",
-        *[
-            (F.col(w).cast("double") / F.nullif(F.sum(w).over(month).cast("double"), F.lit(0.0))).alias(f"share_{w}")
-            for w in ("n", "m")
-        ],
+        *[_share(F.col(w), F.sum(w).over(month)).alias(f"share_{w}") for w in ("n", "m")],
     )
 
 
@@ -68,34 +68,53 @@ def psi_terms(
     use: str = "",
 ) -> DataFrame:
     """Bucket shares in both windows and the index contribution of a bucket."""
-    m = F.col(cfg.month)
-    in_base, in_recent = m.between(*base), m.between(*recent)
-    rows = cfg.select_universe(df, use).filter(in_base | in_recent)
-    w = F.col("w")
-    long = unpivot_drivers(
-        rows, drivers,
-        [in_base.alias("in_base"), in_recent.alias("in_recent"), _weight(cfg, view).alias("w")],
-    )
-    cells = long.groupBy("variable", "bucket").agg(
-        F.sum(F.when(F.col("in_base"), w)).alias("base"),
-        F.sum(F.when(F.col("in_recent"), w)).alias("recent"),
+    return terms_from_cells(mix_cells(_in_windows(df, cfg, base, recent), cfg, drivers, use), cfg, base, recent, view)
+
+
+def terms_from_cells(
+    cells: DataFrame, cfg: MonitorConfig, base: tuple[int, int], recent: tuple[int, int], view: str = "n"
+) -> DataFrame:
+    m, w = F.col(cfg.month), F.col(weight_of(view))
+    per_bucket = _in_windows(cells, cfg, base, recent).groupBy("variable", "bucket").agg(
+        F.sum(F.when(m.between(*base), w)).alias("base"),
+        F.sum(F.when(m.between(*recent), w)).alias("recent"),
     )
     per_driver = Window.partitionBy("variable")
     shares = {s: _share(F.col(s), F.sum(s).over(per_driver)) for s in ("base", "recent")}
-    terms = cells.select(
+    terms = per_bucket.select(
         "variable", "bucket", shares["base"].alias("share_base"), shares["recent"].alias("share_recent")
     )
     return terms.withColumn("psi_term", _term(F.col("share_base"), F.col("share_recent")))
 
 
-def psi(df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], base, recent, view: str = "n", use: str = "") -> DataFrame:
+def _in_windows(df: DataFrame, cfg: MonitorConfig, base, recent) -> DataFrame:
+    m = F.col(cfg.month)
+    return df.filter(m.between(*base) | m.between(*recent))
+
+
+def psi(
+    df: DataFrame,
+    cfg: MonitorConfig,
+    drivers: Sequence[str],
+    base: tuple[int, int],
+    recent: tuple[int, int],
+    view: str = "n",
+    use: str = "",
+    limits: tuple[float, float] = PSI_LIMITS,
+) -> DataFrame:
     """Population stability index of every driver between two windows."""
-    total = (
-        psi_terms(df, cfg, drivers, base, recent, view, use)
-        .groupBy("variable")
-        .agg(F.count(F.lit(1)).alias("buckets"), F.sum("psi_term").alias("psi"))
+    cells = mix_cells(_in_windows(df, cfg, base, recent), cfg, drivers, use)
+    return psi_from_cells(cells, cfg, base, recent, view, limits)
+
+
+def psi_from_cells(
+    cells: DataFrame, cfg: MonitorConfig, base: tuple[int, int], recent: tuple[int, int], view: str = "n",
+    limits: tuple[float, float] = PSI_LIMITS,
+) -> DataFrame:
+    total = terms_from_cells(cells, cfg, base, recent, view).groupBy("variable").agg(
+        F.count(F.lit(1)).alias("buckets"), F.sum("psi_term").alias("psi")
     )
-    return total.withColumn("status", traffic_light("psi"))
+    return total.withColumn("status", traffic_light("psi", limits))
 
 
 def traffic_light(value: str, limits: tuple[float, float] = PSI_LIMITS) -> Column:
@@ -111,46 +130,38 @@ def evol_psi(
     recent: tuple[int, int],
     view: str = "n",
     use: str = "",
+    limits: tuple[float, float] = PSI_LIMITS,
 ) -> DataFrame:
     """Index of every month of the recent window against the base window.
 
     A bucket that a month lacks still counts, with the empty share.  Months
     without any row have no index and no result row.
     """
-    m = F.col(cfg.month)
-    in_base = m.between(*base)
-    rows = cfg.select_universe(df, use).filter(in_base | m.between(*recent))
-    long = unpivot_drivers(
-        rows, drivers,
-        [F.when(m.between(*recent), m).alias("period"), in_base.alias("in_base"), _weight(cfg, view).alias("w")],
-    )
-    # One map entry per recent month and bucket; labels and months are few.
-    cells = long.groupBy("variable", "bucket", "period").agg(
-        F.sum("w").alias("w"), F.sum(F.when(F.col("in_base"), F.col("w"))).alias("base_w")
-    )
-    per_bucket = cells.groupBy("variable", "bucket").agg(
-        F.sum("base_w").alias("base_w"),
+    cells = mix_cells(_in_windows(df, cfg, base, recent), cfg, drivers, use)
+    return evol_psi_from_cells(cells, cfg, base, recent, view, limits)
+
+
+def evol_psi_from_cells(
+    cells: DataFrame, cfg: MonitorConfig, base: tuple[int, int], recent: tuple[int, int], view: str = "n",
+    limits: tuple[float, float] = PSI_LIMITS,
+) -> DataFrame:
+    m, w = F.col(cfg.month), F.col(weight_of(view))
+    # One row per bucket with its months as a map, then one row per bucket and
+    # recent month, so that absent buckets show up; labels and months are few.
+    per_bucket = _in_windows(cells, cfg, base, recent).groupBy("variable", "bucket").agg(
+        F.sum(F.when(m.between(*base), w)).alias("base_w"),
         F.map_from_entries(
-            F.collect_list(F.when(F.col("period").isNotNull(), F.struct("period", "w")))
+            F.collect_list(F.when(m.between(*recent), F.struct(m.alias("period"), w.alias("w"))))
         ).alias("by_period"),
     )
-    months = _months_between(*recent)
-    shaped = per_bucket.select(
-        "variable", "bucket", "base_w",
-        F.explode(F.array(*[F.lit(x) for x in months])).alias(cfg.month), "by_period",
-    ).select("variable", "bucket", "base_w", cfg.month, F.col("by_period")[F.col(cfg.month)].alias("w"))
+    months = F.array(*[F.lit(x) for x in month_range(*recent)])
+    shaped = per_bucket.select("variable", "bucket", "base_w", F.explode(months).alias(cfg.month), "by_period")
     cell = Window.partitionBy("variable", cfg.month)
-    terms = shaped.select(
+    recent_w = F.col("by_period")[F.col(cfg.month)]
+    terms = shaped.withColumn("w", recent_w).select(
         "variable", cfg.month,
         _share(F.col("base_w"), F.sum("base_w").over(cell)).alias("p"),
         _share(F.col("w"), F.sum("w").over(cell)).alias("q"),
     ).filter("q IS NOT NULL")
     out = terms.groupBy("variable", cfg.month).agg(F.sum(_term(F.col("p"), F.col("q"))).alias("psi"))
-    return out.withColumn("status", traffic_light("psi"))
-
-
-def _months_between(start: int, end: int) -> list[int]:
-    out = [start]
-    while out[-1] < end:
-        out.append(shift_yyyymm(out[-1], 1))
-    return out
+    return out.withColumn("status", traffic_light("psi", limits))

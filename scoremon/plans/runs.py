@@ -19,7 +19,7 @@ from scoremon.operators import bands, calibration, cohorts, cube, discrimination
 from scoremon.operators.enrich import left_enrich
 from scoremon.operators.quantiles import approx_percentile
 from scoremon.plans import fixed_values as fx
-from scoremon.sources.tables import label_table, write_extract, write_partitioned
+from scoremon.sources.tables import label_table, store, write_extract, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -145,6 +145,8 @@ def monitored_columns(
 class MonitorPlan:
     """What one monitoring run reports.
 
+    ``calibration_use`` may be any predicate on the base; ``driver_use`` cuts
+    the months of the driver reports and may use the month column only.
     ``request`` names the request number, to tell a missing PD from a missing
     match of the extract.
     """
@@ -166,66 +168,76 @@ class MonitorPlan:
     request: str = ""
 
 
-def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan, factors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All result frames of a run, each lazy; ``df`` should be a stored table.
+def summaries(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> tuple[DataFrame, DataFrame]:
+    """The two small tables that most reports are made of, each from one scan.
 
-    ``factors`` (month, factor) is the stored monthly projection; without it
-    the driver views compute it on the way.
+    Sums per segment and month, and sums per driver, bucket and month.  They
+    are stored, so the reports never go back to the base.
     """
-    pd = cfg.pds[0]
+    horizons = calibration.report_horizons(cfg, [*plan.aux, *plan.horizons, cfg.target - 6])
+    sums = calibration.cohort_sums(
+        cfg.select_universe(df, plan.calibration_use), cfg, horizons, by=(cfg.segment,), early=True
+    )
+    cells = calibration.driver_cells(cfg.select_universe(df), cfg, plan.drivers, horizons)
+    return store(sums, "sums"), store(cells, "cells")
+
+
+def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, DataFrame]:
+    """All result frames of a run; ``df`` should be a stored table.
+
+    Five scans of the base in all: missing values, reconciliation, the two
+    summaries, and the score counts behind Gini and KS.
+    """
+    pd, month = cfg.pds[0], cfg.month
     checks = {"miss_pd": [pd]}
     if plan.request:
         checks["miss_sol"] = [pd, plan.request]
+    sums, cells = summaries(df, cfg, plan)
+    total = calibration.roll_up(sums, (), month)
+    shown = calibration.drop_missing(where(cells, plan.driver_use))
     out: dict[str, DataFrame] = {
-        "missing": quality.missing_by(df, [cfg.month], checks),
-        "validation": calibration.monthly_calibration(cfg.select_universe(df), cfg),
+        "missing": quality.missing_by(df, [month], checks),
         "reconcile": quality.reconcile_universes(df, cfg, cfg.universe, ""),
+        "validation": calibration.validation_from_sums(total, cfg),
+        "mix": stability.mix_from_cells(cells, cfg),
+        "information_value": calibration.iv_from_cells(where(cells, plan.driver_use), cfg),
     }
     for view in ("n", "m"):
-        cal = calibration.evol_calibration(df, cfg, view, plan.calibration_use, plan.aux, method=plan.method)
-        out[f"calibration_{view}"] = bands.add_bands(
-            cal, plan.bands, "n", "defaults", pd, f"rd{cfg.target}"
+        evol = calibration.evol_from_sums(total, cfg, view, plan.aux, method=plan.method)
+        factors = month_factors(total, cfg, view, plan.method)
+        out[f"calibration_{view}"] = bands.add_bands(evol, plan.bands, "n", "defaults", pd, f"rd{cfg.target}")
+        out[f"calibration_segment_{view}"] = calibration.evol_from_sums(
+            sums, cfg, view, plan.aux, (cfg.segment,), plan.method
         )
-        out[f"calibration_segment_{view}"] = calibration.evol_calibration(
-            df, cfg, view, plan.calibration_use, plan.aux, by=(cfg.segment,), method=plan.method
+        out[f"portfolio_{view}"] = portfolio_from_segments(sums, cfg, view, plan.method)
+        out[f"drivers_{view}"] = calibration.drivers_from_cells(
+            shown, cfg, factors, view, plan.aux[1], plan.min_share
         )
-        shared = factors if factors is not None else month_factors(df, cfg, view, plan)
-        out[f"drivers_{view}"] = calibration.multi_driver_calibration(
-            df, cfg, plan.drivers, shared, view, plan.driver_use, plan.aux[1], plan.min_share
+        out[f"evol_drivers_{view}"] = calibration.evol_drivers_from_cells(
+            calibration.drop_missing(cells), cfg, factors, view, plan.aux
         )
-        out[f"psi_{view}"] = stability.psi(df, cfg, plan.drivers, plan.base_window, plan.recent_window, view)
-        out[f"evol_psi_{view}"] = stability.evol_psi(
-            df, cfg, plan.drivers, plan.base_window, plan.recent_window, view
+        out[f"psi_{view}"] = stability.psi_from_cells(cells, cfg, plan.base_window, plan.recent_window, view)
+        out[f"evol_psi_{view}"] = stability.evol_psi_from_cells(
+            cells, cfg, plan.base_window, plan.recent_window, view
         )
-    out["mix"] = stability.mix_by_month(df, cfg, plan.drivers)
-    out["information_value"] = calibration.information_value(df, cfg, plan.drivers, use=plan.driver_use)
     start, end = plan.gini_months
-    out["gini"] = discrimination.evol_gini(
-        df, cfg, pd, plan.horizons, start=start, end=end, months=plan.gini_width, moving=True,
-        limits=plan.gini_limits,
-    )
-    out["gini_drivers"] = discrimination.multi_driver_gini(
-        df, cfg, plan.numeric, plan.drivers, plan.horizons, start=start, end=end,
-        months=plan.gini_width, moving=True,
+    scores = [pd, *[c for c in plan.numeric if c != pd]]
+    out["gini"] = discrimination.multi_driver_gini(
+        df, cfg, scores, horizons=plan.horizons, start=start, end=end, months=plan.gini_width,
+        moving=True, limits=plan.gini_limits, cells=cells,
     )
     return out
 
 
-def month_factors(df: DataFrame, cfg: MonitorConfig, view: str, plan: MonitorPlan) -> DataFrame:
-    """Portfolio projection factor per open month."""
-    base = cfg.select_universe(df, plan.calibration_use)
-    sums = calibration.cohort_sums(base, cfg.with_(pds=()), [cfg.target, *cfg.usable.values()])
-    projected = projection.with_projection(sums, cfg, view, plan.method)
+def month_factors(sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1") -> DataFrame:
+    """Portfolio projection factor per open month, from portfolio sums."""
+    projected = projection.with_projection(sums, cfg, view, method)
     return projection.open_cohorts(projected, cfg).select(cfg.month, "factor")
 
 
-def portfolio_from_segments(df: DataFrame, cfg: MonitorConfig, view: str, plan: MonitorPlan) -> DataFrame:
+def portfolio_from_segments(sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1") -> DataFrame:
     """Portfolio projection put together from the segment projections."""
-    base = cfg.select_universe(df, plan.calibration_use)
-    sums = calibration.cohort_sums(
-        base, cfg.with_(pds=()), [cfg.target, *cfg.usable.values()], by=(cfg.segment,)
-    )
-    projected = projection.with_projection(sums, cfg, view, plan.method, by=(cfg.segment,))
+    projected = projection.with_projection(sums, cfg, view, method, by=(cfg.segment,))
     return projection.portfolio_projection(projection.open_cohorts(projected, cfg), view, cfg.month)
 
 

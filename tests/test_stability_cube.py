@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import uuid
+from decimal import Decimal
 from types import SimpleNamespace
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import month_range
-from scoremon.operators import cohorts, cube as cb, stability as st
+from scoremon.operators import calibration as cal, cohorts, cube as cb, discrimination as ds, stability as st
 from scoremon.plans import fixed_values as fx
 from scoremon.plans import runs
 from scoremon.sources import tables as tb
@@ -119,18 +120,48 @@ def test_publish_writes_all_parts(book, tmp_path):
     assert spark.read.option("header", True).csv(where["pd_titles_csv"]).count() == 10
 
 
-def test_monitor_run_returns_all_views(book):
+PLAN = dict(numeric=["pd", "amount"], base_window=(202101, 202112), recent_window=(202201, 202212),
+            gini_months=(202201, 202203), driver_use="codmes BETWEEN 202201 AND 202304")
+
+
+def same_rows(a, b):
+    def rows(df):
+        return sorted(
+            (tuple(round(float(c), 9) if isinstance(c, (float, Decimal)) else c for c in r)
+             for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    return rows(a) == rows(b)
+
+
+def test_run_reports_equal_the_single_operators(book):
+    """Reports made from the stored summaries equal the operators on the base."""
     _, df = book
-    plan = runs.MonitorPlan(
-        drivers=["segment", "axis"], numeric=["pd", "amount"], base_window=(202101, 202112),
-        recent_window=(202201, 202212), gini_months=(202201, 202212), driver_use="codmes BETWEEN 202201 AND 202304")
+    plan = runs.MonitorPlan(drivers=["segment", "axis"], **PLAN)
     out = runs.monitor(df, CFG, plan)
-    assert {"calibration_n", "calibration_m", "psi_n", "psi_m", "gini", "gini_drivers", "drivers_m", "mix"} <= set(out)
-    for name, frame in out.items():
-        assert frame.limit(1).count() == 1, name
-    assert out["gini"].count() == 12 and out["psi_n"].count() == 2
-    assert "inside" in out["calibration_n"].columns
-    assert runs.portfolio_from_segments(df, CFG, "m", plan).count() == 6
+    base, recent = plan.base_window, plan.recent_window
+    factors = {v: cal.evol_calibration(df, CFG, v).filter("rd_proj IS NOT NULL").select("codmes", "factor") for v in "nm"}
+    drivers = ["segment", "axis"]
+    want = {
+        "validation": cal.monthly_calibration(df, CFG),
+        "mix": st.mix_by_month(df, CFG, drivers),
+        "information_value": cal.information_value(df, CFG, drivers, use=plan.driver_use),
+        "gini": ds.multi_driver_gini(df, CFG, ["pd", "amount"], drivers, start=202201, end=202203, months=6,
+                                     moving=True, limits=(0.4, 0.5)),
+    }
+    for v in "nm":
+        want[f"calibration_segment_{v}"] = cal.evol_calibration(df, CFG, v, by=("segment",))
+        want[f"drivers_{v}"] = cal.multi_driver_calibration(
+            df, CFG, drivers, factors[v], v, plan.driver_use, min_share=0.05)
+        want[f"psi_{v}"] = st.psi(df, CFG, drivers, base, recent, v)
+        want[f"evol_psi_{v}"] = st.evol_psi(df, CFG, drivers, base, recent, v)
+        evol = out[f"evol_drivers_{v}"].filter("variable = 'axis'").drop("variable").withColumnRenamed("bucket", "axis")
+        assert same_rows(evol, cal.evol_calibration_driver(df, CFG, "axis", factors[v], v))
+        bare = out[f"calibration_{v}"]
+        assert "inside" in bare.columns
+        assert same_rows(bare.drop("lower", "upper", "inside"), cal.evol_calibration(df, CFG, v))
+        assert out[f"portfolio_{v}"].count() == 6
+    for name, frame in want.items():
+        assert same_rows(out[name], frame), name
+    assert out["missing"].count() == out["reconcile"].count() == 49
 
 
 def test_other_column_names_give_the_same_results(book, tmp_path):
@@ -141,9 +172,8 @@ def test_other_column_names_give_the_same_results(book, tmp_path):
     other = df.withColumns({f"DEF{k}": CFG.defaulted(k) for k in horizons}).withColumn("MORA", CFG.defaulted(3))
     other = other.drop("dist_def").withColumnsRenamed(names)
     cfg = CFG.with_(month="CODMES", amount="MONTO", pds=("PD_USO",), segment="SEGMENTO", target_prefix="DEF", early="MORA")
-    plan = dict(numeric=["pd"], base_window=(202101, 202112), recent_window=(202201, 202212), gini_months=(202201, 202203))
-    a = runs.monitor(df, CFG, runs.MonitorPlan(drivers=["segment", "axis"], **plan))
-    b = runs.monitor(other, cfg, runs.MonitorPlan(drivers=["SEGMENTO", "EJE"], **{**plan, "numeric": ["PD_USO"]}))
+    a = runs.monitor(df, CFG, runs.MonitorPlan(drivers=["segment", "axis"], **{**PLAN, "numeric": []}))
+    b = runs.monitor(other, cfg, runs.MonitorPlan(drivers=["SEGMENTO", "EJE"], **{**PLAN, "numeric": []}))
     for name in ("calibration_m", "drivers_n", "psi_m", "evol_psi_n", "gini", "information_value", "validation"):
         x, y = (
             sorted([tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in f[name].drop("variable").collect()], key=repr)
