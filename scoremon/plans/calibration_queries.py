@@ -9,6 +9,7 @@ from scoremon.operators import projection as pj
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
 from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r6, with_drivers
+from scoremon.sources.tables import store
 from scoremon.sources.views import scored_base
 
 UNIVERSE = "def_at_origin = 0 AND xb IS NOT NULL"
@@ -276,6 +277,26 @@ def factor_table(spark, sf_dir):
     return factors(spark, sf_dir).select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
 
 
+@query(
+    "factor_merge",
+    scored(
+        "SELECT month_def, codmes, seg_proy, "
+        + ", ".join(f"round({c}, 6) AS {c}" for c in FACTOR_COLUMNS) + " FROM factors",
+        *FACTOR_VIEWS,
+    ),
+)
+def factor_merge(spark, sf_dir):
+    """The factor table joined from two exported views of stored segment sums."""
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    base = base.withColumn("seg_proy", cohorts.segment_id("segment", SEGMENT_IDS)).filter("seg_proy IS NOT NULL")
+    sums = store(cal.cohort_sums(base, CFG.with_(pds=()), cal.report_horizons(CFG), by=("seg_proy",)), "sums")
+    accounts, amounts = (
+        pj.open_cohorts(pj.with_projection(sums, CFG, view, by=("seg_proy",)), CFG) for view in ("n", "m")
+    )
+    out = cohorts.merge_factor_views(accounts, amounts, RUN_MONTH)
+    return out.select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
+
+
 LATEST_SQL = "CASE " + " ".join(
     f"WHEN month_idx = {CLOSED + j} AND dist_def <= {h} THEN 1"
     for j, h in (*OPEN, (7, 18), (8, 17), (9, 16))

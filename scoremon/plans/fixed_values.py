@@ -109,6 +109,8 @@ GUARANTEE_TIERS = {"1. Afluente": 345, "2. Consumo": 415, "3. Resto": 415}
 # Ordered bands of the renewed sources (first match wins).
 # ---------------------------------------------------------------------------
 
+LTV_SOURCE_SINCE = 202308
+
 LTV_BANDS = (
     Band("3. 0.679 - 0.801", 0.679, 0.801),
     Band("1. 0.643 - 0.643", 0.643, 0.643),

@@ -6,6 +6,7 @@ column-pruned table instead of evaluating the joins of the base again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig, product_universe, where
 from scoremon.functions import buckets as bk
-from scoremon.functions.scores import logit_to_pd, null_safe_sum, null_sentinels, score_to_logit
+from scoremon.functions.scores import (
+    logit_to_pd, null_safe_sum, null_sentinels, score_to_logit, switch_source,
+)
 from scoremon.operators import bands, calibration, cohorts, cube, discrimination, projection, quality, stability
-from scoremon.operators.enrich import left_enrich
+from scoremon.operators.enrich import latest_per_key, left_enrich, rule_lookup
 from scoremon.operators.quantiles import approx_percentile
 from scoremon.plans import fixed_values as fx
 from scoremon.sources.tables import label_table, store, write_extract, write_partitioned
@@ -138,6 +141,54 @@ def monitored_columns(
     }
 
 
+def renewed_columns(
+    month: str, ltv: tuple[str, str], term: str, tenure: str, age: str, spouse_income: str, holder_income: str
+) -> dict[str, Column]:
+    """Ordered bands of the renewed sources; ``ltv`` is (new, old) source."""
+    value = switch_source(month, fx.LTV_SOURCE_SINCE, *ltv)
+    bands_of = {
+        term: fx.TERM_BANDS, tenure: fx.TENURE_BANDS, age: fx.AGE_BANDS,
+        spouse_income: fx.SPOUSE_INCOME_BANDS, holder_income: fx.HOLDER_INCOME_BANDS,
+    }
+    out = {"ltv_corregido_vf": value, "ltv_corregido_vf_q": bk.ordered_bands(value, fx.LTV_BANDS)}
+    out.update({f"{c}_q": bk.ordered_bands(c, rules) for c, rules in bands_of.items()})
+    return out
+
+
+def with_zone_risk(df: DataFrame, department: str, district: str) -> DataFrame:
+    """Zone risk by both rule sets, and the numeric weight of the second one."""
+    for name, rules, unknown in (
+        ("riesgo_zona2", fx.ZONE_RISK_RULES, None),
+        ("riesgo_zona_st", fx.ZONE_RISK_RULES_2, fx.ZONE_RISK_UNKNOWN),
+    ):
+        table = label_table(df.sparkSession, rules, [department, district, "_risk"])
+        df = rule_lookup(df, table, department, district, "_risk", fx.ZONE_RISK_DEFAULT, unknown, name)
+    return df.withColumn("riesgo_zona_st_st", bk.recode("riesgo_zona_st", fx.ZONE_RISK_WEIGHTS))
+
+
+def with_latest_run(
+    df: DataFrame, log: DataFrame, key: str, log_key: str, date: str, columns: Mapping[str, str], keep_if: str = ""
+) -> DataFrame:
+    """Columns of the latest evaluation run of each request, ties included."""
+    needed = dict.fromkeys([log_key, date, *columns, *_mentioned(log, keep_if)])
+    newest = latest_per_key(log.select(*needed), log_key, date, keep_if)
+    renamed = newest.select(F.col(log_key).alias(key), *[F.col(c).alias(n) for c, n in columns.items()])
+    return df.join(renamed, key, "left")
+
+
+def _mentioned(df: DataFrame, predicate: str) -> list[str]:
+    """Columns whose name occurs in a predicate, to keep projections narrow."""
+    words = set(re.findall(r"\w+", predicate.lower()))
+    return [c for c in df.columns if c.lower() in words]
+
+
+def acceptance(score: str, segment: str | None = None) -> Column:
+    """Acceptance flag of the cube: one floor, or one floor per segment."""
+    if segment is None:
+        return bk.flag(F.col(score) >= fx.TRADITIONAL_MIN_SCORE)
+    return bk.tiered_accept(score, segment, fx.GUARANTEE_TIERS)
+
+
 # -- monitoring --------------------------------------------------------------
 
 

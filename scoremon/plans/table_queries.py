@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scoremon.config import where
 from scoremon.functions.scores import null_sentinels
 from scoremon.operators import enrich, quality, quantiles
+from scoremon.operators.calibration import monthly_calibration
 from scoremon.plans import oracle as sql
 from scoremon.plans.registry import query
 from scoremon.plans.setup import ALL_ROWS, DRIVERS_SQL, with_drivers
@@ -188,24 +189,33 @@ def _cube_sql(name: str, predicate: str) -> str:
  FROM scored WHERE {predicate} GROUP BY codmes)"""
 
 
-@query(
-    "reconcile_monthly",
-    sql.scored(
-        """
+RECONCILE_SQL = sql.scored(
+    """
 SELECT a.codmes, a.n - b.n AS dif_n, round(a.amount_mm - b.amount_mm, 2) AS dif_amount_mm,
  round(a.pd_mean - b.pd_mean, 2) AS dif_pd_mean, round(a.rd24 - b.rd24, 2) AS dif_rd24,
  round(a.rd18 - b.rd18, 2) AS dif_rd18, a.def24 - b.def24 AS dif_def24
 FROM a JOIN b ON a.codmes = b.codmes
 """,
-        _cube_sql("a", "def_at_origin = 0 AND codmes >= 199601 AND xb IS NOT NULL"),
-        _cube_sql("b", "def_at_origin = 0 AND codmes >= 199601"),
-    ),
+    _cube_sql("a", "def_at_origin = 0 AND codmes >= 199601 AND xb IS NOT NULL"),
+    _cube_sql("b", "def_at_origin = 0 AND codmes >= 199601"),
 )
+
+
+@query("reconcile_monthly", RECONCILE_SQL)
 def reconcile_monthly(spark, sf_dir):
     base = where(v.scored_base(spark, sf_dir), "def_at_origin = 0 AND codmes >= 199601")
     return quality.reconcile_universes(base, ALL_ROWS, "xb IS NOT NULL", "")
 
 
+@query("reconcile_join", RECONCILE_SQL)
+def reconcile_join(spark, sf_dir):
+    """The same differences from two monthly cubes joined on the month."""
+    base = where(v.scored_base(spark, sf_dir), "def_at_origin = 0 AND codmes >= 199601")
+    cubes = [monthly_calibration(where(base, p), ALL_ROWS) for p in ("xb IS NOT NULL", "")]
+    columns = ["n", "amount_mm", "pd_mean", "rd24", "rd18", "def24"]
+    return quality.reconcile(*cubes, "codmes", columns)
+
+
 @query(
     "table_diff",
     sql.base(

@@ -235,6 +235,28 @@ def test_monitored_columns(spark):
     assert (b.pd_rbm, b.ingreso_cony_tit, b.cat_zona, b.ran) == (0.3, 0.0, "99. Missing", "OTHER")
 
 
+def test_renewed_sources_zone_and_latest_run(spark):
+    df = spark.createDataFrame(
+        [("r1", 202307, 0.5, 0.7, 12.0, 30.0, 39.0, 0.0, 9409.0, "LIMA", "LURIN-LIMA", 415.0, "2. Consumo"),
+         ("r2", 202308, 0.643, 0.7, None, 700.0, 39.5, -1.0, 16000.5, "ICA", None, 414.0, "2. Consumo")],
+        "req STRING, codmes INT, ltv_new DOUBLE, ltv_old DOUBLE, term DOUBLE, tenure DOUBLE, age DOUBLE, inc_c DOUBLE, "
+        "inc_t DOUBLE, dep STRING, dis STRING, score DOUBLE, segment STRING")
+    log = spark.createDataFrame([("r1", 1, "old", "T"), ("r1", 2, "new", "T"), ("r1", 3, "other", "C")],
+                                "num STRING, run INT, prov STRING, role STRING")
+    out = df.withColumns(runs.renewed_columns("codmes", ("ltv_new", "ltv_old"), "term", "tenure", "age", "inc_c", "inc_t"))
+    out = runs.with_latest_run(runs.with_zone_risk(out, "dep", "dis"), log, "req", "num", "run", {"prov": "suite_prov"}, "role = 'T'")
+    out = out.withColumns({"one": runs.acceptance("score"), "tier": runs.acceptance("score", "segment")})
+    a, b = out.orderBy("req").collect()
+    assert (a.ltv_corregido_vf, a.ltv_corregido_vf_q, b.ltv_corregido_vf_q) == (0.7, "3. 0.679 - 0.801", "1. 0.643 - 0.643")
+    assert (a.term_q, b.term_q, a.tenure_q, b.tenure_q) == (
+        "3. De 10 a 14 años", "98. Missing", "2. 27.000 - 59.000", "99. Out of Range")
+    assert (a.age_q, b.age_q, a.inc_c_q, b.inc_c_q, a.inc_t_q, b.inc_t_q) == (
+        "2. 34.000 - 39.000", "3. 39.000 - 45.000", "0. Sin conyuge", "99. Out of Range", "2. 6159.000 - 940...", "4. 16000.000 - 43...")
+    assert (a.riesgo_zona2, a.riesgo_zona_st, b.riesgo_zona2, b.riesgo_zona_st) == ("BAJO", "ALTO", "ALTO", "ND")
+    assert a.riesgo_zona_st_st == fx.ZONE_RISK_WEIGHTS["ALTO"] and b.riesgo_zona_st_st == fx.ZONE_RISK_WEIGHTS["ND"]
+    assert (a.suite_prov, b.suite_prov, a.one, a.tier, b.tier) == ("new", None, 1, 1, 0)
+
+
 # -- sources -----------------------------------------------------------------
 
 
