@@ -10,7 +10,7 @@ from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
 from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r6, with_drivers
 from scoremon.sources.tables import store
-from scoremon.sources.views import scored_base
+from scoremon.sources.views import scored_base, stored_base
 
 UNIVERSE = "def_at_origin = 0 AND xb IS NOT NULL"
 HORIZONS = (3, 12, 16, 17, 18, 19, 20, 21, 22, 23, 24)
@@ -145,8 +145,8 @@ def window_mean(spark, sf_dir):
 # -- projection --------------------------------------------------------------
 
 
-def projected(spark, sf_dir, view="n", method="met1", by=()):
-    base = CFG.select_universe(scored_base(spark, sf_dir))
+def projected(base, view="n", method="met1", by=()):
+    base = CFG.select_universe(base)
     sums = cal.cohort_sums(base, CFG.with_(pds=()), [24, *CFG.usable.values()], by)
     return pj.with_projection(sums, CFG, view, method, by)
 
@@ -159,7 +159,7 @@ def _register_method(method: str) -> None:
         scored(text + open_only("proj"), SUMS, projection_sql("proj", "sums", "n", method)),
     )
     def run(spark, sf_dir):
-        out = pj.open_cohorts(projected(spark, sf_dir, "n", method), CFG)
+        out = pj.open_cohorts(projected(scored_base(spark, sf_dir), "n", method), CFG)
         return out.select("codmes", *r6("rd_usable", "factor", "rd_proj"))
 
 
@@ -212,7 +212,7 @@ SELECT codmes, round(CASE WHEN codmes IN (199909, 199911, 200001) THEN rd_new/nu
 )
 def projection_override(spark, sf_dir):
     table = spark.createDataFrame(OVERRIDES, "codmes INT, op STRING, value DOUBLE")
-    out = pj.override_projection(pj.open_cohorts(projected(spark, sf_dir), CFG), table)
+    out = pj.override_projection(pj.open_cohorts(projected(scored_base(spark, sf_dir)), CFG), table)
     return out.select("codmes", *r6("factor", "rd_proj"))
 
 
@@ -228,7 +228,7 @@ SELECT segment, codmes, round(avg(rd_proj) OVER (PARTITION BY segment ORDER BY m
     ),
 )
 def projection_smooth(spark, sf_dir):
-    rows = pj.open_cohorts(projected(spark, sf_dir, by=("segment",)), CFG)
+    rows = pj.open_cohorts(projected(scored_base(spark, sf_dir), by=("segment",)), CFG)
     return pj.smooth_projection(rows, 3, by=("segment",)).select("segment", "codmes", *r6("rd_proj"))
 
 
@@ -241,7 +241,7 @@ def projection_smooth(spark, sf_dir):
     ),
 )
 def portfolio_projection(spark, sf_dir):
-    rows = pj.open_cohorts(projected(spark, sf_dir, "m", by=("segment",)), CFG)
+    rows = pj.open_cohorts(projected(scored_base(spark, sf_dir), "m", by=("segment",)), CFG)
     return pj.portfolio_projection(rows, "m").select("codmes", "segments", *r6("rd_proj"))
 
 
@@ -261,8 +261,8 @@ FACTOR_VIEWS = (
 FACTOR_COLUMNS = ("projection_amounts", "factor_amounts", "projection_accounts", "factor_accounts")
 
 
-def factors(spark, sf_dir):
-    return cohorts.factor_table(scored_base(spark, sf_dir), CFG, SEGMENT_IDS, RUN_MONTH)
+def factors(base):
+    return cohorts.factor_table(base, CFG, SEGMENT_IDS, RUN_MONTH)
 
 
 @query(
@@ -274,7 +274,7 @@ def factors(spark, sf_dir):
     ),
 )
 def factor_table(spark, sf_dir):
-    return factors(spark, sf_dir).select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
+    return factors(scored_base(spark, sf_dir)).select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
 
 
 @query(
@@ -319,8 +319,9 @@ FROM seg_scored s LEFT JOIN factors f ON f.codmes = s.codmes AND f.seg_proy = s.
     ),
 )
 def factor_join(spark, sf_dir):
-    base = scored_base(spark, sf_dir).withColumn("seg_proy", cohorts.segment_id("segment", SEGMENT_IDS))
-    out = cohorts.factor_join(base, factors(spark, sf_dir), CFG)
+    base = stored_base(spark, sf_dir)
+    segments = base.withColumn("seg_proy", cohorts.segment_id("segment", SEGMENT_IDS))
+    out = cohorts.factor_join(segments, factors(base), CFG)
     return out.select(
         "app_id", "codmes", "seg_proy", "ult_rd",
         *r6("proj_factor_m", "proj_factor_n", "proj_value_m", "proj_value_n"),
@@ -332,8 +333,8 @@ def factor_join(spark, sf_dir):
 USE = "codmes BETWEEN 199801 AND 200002 AND codmes NOT IN (199805, 199903)"
 
 
-def month_factors(spark, sf_dir, view="n"):
-    return pj.open_cohorts(projected(spark, sf_dir, view), CFG).select("codmes", "factor")
+def month_factors(base, view="n"):
+    return pj.open_cohorts(projected(base, view), CFG).select("codmes", "factor")
 
 
 def _by_driver_sql(drivers, view: str, min_share: float, keep_missing: bool) -> str:
@@ -372,9 +373,8 @@ FROM s WHERE share >= {min_share}
     ),
 )
 def driver_calibration(spark, sf_dir):
-    out = cal.driver_calibration(
-        with_drivers(scored_base(spark, sf_dir)), CFG, "pd_r", month_factors(spark, sf_dir), use=USE
-    )
+    base = stored_base(spark, sf_dir)
+    out = cal.driver_calibration(with_drivers(base), CFG, "pd_r", month_factors(base), use=USE)
     return out.select("pd_r", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
 
 
@@ -389,9 +389,9 @@ CAL_DRIVERS = ("amount_r", "income_r", "score_r", "segment", "job_type")
     ),
 )
 def multi_driver_calibration(spark, sf_dir):
+    base = stored_base(spark, sf_dir)
     out = cal.multi_driver_calibration(
-        with_drivers(scored_base(spark, sf_dir)), CFG, CAL_DRIVERS, month_factors(spark, sf_dir, "m"),
-        view="m", use=USE, min_share=0.05,
+        with_drivers(base), CFG, CAL_DRIVERS, month_factors(base, "m"), view="m", use=USE, min_share=0.05
     )
     return out.select("variable", "bucket", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
 
@@ -440,9 +440,8 @@ FROM c LEFT JOIN (SELECT codmes AS pm, factor {open_only('proj')}) p ON p.pm = c
     ),
 )
 def evol_calibration_driver(spark, sf_dir):
-    out = cal.evol_calibration_driver(
-        scored_base(spark, sf_dir), CFG, "job_type", month_factors(spark, sf_dir), use="codmes >= 199701"
-    )
+    base = stored_base(spark, sf_dir)
+    out = cal.evol_calibration_driver(base, CFG, "job_type", month_factors(base), use="codmes >= 199701")
     return out.select("job_type", "block_end", "n", *r6("pd", "rd24", "rd21", "rd12", "rd_proj"))
 
 

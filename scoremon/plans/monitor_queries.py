@@ -15,7 +15,7 @@ from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
 from scoremon.plans.setup import CFG, DRIVERS_SQL, SEGMENT_IDS, r6, with_drivers
 from scoremon.sources import tables as tb
-from scoremon.sources.views import calendar, scored_base
+from scoremon.sources.views import calendar, scored_base, stored_base
 
 # -- stability ---------------------------------------------------------------
 
@@ -258,7 +258,7 @@ MULTI_SOURCE = " UNION ALL ".join(
 )
 def multi_driver_gini(spark, sf_dir):
     out = ds.multi_driver_gini(
-        scored_base(spark, sf_dir), CFG, NUMERIC, CATEGORICAL, (24,), start=199801, end=199908,
+        stored_base(spark, sf_dir), CFG, NUMERIC, CATEGORICAL, (24,), start=199801, end=199908,
         months=3, moving=True,
     )
     return out.select("variable", "codmes", "n", *r6("gini24", "ks24"))
@@ -366,8 +366,8 @@ def _rounded(df, measures=MEASURES):
     ]
 
 
-def _cube_base(spark, sf_dir):
-    df = calendar(with_drivers(CFG.select_universe(scored_base(spark, sf_dir))))
+def _cube_base(base):
+    df = calendar(with_drivers(CFG.select_universe(base)))
     df = df.withColumns(
         {
             "seg_proy": cohorts.segment_id("segment", SEGMENT_IDS),
@@ -395,7 +395,8 @@ def _cube_base(spark, sf_dir):
 
 
 def cube(spark, sf_dir):
-    return cb.reporting_cube(_cube_base(spark, sf_dir), CFG, AXES, PDS, factors(spark, sf_dir))
+    base = stored_base(spark, sf_dir)
+    return cb.reporting_cube(_cube_base(base), CFG, AXES, PDS, factors(base))
 
 
 @query("reporting_cube", scored(f"SELECT {', '.join(CUBE_KEYS)}, {_rounded_sql()} FROM cube", *CUBE_VIEWS))

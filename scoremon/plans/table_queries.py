@@ -80,8 +80,9 @@ FROM app_base b LEFT JOIN latest l ON l.req_id = b.client_id
     ),
 )
 def latest_per_key(spark, sf_dir):
+    log = tb.store(v.eval_log(spark, sf_dir), "log")
     latest = enrich.latest_per_key(
-        v.eval_log(spark, sf_dir), "req_id", "run_month", keep_if="district <> '3. Rest'"
+        log, "req_id", "run_month", keep_if="district <> '3. Rest'"
     ).withColumnRenamed("app_id", "log_app_id")
     base = v.app_base(spark, sf_dir).select("app_id", F.col("client_id").alias("req_id"))
     return base.join(latest, "req_id", "left").select("app_id", "req_id", "log_app_id", "run_month", "district")
@@ -210,7 +211,7 @@ def reconcile_monthly(spark, sf_dir):
 @query("reconcile_join", RECONCILE_SQL)
 def reconcile_join(spark, sf_dir):
     """The same differences from two monthly cubes joined on the month."""
-    base = where(v.scored_base(spark, sf_dir), "def_at_origin = 0 AND codmes >= 199601")
+    base = where(v.stored_base(spark, sf_dir), "def_at_origin = 0 AND codmes >= 199601")
     cubes = [monthly_calibration(where(base, p), ALL_ROWS) for p in ("xb IS NOT NULL", "")]
     columns = ["n", "amount_mm", "pd_mean", "rd24", "rd18", "def24"]
     return quality.reconcile(*cubes, "codmes", columns)
@@ -244,7 +245,7 @@ UNION ALL SELECT 'extra', 'right_only', NULL, matched, left_only, right_only FRO
     ),
 )
 def table_diff(spark, sf_dir):
-    ext = v.app_ext(spark, sf_dir)
+    ext = tb.store(v.app_ext(spark, sf_dir), "extract")
     cleaned = where(ext, "app_id % 7 <> 0").withColumns(
         {"debt_raw": null_sentinels("debt_raw"), "extra": F.lit(1)}
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scoremon.functions.months import year_text
 from scoremon.functions.scores import logit_to_pd, logit_to_score
+from scoremon.sources.tables import store
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,14 @@ def scored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored_base`` written once, for queries that read it several times.
+
+    The joins behind it then run once, and each pass reads only its columns.
+    """
+    return store(scored_base(spark, sf_dir), "base")
+
+
 def app_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second scored extract: part of the applications, some of them twice."""
     return (
