@@ -156,6 +156,14 @@ def window_mean(df: DataFrame, columns: Sequence[str], start: int, end: int, mon
     )
 
 
+def _usable_sum(cfg: MonitorConfig, view: str, ahead: Column) -> Column:
+    """Default sum at the newest usable horizon of the cohort; null if it has none."""
+    out = F
+    for j, h in cfg.usable.items():
+        out = out.when(ahead == j, F.col(f"d{h}_{view}").cast("double"))
+    return out
+
+
 # -- by driver ---------------------------------------------------------------
 
 def unpivot_drivers(df: DataFrame, drivers: Sequence[str], keep: Sequence[str | Column]) -> DataFrame:
@@ -233,9 +241,7 @@ def drivers_from_cells(
     per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
     joined = cells.join(F.broadcast(per_month), cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
-    usable = F.lit(None).cast("double")
-    for j, h in cfg.usable.items():
-        usable = F.when(ahead == j, F.col(f"d{h}_{w}").cast("double")).otherwise(usable)
+    usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")
     closed = ahead <= 0
     grouped = joined.groupBy("variable", "bucket").agg(
@@ -265,7 +271,8 @@ def drivers_from_cells(
 
 def driver_calibration(df: DataFrame, cfg: MonitorConfig, driver: str, factors: DataFrame, **kw) -> DataFrame:
     """Calibration per bucket of one driver."""
-    return multi_driver_calibration(df, cfg, [driver], factors, **kw).drop("variable").withColumnRenamed("bucket", driver)
+    out = multi_driver_calibration(df, cfg, [driver], factors, **kw)
+    return out.drop("variable").withColumnRenamed("bucket", driver)
 
 
 def information_value(
@@ -343,9 +350,7 @@ def evol_drivers_from_cells(
     per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
     joined = cells.join(F.broadcast(per_month), cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
-    usable = F.lit(None).cast("double")
-    for j, h in cfg.usable.items():
-        usable = F.when(ahead == j, F.col(f"d{h}_{w}").cast("double")).otherwise(usable)
+    usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")
     # Blocks are aligned to the newest closed cohort.
     block_end = F.col("month_idx") + F.pmod(F.lit(cfg.closed_index) - F.col("month_idx"), F.lit(months))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import index_of, month_from_index, shift_yyyymm, yyyymm_of
-from scoremon.operators.calibration import unpivot_drivers
+from scoremon.operators.calibration import rate, unpivot_drivers
 
 
 def score_counts(
@@ -40,8 +40,9 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     """Gini and KS per group from ``score_counts`` rows, for several targets.
 
     A score may come in several rows of its group (one per month of a
-    window); the frames below treat equal scores as one.  Adds ``n`` and, per target ``t``, ``gini_<t>`` and ``ks_<t>``; both are
-    null for a group with defaults only or without any.
+    window); the frames below treat equal scores as one.  Adds ``n`` and, per
+    target ``t``, ``gini_<t>`` and ``ks_<t>``; both are null for a group with
+    defaults only or without any.
     """
     # Group totals are needed to compare distances across ranges.  They join
     # before the range partitioning, so that both branches read the same
@@ -72,9 +73,7 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     for t in targets:
         bads, goods = F.col(f"{t}_bads"), F.col("total") - F.col(f"{t}_bads")
         # Distance of the two curves inside the range, from its own start.
-        gap = F.col(f"{t}_b") / F.nullif(bads.cast("double"), F.lit(0.0)) - F.col(f"{t}_g") / F.nullif(
-            goods.cast("double"), F.lit(0.0)
-        )
+        gap = rate(f"{t}_b", bads) - rate(f"{t}_g", goods)
         aggs += [
             F.first(bads).alias(f"{t}_bads"),
             F.sum(t).alias(f"{t}_in"),
@@ -95,9 +94,7 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     final = [F.first("total").alias("n")]
     for t in targets:
         bads, goods = F.col(f"{t}_bads"), F.col("total") - F.col(f"{t}_bads")
-        start = F.col(f"{t}_b0") / F.nullif(bads.cast("double"), F.lit(0.0)) - F.col(f"{t}_g0") / F.nullif(
-            goods.cast("double"), F.lit(0.0)
-        )
+        start = rate(f"{t}_b0", bads) - rate(f"{t}_g0", goods)
         won = F.sum(F.col(f"{t}_pairs") + 2 * F.col(f"{t}_in").cast("double") * F.col(f"{t}_g0"))
         pairs = F.nullif(F.first(bads).cast("double") * F.first(goods).cast("double"), F.lit(0.0))
         final += [
@@ -109,10 +106,6 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     return placed.groupBy(*group).agg(*final)
 
 
-def _targets(cfg: MonitorConfig, horizons: Sequence[int]) -> dict[str, Column]:
-    return {str(k): cfg.defaulted(k) for k in horizons}
-
-
 def _in_months(df: DataFrame, cfg: MonitorConfig, start: int | None, end: int | None) -> DataFrame:
     if start is not None:
         df = df.filter(F.col(cfg.month) >= start)
@@ -136,8 +129,9 @@ def evol_gini(
     """Gini and KS over time.
 
     ``moving``: one result per month ``start..end`` from the ``months`` cohorts
-    ending there, which reach back before ``start``.  Otherwise consecutive blocks of ``months`` cohorts counted from the first
-    month, each named by its last month.  A horizon is reported only for
+    ending there, which reach back before ``start``.  Otherwise consecutive
+    blocks of ``months`` cohorts counted from the first month, each named by
+    its last month.  A horizon is reported only for
     windows whose youngest cohort is old enough for it.  ``limits`` (low,
     high) adds a status column for the first horizon.
     """
@@ -198,10 +192,10 @@ def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, c
             "variable", cfg.month, "bucket", "n", *[F.col(f"d{t}_n").alias(t) for t in names]
         )
         label = Window.partitionBy("variable", "bucket")
-        rate = F.sum(names[0]).over(label) / F.sum("n").over(label)
+        default_rate = F.sum(names[0]).over(label) / F.sum("n").over(label)
         # Labels of equal rate are one score.
         parts.append(
-            labelled.withColumn("score", rate).groupBy("variable", cfg.month, "score").agg(
+            labelled.withColumn("score", default_rate).groupBy("variable", cfg.month, "score").agg(
                 F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in names]
             )
         )
