@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremon.llm import decontaminate
+from scoremon.llm import decontaminate, ngram_join
 from scoremon.llm.common import table
 from scoremon.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -24,3 +24,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         ).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
