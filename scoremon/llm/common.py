@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,5 +117,48 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-def sql_columns(names: Sequence[str]) -> str:
-    return ", ".join(f"`{n}`" for n in names)
+BUCKET_ROWS = 20_000
+
+
+def hash_bucket(buckets: int, *columns: str) -> F.Column:
+    """Which of ``buckets`` equal ranges of a 31-bit hash a row falls in."""
+    h = F.shiftrightunsigned(F.xxhash64(*columns), 33)
+    return F.shiftright(h * buckets, 31).cast("int")
+
+
+def running(rows: DataFrame, group: str, order: Sequence[str], value: F.Column, name: str) -> DataFrame:
+    """``rows`` (stored) with the sum of ``value`` over the rows before them in their group.
+
+    Rows stand in the order of a hash of ``order``, cut into hash ranges of about
+    ``BUCKET_ROWS`` rows of the whole table: sums of ranges give each its base, and a window
+    works inside one range of one group, so a group may hold any share of the rows.
+    """
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    rows = rows.withColumns({"_v": value, "_b": hash_bucket(buckets, *order)})
+    sums = rows.groupBy(group, "_b").agg(F.sum("_v").alias("_s"))
+    over = Window.partitionBy(group).orderBy("_b")
+    base = sums.select(
+        F.col(group).alias("_g"), F.col("_b").alias("_c"), (F.sum("_s").over(over) - F.col("_s")).alias("_base")
+    )
+    inside = Window.partitionBy(group, "_b").orderBy(F.xxhash64(*order), *order).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c"))
+    return rows.join(base, same).withColumn(
+        name, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))
+    ).drop("_v", "_b", "_g", "_c", "_base")
+
+
+def place_in(bounds: Sequence[float], value: F.Column) -> F.Column:
+    """How many of the sorted ``bounds`` are below or at ``value``: binary search in a constant."""
+    if not len(bounds):
+        return F.lit(0)
+    levels = len(bounds).bit_length()
+    known = F.array(*[F.lit(b) for b in bounds])
+    jumps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
+    return F.aggregate(
+        jumps, F.lit(0),
+        lambda low, jump: F.when(
+            (low + jump <= len(bounds)) & (F.get(known, low + jump - 1) <= value), low + jump
+        ).otherwise(low),
+    )

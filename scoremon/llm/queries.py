@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremon.llm import decontaminate, ngram_join
+from scoremon.llm import decontaminate, mixing, ngram_join, sharding
 from scoremon.llm.common import table
 from scoremon.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -29,3 +29,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 @query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(table(spark, sf_dir, "documents", "doc_id", "text"))
+    placed = sharding.assign(rows, 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op4_source_mixing")
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_rows(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
