@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremon.llm import decontaminate, mixing, ngram_join, sharding
+from scoremon.llm import decontaminate, language, mixing, ngram_join, quality, sharding
 from scoremon.llm.common import table
 from scoremon.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -45,3 +45,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_rows(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.train(docs)
+    return language.labelled(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.held_out().alias("held_out"), "lang_pred", "score"
+    )
