@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremon.llm import decontaminate, language, mixing, ngram_join, quality, sharding
+from scoremon.llm import (
+    decontaminate,
+    language,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    vector_forest,
+)
 from scoremon.llm.common import table
 from scoremon.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -64,3 +72,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.labelled(docs.select("doc_id", "text"), model).select(
         "doc_id", quality.held_out().alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op6_embedding_near_dedup")
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
