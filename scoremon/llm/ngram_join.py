@@ -53,8 +53,61 @@ def _signature(doc: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return kernel.mix(sums[ends] - sums[ends - sizes] + sizes.astype(U))
 
 
+def _fingerprints(doc: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Histogram of the hashes of each set, a byte per bucket and about a bucket per shingle.
+
+    The sum of bucket minima bounds the overlap of two sets from above.  A set with a fuller
+    bucket than a byte holds has no fingerprint.
+    """
+    buckets = np.ones(len(sizes), np.int64)
+    some = sizes > 0
+    buckets[some] = 1 << np.ceil(np.log2(sizes[some])).astype(np.int64)
+    heads = np.cumsum(buckets) - buckets
+    at = heads[doc] + ((g >> U(16)) & (buckets[doc] - 1).astype(U)).astype(np.int64)
+    counts = np.bincount(at, minlength=int(buckets.sum()))
+    data = counts.astype(np.uint8).tobytes()
+    full = np.zeros(len(sizes), bool)
+    full[np.searchsorted(heads, np.flatnonzero(counts > 255), side="right") - 1] = True
+    return [
+        None if f else data[h : h + b]
+        for h, b, f in zip(heads.tolist(), buckets.tolist(), (full | ~some).tolist(), strict=True)
+    ]
+
+
+def _possible(percent: int):
+    """Pairs whose fingerprints leave the threshold within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                if x[i] is not None and y[i] is not None:
+                    p, q = np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8)
+                    total = int(p.sum()) + int(q.sum())
+                    p, q = p.astype(np.int64), q.astype(np.int64)
+                    while len(p) != len(q):
+                        if len(p) > len(q):
+                            p = p.reshape(2, -1).sum(axis=0)
+                        else:
+                            q = q.reshape(2, -1).sum(axis=0)
+                    most = int(np.minimum(p, q).sum())
+                    if 100 * most < percent * (total - most):
+                        continue
+                keep.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())],
+                names=["a", "b"],
+            )
+
+    return run
+
+
+PROFILE = "doc_id long, n_shingles long, node long, fingerprint binary, block int, counts binary"
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "node", "block", "counts"]
+    names = ["doc_id", "n_shingles", "node", "fingerprint", "block", "counts"]
     sketch, any_ = np.zeros(SKETCH, np.int64), False
     for batch in slices(batches, "text", CHUNK_BYTES):
         doc, g, sizes = kernel.shingle_sets(batch.column(batch.schema.get_field_index("text")))
@@ -65,13 +118,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             batch.column(batch.schema.get_field_index("doc_id")),
             pa.array(sizes, pa.int64()), pa.array(node, mask=sizes == 0),
-            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            pa.array(_fingerprints(doc, g, sizes), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
         ], names=names)
     if any_:
         parts = [p.tobytes() for p in np.split(sketch, SKETCH_BLOCKS)]
         yield pa.RecordBatch.from_arrays([
             pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()),
-            pa.nulls(len(parts), pa.int64()),
+            pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()),
             pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()),
         ], names=names)
 
@@ -234,61 +287,91 @@ def reach_sql(a: str, b: str, percent: int) -> str:
 SHARED = POSTING + ", hub long, hub_size int, hub_place int, hub_slack int"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and place, pairs last: those of single keys with several
-    nodes, with their hub; pairs pass as they are."""
-    names = ["key", "node", "size", "place", "slack"]
-    columns = [*names, "paired", "hub", "hub_size", "hub_place", "hub_slack"]
-    rest: pa.Table | None = None
-
-    def emit(part: dict):
-        key = part["key"]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        heads = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        other = part["node"] != part["node"][heads][group]
-        several = np.zeros(len(heads), bool)
-        several[group[other]] = True
-        keep = several[group]
-        if not keep.any():
-            return None
-        head = heads[group[keep]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[n][keep]) for n in names]
-            + [pa.array(np.zeros(len(head), bool))]
-            + [pa.array(part[n][head]) for n in names[1:]],
-            names=columns,
-        )
+def _has_partner(part: dict, group: np.ndarray, percent: int) -> np.ndarray:
+    """Rows with another node in their group for which the bounds leave hope.
 
-    for batch in batches:
-        paired = batch.column(batch.schema.get_field_index("paired")).to_numpy(zero_copy_only=False)
-        single = int((~paired).sum())
-        if single < len(paired):
-            tail = batch.slice(single)
-            n = tail.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [tail.column(tail.schema.get_field_index(c)) for c in [*names, "paired"]]
-                + [pa.nulls(n, pa.int64())] + [pa.nulls(n, pa.int32())] * 3,
+    Groups of single shingles are small (the counters prove it), so this looks at all gaps.
+    """
+    found = np.zeros(len(group), bool)
+    size = part["size"].astype(np.int64)
+    rest, node = size - part["place"], part["node"]
+    gap, at = 1, np.arange(len(group))
+    while True:
+        at = at[at + gap < len(group)]
+        at = at[group[at] == group[at + gap]]
+        if not len(at):
+            return found
+        b = at + gap
+        near = np.minimum(rest[at], rest[b]) * (100 + percent) >= percent * (size[at] + size[b])
+        near &= node[at] != node[b]
+        found[at[near]] = True
+        found[b[near]] = True
+        gap += 1
+
+
+def _grouping(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by key and place, pairs last: those of single keys that have a
+        possible partner, with their hub; pairs pass as they are."""
+        names = ["key", "node", "size", "place", "slack"]
+        columns = [*names, "paired", "hub", "hub_size", "hub_place", "hub_slack"]
+        rest: pa.Table | None = None
+
+        def emit(part: dict):
+            key = part["key"]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            heads = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            other = part["node"] != part["node"][heads][group]
+            several = np.zeros(len(heads), bool)
+            several[group[other]] = True
+            rows = np.flatnonzero(several[group])
+            part, group = {n: x[rows] for n, x in part.items()}, group[rows]
+            keep = _has_partner(part, group, percent)
+            if not keep.any():
+                return None
+            part, group = {n: x[keep] for n, x in part.items()}, group[keep]
+            new = np.ones(len(group), bool)
+            new[1:] = group[1:] != group[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[n]) for n in names]
+                + [pa.array(np.zeros(len(head), bool))]
+                + [pa.array(part[n][head]) for n in names[1:]],
                 names=columns,
             )
-        batch = batch.slice(0, single)
-        t = pa.Table.from_batches([batch.select(names)])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows < 20_000:
-            continue
-        part = {n: rest[n].to_numpy() for n in names}
-        stop = int(np.searchsorted(part["key"], part["key"][-1]))
-        if stop:
-            if (out := emit({n: x[:stop] for n, x in part.items()})) is not None:
+
+        for batch in batches:
+            paired = batch.column(batch.schema.get_field_index("paired")).to_numpy(zero_copy_only=False)
+            single = int((~paired).sum())
+            if single < len(paired):
+                tail = batch.slice(single)
+                n = tail.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [tail.column(tail.schema.get_field_index(c)) for c in [*names, "paired"]]
+                    + [pa.nulls(n, pa.int64())] + [pa.nulls(n, pa.int32())] * 3,
+                    names=columns,
+                )
+            batch = batch.slice(0, single)
+            t = pa.Table.from_batches([batch.select(names)])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            if rest.num_rows < 20_000:
+                continue
+            part = {n: rest[n].to_numpy() for n in names}
+            stop = int(np.searchsorted(part["key"], part["key"][-1]))
+            if stop:
+                if (out := emit({n: x[:stop] for n, x in part.items()})) is not None:
+                    yield out
+                rest = rest.slice(stop)
+        if rest is not None and rest.num_rows:
+            if (out := emit({n: rest[n].to_numpy() for n in names})) is not None:
                 yield out
-            rest = rest.slice(stop)
-    if rest is not None and rest.num_rows:
-        if (out := emit({n: rest[n].to_numpy() for n in names})) is not None:
-            yield out
+
+    return run
 
 
-def shared_groups(postings: DataFrame) -> DataFrame:
+def shared_groups(postings: DataFrame, percent: int) -> DataFrame:
     """Rows of signatures that several nodes have, each with the hub of its group.
 
     A rare shingle is in few documents, so its rows may meet in one task.  A pair of
@@ -298,7 +381,7 @@ def shared_groups(postings: DataFrame) -> DataFrame:
     spread = F.when(F.col("paired"), F.pmod("node", F.lit(64))).otherwise(F.lit(0))
     rows = store(
         postings.repartition(slots(postings.sparkSession), F.col("key"), spread)
-        .sortWithinPartitions("paired", "key", "place", "node").mapInArrow(_groups, SHARED),
+        .sortWithinPartitions("paired", "key", "place", "node").mapInArrow(_grouping(percent), SHARED),
         "ngram-groups",
     )
     paired = rows.where("paired").drop("hub", "hub_size", "hub_place", "hub_slack")
@@ -314,28 +397,29 @@ def shared_groups(postings: DataFrame) -> DataFrame:
 
 def _sets(bloom: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, "text", CHUNK_BYTES):
-            doc, g, sizes = kernel.shingle_sets(batch.column(0))
-            node = _signature(doc, g, sizes).view(np.int64)
-            place = (node.view(U) % U(BLOOM_BITS)).astype(np.int64)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            place = (ids.fill_null(0).to_numpy().view(U) % U(BLOOM_BITS)).astype(np.int64)
             wanted = ((bloom[place >> 3] >> (place & 7)) & 1).astype(bool)
-            fresh = _unseen(node, np.where(wanted, sizes, 0), seen)
-            ends = np.cumsum(sizes)
-            chosen = np.flatnonzero(fresh)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(node[chosen]),
-                pa.array([g[ends[i] - sizes[i] : ends[i]].tobytes() for i in chosen], pa.binary()),
-            ], names=["node", "members"])
+            wanted |= ids.is_null().to_numpy(zero_copy_only=False)
+            chosen = batch.filter(pa.array(wanted))
+            for part in slices(iter([chosen]), "text", CHUNK_BYTES):
+                column = part.column(part.schema.get_field_index("text"))
+                doc, g, sizes = kernel.shingle_sets(column)
+                ends = np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_signature(doc, g, sizes).view(np.int64)),
+                    pa.array([g[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary()),
+                ], names=["node", "members"])
 
     return run
 
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """Fixed-size bitmap of node names, built by Spark in pieces."""
-    place = F.pmod("node", F.lit(BLOOM_BITS))
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """Fixed-size bitmap of document ids, built by Spark in pieces."""
+    place = F.pmod("doc_id", F.lit(BLOOM_BITS))
     rows = (
-        nodes.select((place / 32_768).cast("int").alias("block"), (place % 32_768).alias("bit"))
+        ids.select((place / 32_768).cast("int").alias("block"), (place % 32_768).alias("bit"))
         .groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     )
     out = np.zeros(BLOOM_BITS >> 3, np.uint8)
@@ -372,14 +456,39 @@ def _linked(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        .mapInArrow(_linked(percent), "a long, b long")
+def verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the threshold.
+
+    Fingerprints, an eighth of the size of the sets, refuse most pairs first.  One document
+    of each remaining node, its smallest, brings the set.  A fixed-size bitmap of these
+    documents spares the others; a document that passes by chance only repeats a row.
+    """
+    named = profile.where("node IS NOT NULL")
+    carriers = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def carrying(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return carriers.join(nodes, "node", "left_semi")
+
+    def joined(pairs: DataFrame, right: DataFrame) -> DataFrame:
+        return (
+            pairs.join(right.toDF("a", "x"), "a").join(right.toDF("b", "y"), "b")
+            .select("a", "b", "x", "y")
+        )
+
+    prints = store(
+        named.join(
+            carrying(pairs).select("node", F.col("doc_id").alias("_d")), "node"
+        ).where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "fingerprint"),
+        "ngram-fingerprints",
+    )
+    pairs = cut(joined(pairs, prints).mapInArrow(_possible(percent), "a long, b long").distinct())
+    bloom = _bloom(carrying(pairs).where("doc_id IS NOT NULL"))
+    sets = store(
+        docs.select("doc_id", "text").mapInArrow(_sets(bloom), "node long, members binary"),
+        "ngram-sets",
     )
+    return cut(joined(pairs, sets).mapInArrow(_linked(percent), "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -388,26 +497,17 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable over links of at least ``percent``.
     """
     spark = docs.sparkSession
-    profile = store(
-        docs.select("doc_id", "text").mapInArrow(
-            _profile, "doc_id long, n_shingles long, node long, block int, counts binary"
-        ),
-        "ngram-profile",
-    )
+    profile = store(docs.select("doc_id", "text").mapInArrow(_profile, PROFILE), "ngram-profile")
     frequent = frequent_table(profile)
-    texts = docs.select("text")
-    postings = texts.mapInArrow(_postings(frequent, percent), POSTING)
-    shared = shared_groups(postings)
-    release(spark)
-    sets = store(
-        texts.mapInArrow(_sets(_bloom(shared.select("node").union(shared.select("hub")))), "node long, members binary")
-        .dropDuplicates(["node"]),
-        "ngram-sets",
+    shared = shared_groups(
+        docs.select("text").mapInArrow(_postings(frequent, percent), POSTING), percent
     )
-    first = shared.where("node <> hub").where(reach_sql("", "hub_", percent)).select(
+    release(spark)
+    first = cut(shared.where("node <> hub").where(reach_sql("", "hub_", percent)).select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-    ).distinct()
-    links = cut(verified(first, sets, percent))
+    ).distinct())
+    links = verified(docs, profile, first, percent)
+    release(spark)
     part = components(links)
     # What is left: pairs of a group that are still in different components.
     part = cut(part)
@@ -428,9 +528,10 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         "component <> o_component AND (with_hub OR o_node < node) AND node <> o_hub"
     ).where(reach_sql("", "o_", percent)).select(
         F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")
-    ).distinct()
-    links = links.union(cut(verified(rest, sets, percent)))
-    part = components(links)
+    ).distinct().join(first, ["a", "b"], "left_anti")
+    rest = cut(rest)
+    if not rest.isEmpty():
+        part = components(links.union(verified(docs, profile, rest, percent)))
     ids = profile.where("block IS NULL")
     named = ids.join(part, "node", "left").withColumn(
         "group", F.coalesce("component", "node")
