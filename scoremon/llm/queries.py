@@ -11,7 +11,10 @@ from scoremon.llm import (
     mixing,
     ngram_join,
     quality,
+    secrets,
     sharding,
+    suffix_family,
+    tool_calls,
     vector_forest,
 )
 from scoremon.llm.common import table
@@ -77,3 +80,34 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_near_dedup")
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    return found.select(
+        "doc_id", *(secrets.counted(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"),
+        secrets.listed("all_spans").alias("spans"),
+        secrets.counted("markov", "all_spans").alias("n_markov"),
+    )
+
+
+@query("op8_tool_call_linking")
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(tool_calls.TURN_SCHEMAS, "name string, schema string")
+    return tool_calls.linked(calls, results, schemas)
+
+
+@query("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_family.repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda t, s: t + (s["stop"] - s["start"])
+    )
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
+    )
