@@ -1,23 +1,78 @@
-"""Whole-corpus pipeline: each stage takes the documents its predecessor kept."""
+"""Whole-corpus pipeline: each stage takes the documents that its predecessor kept.
+
+Quality, near duplicates, benchmark passages, source weights, shards.  Every stage function
+takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoremon.llm import decontaminate
+from scoremon.llm import decontaminate, mixing, ngram_join, quality, sharding
 from scoremon.llm.common import store, table
 
+SHARDS = 8
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good; the score column does not stay."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.scored(docs, model, "_score")
+    return scored.where(F.col("_score") >= quality.CUT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the smallest doc_id, once.
+
+    Documents without words are in no group and stay.
+    """
+    names = docs.columns
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = ngram_join.similar_groups(docs).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*names)
+    # Repeated ids: rows are told apart by a hash over id and text.
+    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.similar_groups(rows.select(F.col("_rid").alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_rid")).distinct()
+    return rows.join(gone, "_rid", "left_anti").dropDuplicates(["_rid"]).select(*names)
+
+
+def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of the texts; n_chars follows where a text changed."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.size("hit_spans") > 0
+    clean = decontaminate.remove(found.withColumn("_hit_text", hit))
+    return clean.withColumn(
+        "n_chars", F.when(F.col("_hit_text"), F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    ).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the schedule of the source mix takes them: not at all to 3 times."""
+    return mixing.repeated(docs)
+
 
-def clean_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts."""
-    return decontaminate.remove(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their slot in it."""
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    text = F.coalesce("text", F.lit(""))
+    sizes = store(rows.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.col("_row").alias("tie")
+    ), "shard-rows")
+    placed = sharding.assign(sizes, SHARDS).select(F.col("tie").alias("_row"), "shard", "slot")
+    return rows.join(placed, "_row").select(*docs.columns, "shard", "slot")
 
 
 STAGES = [
-    ("benchmark decontamination", clean_benchmarks),
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", cut_benchmarks),
+    ("mixing to target weights", mix_sources),
+    ("sharding", into_shards),
 ]
 
-#: No SQL: trained models, FM-index search and similarity joins are among the stages.
+#: No SQL: a trained model, similarity joins and an FM-index search are among the stages.
 ORACLE_SQL = None
 
 
