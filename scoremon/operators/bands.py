@@ -1,8 +1,8 @@
 """Confidence bands around observed or predicted rates.
 
-Wilson is closed form and stays in SQL.  Beta and normal quantiles are not
-among Spark's functions; they run as Arrow functions over the monthly rows,
-never over applications.
+Wilson and Vasicek are column expressions.  Beta quantiles are not among
+Spark's functions; they run as an Arrow function over the monthly rows, never
+over applications.
 """
 
 from __future__ import annotations
@@ -13,82 +13,121 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
-
-
-def _log_beta(a: float, b: float) -> float:
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta integral (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
-    for i in range(1, 20_000):
-        for numerator in (
-            i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)),
-            -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1)),
-        ):
-            d = 1.0 + numerator * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + numerator / c
-            c = c if abs(c) > tiny else tiny
-            total *= c * d
-        if abs(c * d - 1.0) < 1e-14:
-            break
-    return total
-
-
-def _beta_quadrature(a: float, b: float, x: float) -> float:
-    """Upper or lower tail by quadrature, for large parameters."""
-    mean = a / (a + b)
-    sd = math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1.0)))
-    upper = x > mean
-    far = min(1.0, mean + 12 * sd, x + 12 * sd) if upper else max(0.0, min(mean - 12 * sd, x - 12 * sd))
-    far = max(far, x + 6 * sd) if upper else far
-    far = min(far, 1.0)
-    t = x + (far - x) * (_NODES + 1) / 2
-    t = np.clip(t, 1e-300, 1 - 1e-16)
-    density = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) - _log_beta(a, b))
-    tail = float(abs(far - x) / 2 * np.dot(_WEIGHTS, density))
-    return 1.0 - tail if upper else tail
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(32)
+_PANELS = 64
+
+
+class _Beta:
+    """Beta distribution in the angle t with x = sin(t)^2, where its density has no poles.
+
+    The density is taken relative to its peak through small differences of the
+    angle, so the same quadrature serves all sizes of the parameters (1/2 and up).
+    """
+
+    def __init__(self, a: float, b: float):
+        self.up, self.down = 2 * a - 1, 2 * b - 1
+        if self.up < 0 or self.down < 0:
+            raise ValueError("parameters are 1/2 and up")
+        self.peak = math.atan2(math.sqrt(self.up), math.sqrt(self.down)) if self.up + self.down else math.pi / 4
+        width = 40 / math.sqrt(4 * (a + b))
+        self.edges = np.linspace(max(0.0, self.peak - width), min(math.pi / 2, self.peak + width), _PANELS + 1)
+        self.sums = np.concatenate([[0.0], np.cumsum([
+            self._integral(s, e) for s, e in zip(self.edges[:-1], self.edges[1:], strict=True)
+        ])])
+
+    def _density(self, t: np.ndarray) -> np.ndarray:
+        d = t - self.peak
+        bend = -2 * np.sin(d / 2) ** 2
+        out = np.zeros_like(t)
+        with np.errstate(divide="ignore"):
+            if self.up:
+                out = out + self.up * np.log1p(np.maximum(bend + np.sin(d) / math.tan(self.peak), -1.0))
+            if self.down:
+                out = out + self.down * np.log1p(np.maximum(bend - np.sin(d) * math.tan(self.peak), -1.0))
+        return np.exp(out)
+
+    def _integral(self, start: float, end: float) -> float:
+        half = (end - start) / 2
+        return half * float(_WEIGHTS @ self._density(start + half * (_NODES + 1)))
+
+    def cdf(self, x: float) -> float:
+        t = math.asin(math.sqrt(min(max(x, 0.0), 1.0)))
+        if t <= self.edges[0]:
+            return 0.0
+        if t >= self.edges[-1]:
+            return 1.0
+        i = int(np.searchsorted(self.edges, t, side="right")) - 1
+        return (self.sums[i] + self._integral(self.edges[i], t)) / self.sums[-1]
+
+    def quantile(self, p: float) -> float:
+        goal = p * self.sums[-1]
+        i = min(max(int(np.searchsorted(self.sums, goal, side="right")) - 1, 0), _PANELS - 1)
+        lo, hi = float(self.edges[i]), float(self.edges[i + 1])
+        start, rest = lo, goal - self.sums[i]
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            if mid in (lo, hi):
+                break
+            lo, hi = (mid, hi) if self._integral(start, mid) < rest else (lo, mid)
+        return math.sin((lo + hi) / 2) ** 2
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if a > 1000 and b > 1000:
-        return _beta_quadrature(a, b, x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return _Beta(a, b).cdf(x)
 
 
 def beta_quantile(p: float, a: float, b: float) -> float:
-    """Quantile by bisection, to about 1e-15 of the bracket."""
-    lo, hi = 0.0, 1.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if mid in (lo, hi):
-            break
-        lo, hi = (mid, hi) if beta_cdf(a, b, mid) < p else (lo, mid)
-    return (lo + hi) / 2
+    return _Beta(a, b).quantile(p)
 
 
-def vasicek_quantile(pd_: float, rho: float, q: float) -> float:
-    """Default rate at quantile ``q`` of the one-factor model."""
-    if pd_ <= 0.0 or pd_ >= 1.0:
-        return pd_
-    n = NormalDist()
-    return n.cdf((n.inv_cdf(pd_) + math.sqrt(rho) * n.inv_cdf(q)) / math.sqrt(1.0 - rho))
+def _once(x: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function: 1/2 + density * (x + x^3/3 + x^5/15 + ...)."""
+
+    def series(v: Column) -> Column:
+        total = F.aggregate(
+            F.sequence(F.lit(1), F.lit(200)),
+            F.struct(v.alias("term"), v.alias("total")),
+            lambda acc, k: _once(
+                acc["term"] * v * v / (2 * k + 1),
+                lambda t: F.struct(t.alias("term"), (acc["total"] + t).alias("total")),
+            ),
+            lambda acc: acc["total"],
+        )
+        return F.lit(0.5) + total * F.exp(-v * v / 2) / math.sqrt(2 * math.pi)
+
+    return _once(x, series)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Its inverse for 0 < p < 1, by bisection between -9 and 9."""
+
+    def search(q: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(60)),
+            F.struct(F.lit(0.0).alias("at"), F.lit(4.5).alias("step")),
+            lambda acc, _: F.struct(
+                (acc["at"] + F.when(normal_cdf(acc["at"]) < q, acc["step"]).otherwise(-acc["step"])).alias("at"),
+                (acc["step"] / 2).alias("step"),
+            ),
+            lambda acc: acc["at"],
+        )
+
+    return F.when(p.isNotNull(), _once(p, search))
+
+
+def vasicek_quantile(pd_: Column, rho: float, q: float) -> Column:
+    """Default rate at quantile ``q`` of the one-factor model; 0 and 1 stay as they are."""
+    z = NormalDist().inv_cdf(q)
+    inner = (normal_quantile(pd_) + math.sqrt(rho) * z) / math.sqrt(1.0 - rho)
+    return F.when((pd_ <= 0) | (pd_ >= 1), pd_).otherwise(normal_cdf(inner))
 
 
 def _inside(df: DataFrame, rate: str) -> DataFrame:
@@ -126,23 +165,14 @@ def bands_jeffreys(df: DataFrame, count: str, events: str, rate: str, level: flo
 def bands_vasicek(df: DataFrame, pd_col: str, rate: str, rho: float = 0.15, level: float = 0.95) -> DataFrame:
     """One-factor (Vasicek) band around the predicted rate ``pd_col``."""
     tail = (1 - level) / 2
-
-    @F.pandas_udf("lower double, upper double")
-    def limits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [
-                (None, None) if x is None or math.isnan(x)
-                else tuple(vasicek_quantile(x, rho, q) for q in (tail, 1 - tail))
-                for x in p
-            ]
-            yield pd.DataFrame(rows, columns=["lower", "upper"], dtype="float64")
-
-    out = df.withColumn("_band", limits(F.col(pd_col).cast("double")))
-    return _inside(out.withColumns({"lower": F.col("_band.lower"), "upper": F.col("_band.upper")}).drop("_band"), rate)
+    p = F.col(pd_col).cast("double")
+    limits = {"lower": vasicek_quantile(p, rho, tail), "upper": vasicek_quantile(p, rho, 1 - tail)}
+    return _inside(df.withColumns(limits), rate)
 
 
 def add_bands(
-    df: DataFrame, kind: str, count: str, events: str, predicted: str, observed: str, level: float = 0.95
+    df: DataFrame, kind: str, count: str, events: str, predicted: str, observed: str, level: float = 0.95,
+    rho: float = 0.15,
 ) -> DataFrame:
     """Band by name: ``jeffreys`` and ``wilson`` lie around the observed rate and
     test the predicted one, ``vasicek`` the other way round."""
@@ -151,5 +181,5 @@ def add_bands(
     if kind == "wilson":
         return bands_wilson(df, count, events, predicted, level)
     if kind == "vasicek":
-        return bands_vasicek(df, predicted, observed, level=level)
+        return bands_vasicek(df, predicted, observed, rho, level)
     raise ValueError("kind is jeffreys, wilson or vasicek")

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import month_index
-from scoremon.operators.projection import with_projection
+from scoremon.operators.projection import adjusted, with_projection
 
 MONEY = "decimal(18,2)"
 
@@ -109,16 +109,18 @@ def evol_calibration(
     aux: Sequence[int] = (21, 12),
     by: Sequence[str] = (),
     method: str = "met1",
+    overrides: DataFrame | None = None,
+    smooth: int = 1,
 ) -> DataFrame:
     """Calibration over time.
 
     Per month: size, mean of every PD, observed rate at the target horizon for
     closed cohorts only, observed rates at the auxiliary horizons once the
     cohort is old enough for them, early rate, and the projected rate with its
-    factor for the open cohorts.
+    factor for the open cohorts, after manual corrections and smoothing.
     """
     sums = cohort_sums(cfg.select_universe(df, use), cfg, report_horizons(cfg, aux), by, early=True)
-    return evol_from_sums(sums, cfg, view, aux, by, method)
+    return evol_from_sums(sums, cfg, view, aux, by, method, overrides, smooth)
 
 
 def evol_from_sums(
@@ -128,11 +130,13 @@ def evol_from_sums(
     aux: Sequence[int] = (21, 12),
     by: Sequence[str] = (),
     method: str = "met1",
+    overrides: DataFrame | None = None,
+    smooth: int = 1,
 ) -> DataFrame:
     """Calibration over time from stored cohort sums (with ``early``)."""
     w = weight_of(view)
     k = cfg.target
-    proj = with_projection(sums, cfg, view, method, by)
+    proj = adjusted(with_projection(sums, cfg, view, method, by), cfg, view, overrides, smooth, by)
     age = F.lit(cfg.closed_index + k) - F.col("month_idx")
 
     def seen(h: int, name: str | None = None) -> Column:
@@ -145,6 +149,7 @@ def evol_from_sums(
         *[seen(h).alias(f"rd{h}") for h in aux if h != k],
         seen(cfg.early_target, "early").alias(f"early{cfg.early_target}"),
         F.when(age >= k, F.col(f"d{k}_n")).alias("defaults"),
+        F.when(age >= k, rate(f"d{k}_{w}", w) * F.col("n")).alias("events"),
         F.col("factor"), F.col("rd_proj"),
     )
 
@@ -217,9 +222,9 @@ def multi_driver_calibration(
 ) -> DataFrame:
     """Calibration per bucket of every driver.
 
-    ``factors`` is the monthly projection (``codmes``, ``factor``), at most
-    one row per open month.  It is applied to month sums, not to single
-    applications.  Buckets below ``min_share`` of their driver are left out.
+    ``factors`` is the monthly projection (``codmes``, ``factor``); of
+    several rows of a month the largest factor counts.  It is applied to month
+    sums, not to single applications.  Buckets below ``min_share`` of their driver are left out.
     """
     cells = driver_cells(
         cfg.select_universe(df, use), cfg, drivers, report_horizons(cfg, [aux]), keep_missing
@@ -238,8 +243,8 @@ def drivers_from_cells(
     """Calibration per bucket from stored driver cells."""
     w = weight_of(view)
     k = cfg.target
-    per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
-    joined = cells.join(F.broadcast(per_month), cfg.month, "left")
+    per_month = factors.groupBy(cfg.month).agg(F.max("factor").alias("month_factor"))
+    joined = cells.join(per_month, cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
     usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")
@@ -254,10 +259,9 @@ def drivers_from_cells(
         F.sum(usable * F.col("month_factor")).alias("open_sum"),
         F.sum(F.when(F.col("month_factor").isNotNull() & usable.isNotNull(), weight)).alias("open_weight"),
     )
-    # Labels per driver are few: this window sees one row per bucket.
-    total = F.sum("weight").over(Window.partitionBy("variable"))
+    total = grouped.groupBy("variable").agg(F.sum("weight").alias("_total"))
     return (
-        grouped.withColumn("share", rate("weight", total))
+        grouped.join(total, "variable").withColumn("share", rate("weight", "_total"))
         .filter(F.col("share") >= min_share)
         .select(
             "variable", "bucket", "n", "share",
@@ -295,12 +299,12 @@ def iv_from_cells(cells: DataFrame, cfg: MonitorConfig, view: str = "n", floor:
     cells = cells.groupBy("variable", "bucket").agg(
         F.sum(bad).cast("double").alias("bads"), F.sum(F.col(w) - bad).cast("double").alias("goods")
     )
-    per_driver = Window.partitionBy("variable")
+    totals = cells.groupBy("variable").agg(F.sum("goods").alias("_goods"), F.sum("bads").alias("_bads"))
     share = {
-        side: F.coalesce(F.col(side), F.lit(0.0)) / F.nullif(F.sum(side).over(per_driver), F.lit(0.0))
+        side: F.coalesce(F.col(side), F.lit(0.0)) / F.nullif(F.col(f"_{side}"), F.lit(0.0))
         for side in ("goods", "bads")
     }
-    terms = cells.select(
+    terms = cells.join(totals, "variable").select(
         "variable",
         *[F.when(s.isNotNull(), F.greatest(s, F.lit(floor))).alias(side[0]) for side, s in share.items()],
     )
@@ -347,8 +351,8 @@ def evol_drivers_from_cells(
     """Calibration over time per bucket of every driver, from stored cells."""
     w = weight_of(view)
     k = cfg.target
-    per_month = factors.select(F.col(cfg.month), F.col("factor").alias("month_factor"))
-    joined = cells.join(F.broadcast(per_month), cfg.month, "left")
+    per_month = factors.groupBy(cfg.month).agg(F.max("factor").alias("month_factor"))
+    joined = cells.join(per_month, cfg.month, "left")
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
     usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scoremon.config import MonitorConfig
 from scoremon.functions.buckets import flag
 from scoremon.operators.calibration import cohort_sums
-from scoremon.operators.projection import open_cohorts, with_projection
+from scoremon.operators.projection import adjusted, with_projection
 
 # Fixed value: projected rate of a segment and month without any projection.
 DEFAULT_RATE = 0.005
@@ -64,21 +64,29 @@ def factor_table(
     run_month: int,
     use: str = "",
     method: str = "met1",
+    projected_months: int | None = None,
+    overrides: DataFrame | None = None,
+    smooth: int = 1,
 ) -> DataFrame:
-    """Projection factors per segment and open month, by accounts and amount.
+    """Projection factors per segment and month of the base, by accounts and amount.
 
-    At most ``len(ids) * cfg.open_months`` rows.  Both views come from the
-    same monthly sums, so the base is scanned once.
+    The first ``projected_months`` open cohorts (default: those of ``cfg``)
+    carry a projection, after corrections and smoothing; all other months get
+    the filling values.  Both views come from the same monthly sums, so the
+    base is scanned once.  Corrections of one segment name it in ``seg_proy``.
     """
+    cfg = cfg.with_(open_months=projected_months or cfg.open_months)
     horizons = [cfg.target, *cfg.usable.values()]
     base = cfg.select_universe(df, use).withColumn("seg_proy", segment_id(cfg.segment, ids))
     sums = cohort_sums(
         base.filter("seg_proy IS NOT NULL"), cfg.with_(pds=()), horizons, by=("seg_proy",)
     )
-    both = with_projection(sums, cfg, "n", method, ("seg_proy",), suffix="_n")
-    both = with_projection(both, cfg, "m", method, ("seg_proy",), suffix="_m")
+    both, by = sums, ("seg_proy",)
+    for view in ("n", "m"):
+        both = with_projection(both, cfg, view, method, by, suffix=f"_{view}")
+        both = adjusted(both, cfg, view, overrides, smooth, by, suffix=f"_{view}")
     return _fill(
-        open_cohorts(both, cfg).withColumn("month_def", F.lit(run_month)),
+        both.withColumn("month_def", F.lit(run_month)),
         cfg.month, "rd_proj_m", "factor_m", "rd_proj_n", "factor_n",
     )
 
@@ -113,19 +121,24 @@ def _fill(df: DataFrame, month: str, rate_m: str, factor_m: str, rate_n: str, fa
     )
 
 
+def one_per_key(factors: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Factors with unique keys: of repeated rows the largest values count."""
+    return factors.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns])
+
+
+FACTORS = ("factor_amounts", "factor_accounts", "projection_amounts", "projection_accounts")
+
+
 def factor_join(df: DataFrame, factors: DataFrame, cfg: MonitorConfig) -> DataFrame:
     """Apply a factor table to applications.
 
     Adds the latest target, the factors of segment and month, the factored
     target and the projected rate, by amount and by account.  The factor
-    table has one row per segment id and open month, hence the broadcast.
+    table has one row per segment id and month; whether it is broadcast
+    follows from its measured size.
     """
-    small = F.broadcast(
-        factors.select(
-            cfg.month, "seg_proy", "factor_amounts", "factor_accounts",
-            F.col("projection_amounts").alias("proj_value_m"),
-            F.col("projection_accounts").alias("proj_value_n"),
-        )
+    small = one_per_key(factors, [cfg.month, "seg_proy"], FACTORS).withColumnsRenamed(
+        {"projection_amounts": "proj_value_m", "projection_accounts": "proj_value_n"}
     )
     joined = df.withColumn("ult_rd", latest_target(cfg)).join(small, [cfg.month, "seg_proy"], "left")
     return joined.withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.operators.calibration import MONEY, money
-from scoremon.operators.cohorts import cohort_flags, early_month, latest_target
+from scoremon.operators.cohorts import FACTORS, cohort_flags, early_month, latest_target, one_per_key
 
 FLAGS = ("flg_diagnosis", "flg_recent", "flg_closed", "flg_temp", "flg_early")
 
@@ -79,10 +79,7 @@ def reporting_cube(
         F.sum("_ult").alias("_ult_n"),
     ]
     cells = prepared.groupBy(*keys).agg(*aggs)
-    small = F.broadcast(  # one row per segment id and open month
-        factors.select(cfg.month, "seg_proy", "factor_amounts", "factor_accounts",
-                       "projection_amounts", "projection_accounts")
-    )
+    small = one_per_key(factors, [cfg.month, "seg_proy"], FACTORS)
     joined = cells.join(small, [cfg.month, "seg_proy"], "left")
     windows = {"dt": (cfg.cutoff(11), cfg.cutoff(6)), "mt": (cfg.cutoff(5), cfg.cutoff(3))}
     projected = {}

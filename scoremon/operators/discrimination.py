@@ -47,11 +47,8 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     # Group totals are needed to compare distances across ranges.  They join
     # before the range partitioning, so that both branches read the same
     # aggregated shuffle.
-    # One row per group - a driver and a month - hence the broadcast.
-    totals = F.broadcast(
-        counts.groupBy(*group).agg(
-            F.sum("n").alias("total"), *[F.sum(t).alias(f"{t}_bads") for t in targets]
-        )
+    totals = counts.groupBy(*group).agg(
+        F.sum("n").alias("total"), *[F.sum(t).alias(f"{t}_bads") for t in targets]
     )
     slices = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
@@ -273,5 +270,10 @@ def discrimination_table(
     long = multi_driver_gini(
         df, cfg, variables, categorical, (target,), use, start, end, months, moving
     )
-    pivot = long.groupBy("variable").pivot(cfg.month, periods).agg(F.first(f"{measure}{target}"))
+    return by_period(long, cfg.month, periods, f"{measure}{target}")
+
+
+def by_period(long: DataFrame, month: str, periods: Sequence[int], measure: str) -> DataFrame:
+    """Long results as variables by period, one column ``p<yyyymm>`` per period."""
+    pivot = long.groupBy("variable").pivot(month, list(periods)).agg(F.first(measure))
     return pivot.select("variable", *[F.col(str(p)).alias(f"p{p}") for p in periods])

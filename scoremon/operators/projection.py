@@ -87,33 +87,72 @@ def open_cohorts(df: DataFrame, cfg: MonitorConfig) -> DataFrame:
 
 
 def override_projection(
-    projected: DataFrame, overrides: DataFrame, month: str = "codmes", keys: Sequence[str] = ()
+    projected: DataFrame, overrides: DataFrame, month: str = "codmes", keys: Sequence[str] = (),
+    suffix: str = "",
 ) -> DataFrame:
     """Manual corrections from a table ``(month, op, value)``, op = set | add.
 
     The factor follows the corrected rate.  ``keys`` are further join columns,
-    for corrections that hold for one segment only.
+    for corrections that hold for one segment only.  Of several corrections of
+    one month the largest (op, value) counts.
     """
-    joined = projected.join(overrides.select(month, *keys, "op", "value"), [month, *keys], "left")
+    rate, factor = f"rd_proj{suffix}", f"factor{suffix}"
+    single = overrides.groupBy(month, *keys).agg(F.max(F.struct("op", "value")).alias("_o"))
+    joined = projected.join(single, [month, *keys], "left")
+    op, value = F.col("_o.op"), F.col("_o.value")
     corrected = (
-        F.when(F.col("op") == "set", F.col("value"))
-        .when(F.col("op") == "add", F.col("rd_proj") + F.col("value"))
-        .otherwise(F.col("rd_proj"))
+        F.when(op == "set", value).when(op == "add", F.col(rate) + value).otherwise(F.col(rate))
     )
-    out = joined.withColumn("rd_proj", corrected)
+    out = joined.withColumn(rate, corrected)
     return out.withColumn(
-        "factor",
-        F.when(F.col("op").isNull(), F.col("factor"))
-        .otherwise(F.col("rd_proj") / F.nullif(F.col("rd_usable"), F.lit(0.0))),
-    ).drop("op", "value")
+        factor,
+        F.when(op.isNull(), F.col(factor))
+        .otherwise(F.col(rate) / F.nullif(F.col(f"rd_usable{suffix}"), F.lit(0.0))),
+    ).drop("_o")
 
 
-def smooth_projection(projected: DataFrame, months: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def smooth_projection(
+    projected: DataFrame, months: int = 1, by: Sequence[str] = (), suffix: str = ""
+) -> DataFrame:
     """Centred moving average of the projected rate; 1 leaves it as it is."""
+    if months == 1:
+        return projected
     before, after = months // 2, (months - 1) // 2
     keys = by or (F.lit(0),)
     frame = Window.partitionBy(*keys).orderBy("month_idx").rowsBetween(-before, after)
-    return projected.withColumn("rd_proj", F.avg("rd_proj").over(frame))
+    rate = f"rd_proj{suffix}"
+    # Months without a projection stay without one.
+    return projected.withColumn(rate, F.when(F.col(rate).isNotNull(), F.avg(rate).over(frame)))
+
+
+def adjusted(
+    projected: DataFrame, cfg: MonitorConfig, view: str, overrides: DataFrame | None = None,
+    smooth: int = 1, by: Sequence[str] = (), suffix: str = "",
+) -> DataFrame:
+    """Projection after the manual corrections of one view and smoothing.
+
+    ``overrides`` has the month, ``op`` and ``value``, optionally ``view``
+    (n | m) and the columns of ``by``; rows without a view hold for both.
+    """
+    if overrides is not None:
+        if "view" in overrides.columns:
+            overrides = overrides.filter(F.col("view").isNull() | (F.col("view") == view))
+        keys = [c for c in by if c in overrides.columns]
+        projected = override_projection(projected, overrides, cfg.month, keys, suffix)
+    return smooth_projection(projected, smooth, by, suffix)
+
+
+def all_methods(
+    sums: DataFrame, cfg: MonitorConfig, view: str = "n", by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per group and open month with the projections of all methods side by side."""
+    out = sums
+    for method in METHODS:
+        out = with_projection(out, cfg, view, method, by, suffix=f"_{method}")
+    return open_cohorts(out, cfg).select(
+        *by, cfg.month, F.col(f"rd_usable_{METHODS[0]}").alias("rd_usable"),
+        *[F.col(f"rd_proj_{m}").alias(m) for m in METHODS],
+    )
 
 
 def portfolio_projection(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
@@ -107,8 +107,9 @@ def table_diff(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
     """Compare two tables by key, column by column.
 
     Both sides are stacked and grouped by key, which combines repeated rows
-    map-side; a full outer join could not split a hot key.  Keys should be
-    unique per side: of several rows the largest value per column counts.
+    map-side; a full outer join could not split a hot key.  A key that a side
+    repeats is compared by the multisets of its values (their number and the
+    sum of their hashes), and counted in ``left_repeated`` / ``right_repeated``.
     One result row per compared column, plus one per one-sided column.
     """
     only = column_diff(left, right)
@@ -117,21 +118,29 @@ def table_diff(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*key, F.lit(tag).alias("_side"), *shared)
 
-    aggs = [F.max(F.col("_side") == "L").alias("in_l"), F.max(F.col("_side") == "R").alias("in_r")]
+    aggs = [F.count_if(F.col("_side") == s.upper()).alias(f"n_{s}") for s in ("l", "r")]
     for i, c in enumerate(shared):
-        aggs += [
-            F.max(F.when(F.col("_side") == s.upper(), F.col(c))).alias(f"{s}_{i}") for s in ("l", "r")
-        ]
+        for s in ("l", "r"):
+            own = F.col("_side") == s.upper()
+            aggs += [
+                F.max(F.when(own, F.col(c))).alias(f"{s}_{i}"),
+                F.sum(F.when(own, F.xxhash64(c).cast("decimal(20,0)"))).alias(f"{s}h_{i}"),
+            ]
     per_key = side(left, "L").unionByName(side(right, "R")).groupBy(*key).agg(*aggs)
-    both = F.col("in_l") & F.col("in_r")
+    in_l, in_r = F.col("n_l") > 0, F.col("n_r") > 0
+    both, single = in_l & in_r, (F.col("n_l") == 1) & (F.col("n_r") == 1)
+
+    def differs(i: int) -> Column:
+        unlike = (F.col("n_l") != F.col("n_r")) | ~F.col(f"lh_{i}").eqNullSafe(F.col(f"rh_{i}"))
+        return F.when(single, ~F.col(f"l_{i}").eqNullSafe(F.col(f"r_{i}"))).otherwise(unlike)
+
     totals = per_key.agg(
         F.count_if(both).alias("matched"),
-        F.count_if(F.col("in_l") & ~F.col("in_r")).alias("left_only"),
-        F.count_if(F.col("in_r") & ~F.col("in_l")).alias("right_only"),
-        *[
-            F.count_if(both & ~F.col(f"l_{i}").eqNullSafe(F.col(f"r_{i}"))).alias(f"x_{i}")
-            for i in range(len(shared))
-        ],
+        F.count_if(in_l & ~in_r).alias("left_only"),
+        F.count_if(in_r & ~in_l).alias("right_only"),
+        F.count_if(F.col("n_l") > 1).alias("left_repeated"),
+        F.count_if(F.col("n_r") > 1).alias("right_repeated"),
+        *[F.count_if(both & differs(i)).alias(f"x_{i}") for i in range(len(shared))],
     )
     rows = [f"'{c}', 'both', x_{i}" for i, c in enumerate(shared)]
     rows += [f"'{c}', '{k}', CAST(NULL AS BIGINT)" for k in ("left_only", "right_only") for c in only[k]]
@@ -139,5 +148,5 @@ def table_diff(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
         rows = ["CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS BIGINT)"]
     return totals.select(
         F.expr(f"stack({len(rows)}, {', '.join(rows)}) AS (column_name, present, mismatches)"),
-        "matched", "left_only", "right_only",
+        "matched", "left_only", "right_only", "left_repeated", "right_repeated",
     )

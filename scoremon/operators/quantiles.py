@@ -7,6 +7,7 @@ enter the bucketing as literals - the labels carry them as text anyway.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 from math import ceil
 from typing import NamedTuple
 
@@ -74,6 +75,37 @@ class _Search(NamedTuple):
     size: int
 
 
+def wanted_rank(p: float, n: int) -> int:
+    """ceil(p * n) with ``p`` taken as it is written, not as its binary value; 1 at least."""
+    return min(max(ceil(Fraction(str(p)) * n), 1), n)
+
+
+def rank_check(
+    df: DataFrame, cuts: dict[str, Cuts], window: str, probs: Sequence[float], relative_error: float
+) -> DataFrame:
+    """column_name, cut, n and whether the rank of a cut is within ``relative_error * n``.
+
+    One aggregation counts, for all cuts, the values below and up to them.
+    """
+    rows = where(df, window)
+    names = list(cuts)
+    aggs = [F.count(_value(c)) for c in names]
+    for c in names:
+        for edge in cuts[c].edges or []:
+            aggs += [F.count_if(_value(c) < edge), F.count_if(_value(c) <= edge)]
+    numbers = iter(rows.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first())
+    counts = {c: next(numbers) for c in names}
+    out = []
+    for c in names:
+        for j, _ in enumerate(cuts[c].edges or []):
+            below, upto, rank = next(numbers), next(numbers), wanted_rank(probs[j], counts[c])
+            far = max(0, below + 1 - rank, rank - upto)
+            out.append((c, j + 1, counts[c], far <= relative_error * counts[c]))
+    return df.sparkSession.createDataFrame(
+        out, "column_name STRING, cut INT, n BIGINT, within_bound BOOLEAN"
+    )
+
+
 def exact_cuts(
     df: DataFrame,
     columns: Sequence[str],
@@ -101,7 +133,7 @@ def exact_cuts(
     lowest, counts = head[: len(columns)], head[len(columns) :]
     found: dict[tuple[int, int], float] = {}
     todo = {
-        (i, j): _Search(min(max(ceil(p * counts[i]), 1), counts[i]), None, None, 0, counts[i])
+        (i, j): _Search(wanted_rank(p, counts[i]), None, None, 0, counts[i])
         for i, _ in enumerate(columns) if counts[i]
         for j, p in enumerate(probs)
     }

@@ -79,9 +79,9 @@ def terms_from_cells(
         F.sum(F.when(m.between(*base), w)).alias("base"),
         F.sum(F.when(m.between(*recent), w)).alias("recent"),
     )
-    per_driver = Window.partitionBy("variable")
-    shares = {s: _share(F.col(s), F.sum(s).over(per_driver)) for s in ("base", "recent")}
-    terms = per_bucket.select(
+    totals = per_bucket.groupBy("variable").agg(*[F.sum(s).alias(f"_{s}") for s in ("base", "recent")])
+    shares = {s: _share(F.col(s), F.col(f"_{s}")) for s in ("base", "recent")}
+    terms = per_bucket.join(totals, "variable").select(
         "variable", "bucket", shares["base"].alias("share_base"), shares["recent"].alias("share_recent")
     )
     return terms.withColumn("psi_term", _term(F.col("share_base"), F.col("share_recent")))

@@ -251,12 +251,13 @@ FACTOR_VIEWS = (
     SEG_SUMS,
     projection_sql("proj_n", "seg_sums", "n", by="segment"),
     projection_sql("proj_m", "seg_sums", "m", by="segment"),
+    # Every month of the base: unprojected ones are filled with factor 0 and rate 0.005.
     f"""factors AS (SELECT {RUN_MONTH} AS month_def, a.codmes,
  CASE a.segment WHEN '1. Affluent' THEN 1 WHEN '2. Consumer' THEN 2 END AS seg_proy,
  coalesce(b.rd_proj, 0.005) AS projection_amounts, coalesce(b.factor, 0) AS factor_amounts,
  coalesce(a.rd_proj, 0.005) AS projection_accounts, coalesce(a.factor, 0) AS factor_accounts
  FROM proj_n a JOIN proj_m b ON a.segment = b.segment AND a.codmes = b.codmes
- WHERE a.month_idx BETWEEN {CLOSED + 1} AND {CLOSED + 6} AND a.segment IN ('1. Affluent', '2. Consumer'))""",
+ WHERE a.segment IN ('1. Affluent', '2. Consumer'))""",
 )
 FACTOR_COLUMNS = ("projection_amounts", "factor_amounts", "projection_accounts", "factor_accounts")
 
@@ -291,12 +292,86 @@ def factor_merge(spark, sf_dir):
     base = base.withColumn("seg_proy", cohorts.segment_id("segment", SEGMENT_IDS)).filter("seg_proy IS NOT NULL")
     sums = store(cal.cohort_sums(base, CFG.with_(pds=()), cal.report_horizons(CFG), by=("seg_proy",)), "sums")
     accounts, amounts = (
-        pj.open_cohorts(pj.with_projection(sums, CFG, view, by=("seg_proy",)), CFG) for view in ("n", "m")
+        pj.with_projection(sums, CFG, view, by=("seg_proy",)) for view in ("n", "m")
     )
     out = cohorts.merge_factor_views(accounts, amounts, RUN_MONTH)
     return out.select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
 
 
+OVERRIDDEN = [
+    ("n", 199909, "add", 0.005, None), ("m", 199911, "set", 0.004, None), (None, 200001, "set", 0.25, 1),
+]
+
+
+def _corrected(view: str) -> str:
+    """Rates of one view after ``OVERRIDDEN``, and their factors."""
+    arms = " ".join(
+        f"WHEN codmes = {m}{'' if s is None else f' AND segment = {chr(39)}1. Affluent{chr(39)}'} THEN "
+        + (f"rd_proj + {v}" if op == "add" else f"{v}")
+        for w, m, op, v, s in OVERRIDDEN if w in (None, view)
+    )
+    hit = f"(CASE {arms} ELSE NULL END)"
+    return (
+        f"fixed_{view} AS (SELECT codmes, segment, month_idx, rd_usable, {hit} IS NOT NULL AS hit, "
+        f"CASE {arms} ELSE rd_proj END AS rd_proj, factor FROM proj_{view})"
+    )
+
+
+def _smoothed(view: str) -> str:
+    return (
+        f"smooth_{view} AS (SELECT codmes, segment, "
+        "CASE WHEN hit THEN rd_proj/nullif(rd_usable, 0) ELSE factor END AS factor, "
+        "CASE WHEN rd_proj IS NOT NULL THEN avg(rd_proj) OVER (PARTITION BY segment ORDER BY month_idx "
+        f"ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS rd_proj FROM fixed_{view})"
+    )
+
+
+@query(
+    "factor_table_overridden",
+    scored(
+        f"""
+SELECT {RUN_MONTH} AS month_def, a.codmes, CASE a.segment WHEN '1. Affluent' THEN 1 ELSE 2 END AS seg_proy,
+ round(coalesce(b.rd_proj, 0.005), 6) AS projection_amounts, round(coalesce(b.factor, 0), 6) AS factor_amounts,
+ round(coalesce(a.rd_proj, 0.005), 6) AS projection_accounts, round(coalesce(a.factor, 0), 6) AS factor_accounts
+FROM smooth_n a JOIN smooth_m b ON a.segment = b.segment AND a.codmes = b.codmes
+WHERE a.segment IN ('1. Affluent', '2. Consumer')
+""",
+        *FACTOR_VIEWS[:3], _corrected("n"), _corrected("m"), _smoothed("n"), _smoothed("m"),
+    ),
+)
+def factor_table_overridden(spark, sf_dir):
+    """Factor table after manual corrections per view and segment, smoothed over three months."""
+    rows = [(w, m, op, v, s) for w, m, op, v, s in OVERRIDDEN if s is None]
+    # A correction without a segment holds for every segment id.
+    rows = [(w, m, op, v, s) for w, m, op, v, _ in rows for s in SEGMENT_IDS.values()]
+    rows += [r for r in OVERRIDDEN if r[4] is not None]
+    table = spark.createDataFrame(rows, "view STRING, codmes INT, op STRING, value DOUBLE, seg_proy INT")
+    out = cohorts.factor_table(
+        scored_base(spark, sf_dir), CFG, SEGMENT_IDS, RUN_MONTH, overrides=table, smooth=3
+    )
+    return out.select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
+
+
+@query(
+    "projection_all",
+    scored(
+        f"""
+SELECT a.codmes, round(a.rd_usable, 6) AS rd_usable, round(a.rd_proj, 6) AS met1,
+ round(b.rd_proj, 6) AS met2, round(c.rd_proj, 6) AS met3
+FROM p1 a JOIN p2 b ON b.codmes = a.codmes JOIN p3 c ON c.codmes = a.codmes
+WHERE a.month_idx BETWEEN {CLOSED + 1} AND {CLOSED + 6}
+""",
+        SUMS, projection_sql("p1", "sums", "n", "met1"), projection_sql("p2", "sums", "n", "met2"),
+        projection_sql("p3", "sums", "n", "met3"),
+    ),
+)
+def projection_all(spark, sf_dir):
+    """The projections of all methods side by side."""
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    sums = cal.cohort_sums(base, CFG.with_(pds=()), [24, *CFG.usable.values()])
+    return pj.all_methods(sums, CFG).select("codmes", *r6("rd_usable", *pj.METHODS))
+
+
 LATEST_SQL = "CASE " + " ".join(
     f"WHEN month_idx = {CLOSED + j} AND dist_def <= {h} THEN 1"
     for j, h in (*OPEN, (7, 18), (8, 17), (9, 16))
@@ -470,13 +545,50 @@ def bands_wilson(spark, sf_dir):
     return out.select("codmes", "n", *r6("lower", "upper"), "inside")
 
 
-@query("bands_jeffreys")
+# Quantiles of Beta(d + 1/2, n - d + 1/2): cumulated trapezoids over the angle t with
+# x = sin(t)^2, on a grid of 24 deviations around the peak, read by interpolation.
+JEFFREYS_SQL = """
+, k AS (SELECT codmes, n, d24_n AS d, pd_n/n AS pd_mean, atan2(sqrt(d24_n), sqrt(n - d24_n)) AS peak,
+  12/sqrt(4.0*(n + 1)) AS w FROM sums WHERE codmes <= 199908),
+e AS (SELECT *, greatest(0.0, peak - w) AS lo, least(pi()/2, peak + w) AS hi FROM k),
+g AS (SELECT codmes, i, lo + (hi - lo)*i/100000.0 AS t, (hi - lo)/100000.0 AS h,
+  CASE WHEN d = 0 THEN 0 ELSE 2*d*ln(greatest(sin(lo + (hi - lo)*i/100000.0), 1e-300)) - 2*d*ln(greatest(sin(peak), 1e-300)) END
+  + CASE WHEN d = n THEN 0 ELSE 2*(n - d)*ln(greatest(cos(lo + (hi - lo)*i/100000.0), 1e-300)) - 2*(n - d)*ln(greatest(cos(peak), 1e-300)) END AS f
+  FROM e, (SELECT unnest(generate_series(0, 100000)) AS i)),
+s AS (SELECT codmes, i, t, h, (exp(f) + lag(exp(f), 1, 0.0) OVER (PARTITION BY codmes ORDER BY i))/2 * CASE WHEN i = 0 THEN 0 ELSE h END AS part FROM g),
+c AS (SELECT codmes, i, t, h, sum(part) OVER (PARTITION BY codmes ORDER BY i) AS upto, part FROM s),
+z AS (SELECT codmes, max(upto) AS total FROM c GROUP BY codmes),
+q AS (SELECT c.codmes, p, max(CASE WHEN upto - part < p*total AND p*total <= upto THEN t - h*(upto - p*total)/part END) AS t
+  FROM c JOIN z ON z.codmes = c.codmes, (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) v(p) GROUP BY c.codmes, p),
+b AS (SELECT codmes, max(CASE WHEN p < 0.5 THEN sin(t)*sin(t) END) AS lower, max(CASE WHEN p > 0.5 THEN sin(t)*sin(t) END) AS upper FROM q GROUP BY codmes)
+SELECT k.codmes, n, round(lower, 6) AS lower, round(upper, 6) AS upper, pd_mean BETWEEN lower AND upper AS inside
+FROM k JOIN b ON b.codmes = k.codmes
+"""
+
+# Normal distribution function on a grid, cumulated by trapezoids and read by interpolation.
+VASICEK_SQL = """
+, k AS (SELECT codmes, n, pd_n/n AS pd_mean, d24_n/n AS rd FROM sums WHERE codmes <= 199908),
+g AS (SELECT i, -8 + i/5000.0::DOUBLE AS x, exp(-pow(-8 + i/5000.0::DOUBLE, 2)/2)/sqrt(2*pi()) AS f
+  FROM (SELECT unnest(generate_series(0, 80000)) AS i)),
+c AS (SELECT i, x, f, sum((f + lf)/2/5000.0::DOUBLE) OVER (ORDER BY i) AS upto
+  FROM (SELECT *, lag(f, 1, f) OVER (ORDER BY i) AS lf FROM g)),
+n2 AS (SELECT i, x, upto, lead(upto) OVER (ORDER BY i) AS nxt FROM c),
+a AS (SELECT codmes, n, pd_mean, rd, x + (pd_mean - upto)/(nxt - upto)/5000.0::DOUBLE AS z FROM k JOIN n2 ON upto <= pd_mean AND pd_mean < nxt),
+t AS (SELECT *, (z - sqrt(0.15::DOUBLE)*1.959963984540054::DOUBLE)/sqrt(0.85::DOUBLE) AS zl,
+  (z + sqrt(0.15::DOUBLE)*1.959963984540054::DOUBLE)/sqrt(0.85::DOUBLE) AS zu FROM a),
+l AS (SELECT t.codmes, t.n, t.rd, l.upto + (l.nxt - l.upto)*(zl - l.x)*5000 AS lower, u.upto + (u.nxt - u.upto)*(zu - u.x)*5000 AS upper
+  FROM t JOIN n2 l ON l.i = CAST(floor((zl + 8)*5000) AS BIGINT) JOIN n2 u ON u.i = CAST(floor((zu + 8)*5000) AS BIGINT))
+SELECT codmes, n, round(lower, 6) AS lower, round(upper, 6) AS upper, rd BETWEEN lower AND upper AS inside FROM l
+"""
+
+
+@query("bands_jeffreys", scored(JEFFREYS_SQL, SUMS))
 def bands_jeffreys(spark, sf_dir):
     out = bands.bands_jeffreys(_monthly(spark, sf_dir), "n", "def24", "pd_mean")
     return out.select("codmes", "n", *r6("lower", "upper"), "inside")
 
 
-@query("bands_vasicek")
+@query("bands_vasicek", scored(VASICEK_SQL, SUMS))
 def bands_vasicek(spark, sf_dir):
     out = bands.bands_vasicek(_monthly(spark, sf_dir), "pd_mean", "rd24")
     return out.select("codmes", "n", *r6("lower", "upper"), "inside")

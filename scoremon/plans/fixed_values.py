@@ -260,6 +260,19 @@ TRADITIONAL_PD_TITLES = (
     ("10", "10-PD RCC"),
 )
 
+GUARANTEE_PD_TITLES = (
+    ("01", "01-PD Vigente"),
+    ("02", "02-PD Calibrado"),
+    ("03", "03-PD Troncal"),
+    ("04", "04-PD Nueva"),
+    ("05", "05-PD Modulo Gahi"),
+    ("06", "06-PD Demográfico"),
+    ("07", "07-PD Activo"),
+    ("08", "08-PD Transaccional"),
+    ("09", "09-PD Pasivo"),
+    ("10", "10-PD RCC"),
+)
+
 # ---------------------------------------------------------------------------
 # Column names of the published cube and factor table.
 # ---------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig, product_universe, where
 from scoremon.functions import buckets as bk
+from scoremon.functions.months import index_of, yyyymm_of
 from scoremon.functions.scores import (
     logit_to_pd, null_safe_sum, null_sentinels, score_to_logit, switch_source,
 )
@@ -22,7 +23,7 @@ from scoremon.operators import bands, calibration, cohorts, cube, discrimination
 from scoremon.operators.enrich import latest_per_key, left_enrich, rule_lookup
 from scoremon.operators.quantiles import approx_percentile
 from scoremon.plans import fixed_values as fx
-from scoremon.sources.tables import label_table, store, write_extract, write_partitioned
+from scoremon.sources.tables import label_table, save_table, store, write_extract, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -155,13 +156,20 @@ def renewed_columns(
     return out
 
 
-def with_zone_risk(df: DataFrame, department: str, district: str) -> DataFrame:
-    """Zone risk by both rule sets, and the numeric weight of the second one."""
-    for name, rules, unknown in (
-        ("riesgo_zona2", fx.ZONE_RISK_RULES, None),
-        ("riesgo_zona_st", fx.ZONE_RISK_RULES_2, fx.ZONE_RISK_UNKNOWN),
+def with_zone_risk(
+    df: DataFrame, department: str, district: str,
+    rules: DataFrame | None = None, rules_2: DataFrame | None = None,
+) -> DataFrame:
+    """Zone risk by both rule sets, and the numeric weight of the second one.
+
+    Rule tables of any size (department, district, risk) may replace the fixed rules.
+    """
+    for name, given, fixed, unknown in (
+        ("riesgo_zona2", rules, fx.ZONE_RISK_RULES, None),
+        ("riesgo_zona_st", rules_2, fx.ZONE_RISK_RULES_2, fx.ZONE_RISK_UNKNOWN),
     ):
-        table = label_table(df.sparkSession, rules, [department, district, "_risk"])
+        columns = [department, district, "_risk"]
+        table = label_table(df.sparkSession, fixed, columns) if given is None else given.toDF(*columns)
         df = rule_lookup(df, table, department, district, "_risk", fx.ZONE_RISK_DEFAULT, unknown, name)
     return df.withColumn("riesgo_zona_st_st", bk.recode("riesgo_zona_st", fx.ZONE_RISK_WEIGHTS))
 
@@ -199,7 +207,9 @@ class MonitorPlan:
     ``calibration_use`` may be any predicate on the base; ``driver_use`` cuts
     the months of the driver reports and may use the month column only.
     ``request`` names the request number, to tell a missing PD from a missing
-    match of the extract.
+    match of the extract.  ``overrides`` (month, op, value, optionally view)
+    corrects portfolio projections before ``smooth`` months are averaged;
+    corrections of single segments name them in the segment column.
     """
 
     drivers: Sequence[str]
@@ -215,8 +225,11 @@ class MonitorPlan:
     horizons: tuple[int, ...] = (24, 21, 18)
     gini_limits: tuple[float, float] = (0.4, 0.5)
     bands: str = "jeffreys"
+    rho: float = 0.15
     method: str = "met1"
     request: str = ""
+    overrides: DataFrame | None = None
+    smooth: int = 1
 
 
 def summaries(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> tuple[DataFrame, DataFrame]:
@@ -254,13 +267,18 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
         "information_value": calibration.iv_from_cells(where(cells, plan.driver_use), cfg),
     }
     for view in ("n", "m"):
-        evol = calibration.evol_from_sums(total, cfg, view, plan.aux, method=plan.method)
-        factors = month_factors(total, cfg, view, plan.method)
-        out[f"calibration_{view}"] = bands.add_bands(evol, plan.bands, "n", "defaults", pd, f"rd{cfg.target}")
+        change = (plan.overrides, plan.smooth)
+        evol = calibration.evol_from_sums(total, cfg, view, plan.aux, (), plan.method, *change)
+        factors = month_factors(total, cfg, view, plan.method, *change)
+        # The amount view tests an amount-weighted rate on as many trials as accounts.
+        out[f"calibration_{view}"] = bands.add_bands(
+            evol, plan.bands, "n", "events", pd, f"rd{cfg.target}", rho=plan.rho
+        ).drop("events")
         out[f"calibration_segment_{view}"] = calibration.evol_from_sums(
-            sums, cfg, view, plan.aux, (cfg.segment,), plan.method
-        )
-        out[f"portfolio_{view}"] = portfolio_from_segments(sums, cfg, view, plan.method)
+            sums, cfg, view, plan.aux, (cfg.segment,), plan.method, *change
+        ).drop("events")
+        out[f"portfolio_{view}"] = portfolio_from_segments(sums, cfg, view, plan.method, *change)
+        out[f"all_methods_{view}"] = projection.all_methods(total, cfg, view)
         out[f"drivers_{view}"] = calibration.drivers_from_cells(
             shown, cfg, factors, view, plan.aux[1], plan.min_share
         )
@@ -273,22 +291,32 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
         )
     start, end = plan.gini_months
     scores = [pd, *[c for c in plan.numeric if c != pd]]
-    out["gini"] = discrimination.multi_driver_gini(
+    out["gini"] = store(discrimination.multi_driver_gini(
         df, cfg, scores, horizons=plan.horizons, start=start, end=end, months=plan.gini_width,
         moving=True, limits=plan.gini_limits, cells=cells,
-    )
+    ), "gini")
+    periods = [yyyymm_of(i) for i in range(index_of(start), index_of(end) + 1)]
+    out["discrimination"] = discrimination.by_period(out["gini"], month, periods, f"gini{plan.horizons[0]}")
     return out
 
 
-def month_factors(sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1") -> DataFrame:
+def month_factors(
+    sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1",
+    overrides: DataFrame | None = None, smooth: int = 1,
+) -> DataFrame:
     """Portfolio projection factor per open month, from portfolio sums."""
     projected = projection.with_projection(sums, cfg, view, method)
+    projected = projection.adjusted(projected, cfg, view, overrides, smooth)
     return projection.open_cohorts(projected, cfg).select(cfg.month, "factor")
 
 
-def portfolio_from_segments(sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1") -> DataFrame:
+def portfolio_from_segments(
+    sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1",
+    overrides: DataFrame | None = None, smooth: int = 1,
+) -> DataFrame:
     """Portfolio projection put together from the segment projections."""
     projected = projection.with_projection(sums, cfg, view, method, by=(cfg.segment,))
+    projected = projection.adjusted(projected, cfg, view, overrides, smooth, (cfg.segment,))
     return projection.portfolio_projection(projection.open_cohorts(projected, cfg), view, cfg.month)
 
 
@@ -307,26 +335,44 @@ def publish_cube(
     pd_titles: Sequence[tuple[str, str]] = fx.TRADITIONAL_PD_TITLES,
     use: str = "",
     tooltip: str | None = None,
+    recent: tuple[int, int] | None = None,
+    early_until: int | None = None,
+    horizons: tuple[int, int, int] = (24, 21, 12),
+    method: str = "met1",
+    projected_months: int | None = None,
+    overrides: DataFrame | None = None,
+    smooth: int = 1,
+    tables: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Write factor table, cube and label tables below ``path``.
 
-    The cube is evaluated once; its text export reads the stored cube.
-    Returns the folder of every part.
+    The cube is evaluated once; its text export reads the stored cube.  Axis
+    labels and PD titles differ by product (``fixed_values``).  ``tables``
+    names catalog tables to replace with the published ``factors`` and
+    ``cube``.  Returns the folder of every part.
     """
     spark = df.sparkSession
     where_to = {
         part: f"{path.rstrip('/')}/{part}"
         for part in ("factors", "cube", "cube_csv", "axis_labels_csv", "pd_titles_csv")
     }
-    table = cohorts.factor_table(df, cfg, ids, run_month, use)
-    table.coalesce(1).write.mode("overwrite").parquet(where_to["factors"])
+    table = cohorts.factor_table(
+        df, cfg, ids, run_month, use, method, projected_months, overrides, smooth
+    )
+    table.write.mode("overwrite").parquet(where_to["factors"])
     factors = spark.read.parquet(where_to["factors"])
 
     base = cfg.select_universe(df, use).withColumn("seg_proy", cohorts.segment_id(cfg.segment, ids))
-    wide = cube.reporting_cube(base, cfg, axes, pds, factors, tooltip=tooltip or cfg.segment)
+    wide = cube.reporting_cube(
+        base, cfg, axes, pds, factors, tooltip or cfg.segment, recent, early_until, horizons
+    )
     write_partitioned(wide, where_to["cube"], cfg.month)
     stored = spark.read.parquet(where_to["cube"]).select(*wide.columns)
     published = stored.withColumnsRenamed({k: v for k, v in fx.PUBLISHED_NAMES.items() if k in wide.columns})
+    named = factors.withColumnsRenamed({k: v for k, v in fx.PUBLISHED_NAMES.items() if k in factors.columns})
+    for part, frame in (("factors", named), ("cube", published)):
+        if tables and part in tables:
+            save_table(frame, tables[part])
     write_extract(published, where_to["cube_csv"], sep=",", compression="gzip")
     write_extract(label_table(spark, axis_labels, ["EJE", "ETIQUETA"]), where_to["axis_labels_csv"], sep=",")
     write_extract(label_table(spark, pd_titles, ["PD", "DESCRIPTIVO"]), where_to["pd_titles_csv"], sep=",")

@@ -22,10 +22,9 @@ SCORE_EDGES = (300, 335, 365, 400)
 SCORE_LABELS = ("1. <300", "2. [300 - 335>", "3. [335 - 365>", "4. [365 - 400>", "5. [400 - ++>")
 PD_EDGES = (0.015, 0.03, 0.06, 0.12)
 PD_LABELS = ("1. [0 - 1.5%]", "2. <1.5 - 3%]", "3. <3 - 6%]", "4. <6 - 12%]", "5. <12 - ++>")
-AMOUNT_EDGES = (87_500, 140_000, 215_000, 300_000)
+AMOUNT_EDGES = (60_000, 120_000, 180_000, 260_000)
 AMOUNT_LABELS = (
-    "1. [0 - 87,500]", "2. <87,500 - 140,000]", "3. <140,000 - 215,000]",
-    "4. <215,000 - 300,000]", "5. <300,000 - ++>",
+    "1. up to 60,000", "2. up to 120,000", "3. up to 180,000", "4. up to 260,000", "5. above 260,000",
 )
 INCOME_EDGES = (0, 2_500, 5_000, 7_500)
 INCOME_LABELS = (

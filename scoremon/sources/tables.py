@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# A literal table is built on the driver, so it has to stay small.
-MAX_LITERAL_ROWS = 10_000
-
 
 def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A catalog table, or a Parquet path when ``name`` looks like one."""
@@ -78,9 +74,7 @@ def keep(df: DataFrame) -> DataFrame:
 def label_table(
     spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]
 ) -> DataFrame:
-    """Small literal dimension table, all columns text."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} literal rows; write a table instead")
+    """Literal dimension table of the program text, all columns text."""
     schema = StructType([StructField(c, StringType(), True) for c in columns])
     return spark.createDataFrame(list(rows), schema)
 
@@ -88,19 +82,37 @@ def label_table(
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 
-    On a cluster it lies below ``spark.checkpoint.dir``; only a local session
-    without that setting gets a temporary folder of this machine.
+    It lies below ``spark.checkpoint.dir``, or where that is unset below the
+    warehouse folder of the session, where the tables themselves are.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"scoremon-{label}-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    )
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_stored: dict[str, list[str]] = {}
+
 
+def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write a derived frame once and read it back, for several passes over it.
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write a derived frame once and read it back, for several passes over it."""
-    path = work_dir(df.sparkSession, label)
+    The copy stays until ``clear_stored``.
+    """
+    spark = df.sparkSession
+    path = path or work_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    return path in _stored.get(spark.sparkContext.applicationId, [])
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove what ``store`` has written in this application; its frames end with it."""
+    jvm = spark.sparkContext._jvm
+    for path in _stored.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

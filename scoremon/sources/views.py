@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scoremon.functions.months import year_text
 from scoremon.functions.scores import logit_to_pd, logit_to_score
-from scoremon.sources.tables import store
+from scoremon.sources.tables import is_stored, store, work_dir
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,9 +97,19 @@ def scored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scored_base`` written once, for queries that read it several times.
 
-    The joins behind it then run once, and each pass reads only its columns.
+    The joins behind it then run once per application and folder, and each
+    pass reads only its columns.  A stored table also carries no partitioning
+    on the client, so a client with very many rows is combined before the
+    shuffle, or split by adaptive execution, wherever it is joined or grouped.
     """
-    return store(scored_base(spark, sf_dir), "base")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases or not is_stored(spark, _bases[key]):
+        _bases[key] = work_dir(spark, "base")
+        store(scored_base(spark, sf_dir), "base", _bases[key])
+    return spark.read.parquet(_bases[key])
+
+
+_bases: dict[tuple[str, str], str] = {}
 
 
 def app_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +135,7 @@ def app_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delinquency panel: one row per client and month."""
     return (
-        app_base(spark, sf_dir)
+        stored_base(spark, sf_dir)
         .groupBy("client_id", "month_idx")
         .agg(
             F.max("codmes").alias("codmes"),
@@ -137,7 +147,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation log: several runs per request, ties on the last month."""
-    return app_base(spark, sf_dir).select(
+    return stored_base(spark, sf_dir).select(
         F.col("client_id").alias("req_id"),
         F.col("codmes").alias("run_month"),
         F.col("segment").alias("district"),

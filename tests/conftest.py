@@ -5,6 +5,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from scoremon.sources.tables import clear_stored
+
 
 def build_session() -> SparkSession:
     spark = (
@@ -25,6 +27,7 @@ def build_session() -> SparkSession:
 def spark():
     session = build_session()
     yield session
+    clear_stored(session)
     session.stop()
 
 

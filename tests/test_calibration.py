@@ -178,12 +178,18 @@ def test_factor_table_equals_merged_views(book):
     _, df = book
     ids = {"A": 1, "B": 2}
     direct = cohorts.factor_table(df, CFG, ids, 202501).orderBy("seg_proy", "codmes").collect()
-    assert len(direct) == 12
+    months = {(r.segment, r.codmes) for r in df.select("segment", "codmes").distinct().collect()}
+    assert len(direct) == sum(s in ids for s, _ in months)
+    for r in direct:
+        if not 202302 <= r.codmes <= 202307:
+            assert (r.factor_amounts, r.projection_accounts) == (0.0, 0.005)
+    nine = cohorts.factor_table(df, CFG, ids, 202501, projected_months=9).collect()
+    assert {r.codmes for r in nine if r.factor_accounts} >= {r.codmes for r in direct if r.factor_accounts}
     views = []
     for view in ("n", "m"):
         sums = cal.cohort_sums(df.withColumn("seg_proy", cohorts.segment_id("segment", ids)), CFG,
                                [24, *CFG.usable.values()], by=("seg_proy",))
-        views.append(pj.open_cohorts(pj.with_projection(sums, CFG, view, by=("seg_proy",)), CFG))
+        views.append(pj.with_projection(sums, CFG, view, by=("seg_proy",)))
     merged = cohorts.merge_factor_views(*views, 202501).orderBy("seg_proy", "codmes").collect()
     assert direct == merged
 
@@ -232,19 +238,32 @@ def test_beta_quantiles_at_known_points():
     assert bands.beta_quantile(0.975, 0.5, 10.5) == pytest.approx(0.217196, abs=1e-6)
     assert bands.beta_quantile(0.025, 5.5, 5.5) == pytest.approx(0.223529, abs=1e-6)
     assert bands.beta_quantile(0.975, 5.5, 5.5) == pytest.approx(0.776471, abs=1e-6)
-    assert bands.vasicek_quantile(0.05, 0.15, 0.975) == pytest.approx(0.168340, abs=1e-6)
 
 
-@pytest.mark.parametrize("a, b", [(1500.5, 9000.5), (1200.5, 1300.5), (40.5, 2_000_000.5)])
-def test_beta_cdf_inverts_and_agrees_between_methods(a, b):
+def test_vasicek_and_normal_functions(spark):
+    df = spark.createDataFrame([(0.05,), (0.0,), (1.0,), (None,), (1e-9,)], "p DOUBLE")
+    got = [r.v for r in df.select(bands.vasicek_quantile(F.col("p"), 0.15, 0.975).alias("v")).collect()]
+    assert got[0] == pytest.approx(0.168340, abs=1e-6) and got[1:4] == [0.0, 1.0, None]
+    back = df.select(bands.normal_cdf(bands.normal_quantile(F.col("p"))).alias("v")).collect()
+    assert back[0].v == pytest.approx(0.05, abs=1e-14) and back[4].v == pytest.approx(1e-9, rel=1e-6)
+
+
+@pytest.mark.parametrize("a, b", [
+    (0.5, 0.5), (0.5, 10.5), (1.0, 1.0), (40.5, 2_000_000.5), (1500.5, 9000.5), (999.5, 1e14), (1e12, 3e12), (0.8, 7.5),
+])
+def test_beta_quantile_inverts_at_all_sizes(a, b):
     for p in (0.001, 0.025, 0.5, 0.975, 0.999):
         x = bands.beta_quantile(p, a, b)
         assert bands.beta_cdf(a, b, x) == pytest.approx(p, abs=1e-9)
-        if a > 1000:
-            front = np.exp(a * np.log(x) + b * np.log1p(-x) - bands._log_beta(a, b))
-            direct = front * bands._beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else \
-                1 - front * bands._beta_fraction(b, a, 1 - x) / b
-            assert bands._beta_quadrature(a, b, x) == pytest.approx(direct, abs=1e-9)
+    # The normal approximation is good where both parameters are large.
+    if min(a, b) > 1e3:
+        mean, sd = a / (a + b), np.sqrt(a * b / (a + b) ** 2 / (a + b + 1))
+        assert bands.beta_quantile(0.975, a, b) == pytest.approx(mean + 1.96 * sd, abs=0.02 * sd)
+    # Uniform and arc-sine law in closed form.
+    if (a, b) == (1.0, 1.0):
+        assert bands.beta_quantile(0.3, a, b) == pytest.approx(0.3, abs=1e-12)
+    if (a, b) == (0.5, 0.5):
+        assert bands.beta_cdf(a, b, 0.25) == pytest.approx(2 / np.pi * np.arcsin(0.5), abs=1e-12)
 
 
 def test_bands_on_frames(spark):

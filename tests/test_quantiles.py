@@ -63,3 +63,11 @@ def test_text_column_is_rejected(spark):
     df = spark.createDataFrame([("a",)], "x STRING")
     with pytest.raises(TypeError):
         q.quantile_buckets(df, ["x"])
+
+
+def test_ranks_take_probabilities_as_written(spark):
+    assert q.wanted_rank(0.55, 100) == 55 and q.wanted_rank(0.99, 10) == 10 and q.wanted_rank(0.0, 5) == 1
+    df = spark.range(1, 101).selectExpr("CAST(id AS DOUBLE) AS x")
+    assert q.exact_cuts(df, ["x"], probs=(0.55, 0.07, 0.29))["x"].edges == [55.0, 7.0, 29.0]
+    cuts = {"x": q.Cuts(1.0, [55.0, 60.0])}
+    assert [r.within_bound for r in q.rank_check(df, cuts, "", (0.55, 0.55), 0.01).orderBy("cut").collect()] == [True, False]

@@ -4,6 +4,7 @@ import math
 import random
 import uuid
 from decimal import Decimal
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -99,6 +100,15 @@ def test_cube_totals_match_the_base(book):
         F.sum(F.when(inside, F.col("proj_value_n"))).alias("vn"),
     ).first()
     assert got.proj_factor_dt_xm == pytest.approx(want.fm) and got.proj_value_dt_xn == pytest.approx(want.vn)
+    # Every measure has a value in every cell of a projected segment, inside and outside its window.
+    cells = cube.filter("seg_proy IS NOT NULL").collect()
+    assert cells and all(r[c] is not None for r in cells for c in cb.measure_names(["pd", "pd"]))
+    assert got.proj_value_mt_xm > 0 and got.proj_value_mt_xn > 0
+    more = cohorts.factor_table(df, CFG, ids, 202501, projected_months=9)
+    wide = cb.reporting_cube(base, CFG, {"axis": "EJE_P1"}, ["pd"], more.union(more))
+    sums = wide.agg(*[F.sum(c).alias(c) for c in ("n", "proj_value_mt_xn", "proj_factor_dt_xn")]).first()
+    assert sums.n == len(rows) and sums.proj_value_mt_xn != pytest.approx(got.proj_value_mt_xn)
+    assert sums.proj_factor_dt_xn == pytest.approx(got.proj_factor_dt_xn)
     long = cb.cube_long(cube, ["EJE_P1", "EJE_P2"], ["n"], ["codmes"])
     assert long.filter("axis = 'EJE_P1'").agg(F.sum("n")).first()[0] == len(rows)
     labels = tb.label_table(spark, [("EJE_P1", "one"), ("EJE_P9", "none")], ["axis", "title"])
@@ -111,7 +121,9 @@ def test_publish_writes_all_parts(book, tmp_path):
     spark = df.sparkSession
     where = runs.publish_cube(
         df, CFG, {"axis": "EJE_P1"}, ["pd"], fx.TRADITIONAL_SEGMENT_IDS, 202501, str(tmp_path / "out"))
-    assert spark.read.parquet(where["factors"]).count() == 12
+    segments = [s for s in fx.TRADITIONAL_SEGMENT_IDS if s in {r[4] for r in rows}]
+    months = {(r[4], r[0]) for r in rows if r[4] in segments}
+    assert spark.read.parquet(where["factors"]).count() == len(months)
     cube = spark.read.parquet(where["cube"])
     assert cube.agg(F.sum("n")).first()[0] == len(rows)
     back = spark.read.option("header", True).csv(where["cube_csv"])
@@ -120,6 +132,44 @@ def test_publish_writes_all_parts(book, tmp_path):
     assert spark.read.option("header", True).csv(where["pd_titles_csv"]).count() == 10
 
 
+def test_published_cube_follows_corrections_and_parameters(book, tmp_path):
+    _, df = book
+    spark = df.sparkSession
+    change = spark.createDataFrame([("n", 202303, "set", 0.9)], "view STRING, codmes INT, op STRING, value DOUBLE")
+
+    def run(tag, **more):
+        where = runs.publish_cube(
+            df, CFG, {"axis": "EJE_P1"}, ["pd"], fx.TRADITIONAL_SEGMENT_IDS, 202501, str(tmp_path / tag), **more
+        )
+        return spark.read.parquet(where["cube"]).agg(
+            *[F.sum(c).alias(c) for c in ("proj_value_dt_xn", "proj_value_dt_xm", "flg_recent", "def_early_xn")]
+        ).first(), where
+
+    plain, _ = run("plain")
+    changed, where = run(
+        "changed", overrides=change, recent=(202301, 202303), early_until=202206, smooth=1, method="met1",
+        pd_titles=fx.GUARANTEE_PD_TITLES, tables={"factors": "published_factors", "cube": "published_cube"},
+    )
+    assert changed.proj_value_dt_xn > plain.proj_value_dt_xn
+    assert changed.proj_value_dt_xm == pytest.approx(plain.proj_value_dt_xm)
+    assert changed.flg_recent != plain.flg_recent and changed.def_early_xn < plain.def_early_xn
+    titles = {r[1] for r in spark.read.option("header", True).csv(where["pd_titles_csv"]).collect()}
+    assert {"04-PD Nueva", "05-PD Modulo Gahi"} <= titles
+    stored = spark.table("published_factors")
+    assert {"CODMES_DEF", "proyeccion_montos", "factor_cuentas"} <= set(stored.columns) and stored.count() > 0
+    assert "def_proy_valor_mt_xn" in spark.table("published_cube").columns
+
+
+def test_amount_view_is_tested_with_its_own_rate(book):
+    _, df = book
+    plan = runs.MonitorPlan(drivers=["axis"], **PLAN)
+    out = runs.monitor(df, CFG, plan)
+    for r in out["calibration_m"].filter("rd24 IS NOT NULL").collect():
+        assert r.lower <= r.rd24 <= r.upper
+    assert {"met1", "met2", "met3"} <= set(out["all_methods_n"].columns)
+    assert [c for c in out["discrimination"].columns if c != "variable"] == ["p202201", "p202202", "p202203"]
+
+
 PLAN = dict(numeric=["pd", "amount"], base_window=(202101, 202112), recent_window=(202201, 202212),
             gini_months=(202201, 202203), driver_use="codmes BETWEEN 202201 AND 202304")
 
@@ -288,22 +338,34 @@ def test_snapshot_projects_before_distinct(spark):
     assert tb.distinct_snapshot(df).count() == 2 and tb.distinct_snapshot(df, ["a"]).count() == 1
 
 
-def session_like(settings: dict, master: str):
+def session_like(settings: dict):
     conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    return SimpleNamespace(conf=conf)
 
 
 def test_work_dir_uses_the_shared_folder():
-    cluster = session_like({"spark.checkpoint.dir": "hdfs://shared/work/"}, "yarn")
+    cluster = session_like({"spark.checkpoint.dir": "hdfs://shared/work/"})
     a, b = tb.work_dir(cluster, "x"), tb.work_dir(cluster, "x")
     assert a != b and a.startswith("hdfs://shared/work/x-")
 
 
-def test_work_dir_never_falls_back_to_a_machine_folder_on_a_cluster():
-    with pytest.raises(RuntimeError):
-        tb.work_dir(session_like({}, "yarn"), "x")
+def test_work_dir_falls_back_to_the_warehouse():
+    assert tb.work_dir(session_like({"spark.sql.warehouse.dir": "hdfs://wh/"}), "x").startswith("hdfs://wh/_work/x-")
+
+
+def test_stored_copies_are_removed(spark):
+    kept = tb.store(spark.range(5), "five")
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].removeprefix("//")
+    assert Path(path).is_dir() and kept.count() == 5
+    others = list(tb._stored[spark.sparkContext.applicationId])
+    tb._stored[spark.sparkContext.applicationId] = [p for p in others if path.endswith(p.rsplit("/", 1)[-1])]
+    tb.clear_stored(spark)
+    assert not Path(path).exists()
+    tb._stored[spark.sparkContext.applicationId] = [p for p in others if not path.endswith(p.rsplit("/", 1)[-1])]
 
 
-def test_literal_tables_stay_small(spark):
-    with pytest.raises(ValueError):
-        tb.label_table(spark, [("a",)] * 10_001, ["x"])
+def test_rules_may_be_a_table(spark):
+    df = spark.createDataFrame([("LIMA", "A"), ("CUSCO", "B")], "dep STRING, dist STRING")
+    rules = spark.createDataFrame([("LIMA", "A", "HIGH")], "d STRING, e STRING, r STRING")
+    got = {r.dep: r.riesgo_zona2 for r in runs.with_zone_risk(df, "dep", "dist", rules=rules).collect()}
+    assert got == {"LIMA": "HIGH", "CUSCO": fx.ZONE_RISK_DEFAULT}
