@@ -2,10 +2,10 @@
 
 The score is first aggregated to one row per (group, score value).  A group
 can still have as many distinct scores as rows, so its score axis is cut into
-ranges by Spark's range partitioner; each range reduces to a few numbers
-(counts, ordered pairs, extreme distances) and the ranges of a group are then
-put together in order.  No task sees a whole group, and the result does not
-depend on where the cuts fall.
+ranges at sketched quantiles; each range reduces to a few numbers (counts,
+ordered pairs, extreme distances) and the ranges of a group are then put
+together in order.  No task sees a whole group, and the result does not depend
+on where the cuts fall.
 
 A higher score means more risk; Gini is ``2 * AUC - 1`` for defaults scored
 above non-defaults.
@@ -13,7 +13,7 @@ above non-defaults.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from scoremon.config import MonitorConfig
 from scoremon.functions.months import index_of, month_from_index, shift_yyyymm, yyyymm_of
 from scoremon.operators.calibration import rate, unpivot_drivers
+from scoremon.sources.tables import store
 
 
 def score_counts(
@@ -36,26 +37,41 @@ def score_counts(
     )
 
 
-def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) -> DataFrame:
+#: Ranges that the score axis of one driver is cut into.
+RANGES = 64
+
+
+def gini_ks(
+    counts: DataFrame, group: Sequence[str], targets: Sequence[str], cut_by: Sequence[str] = (),
+    spread: Callable[[DataFrame], DataFrame] | None = None, ranges: int = RANGES,
+) -> DataFrame:
     """Gini and KS per group from ``score_counts`` rows, for several targets.
 
-    A score may come in several rows of its group (one per month of a
-    window); the frames below treat equal scores as one.  Adds ``n`` and, per
-    target ``t``, ``gini_<t>`` and ``ks_<t>``; both are null for a group with
-    defaults only or without any.
+    ``counts`` should be a stored frame.  The score axis is cut once per
+    ``cut_by`` at sketched quantiles, so the range of a row is a computed column
+    and rows move once, by (``cut_by``, range).  ``spread`` copies rows to the
+    windows they belong to, after that exchange.  A score may come in several
+    rows of its group (one per month of a window); the frames below treat equal
+    scores as one.  Adds ``n`` and, per target ``t``, ``gini_<t>`` and
+    ``ks_<t>``; both are null for a group with defaults only or without any.
     """
-    # Group totals are needed to compare distances across ranges.  They join
-    # before the range partitioning, so that both branches read the same
-    # aggregated shuffle.
-    totals = counts.groupBy(*group).agg(
+    spread = spread or (lambda df: df)
+    keys = list(cut_by)
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", shares, F.lit(1000)).alias("_cuts"))
+    months = [c for c in counts.columns if c not in ("score", "n", *targets)]
+    sums = counts.groupBy(*months).agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in targets])
+    totals = spread(sums).groupBy(*group).agg(
         F.sum("n").alias("total"), *[F.sum(t).alias(f"{t}_bads") for t in targets]
     )
-    slices = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        counts.join(totals, list(group), "inner")
-        .repartitionByRange(slices, *group, "score")
-        .withColumn("part", F.spark_partition_id())
-    )
+    # A row per driver, and per driver and window: as local rows Spark knows their exact size
+    # and broadcasts them only below its threshold.
+    cuts, totals = (_local(df) for df in (cuts, totals))
+    cut = counts.join(cuts, keys) if keys else counts.crossJoin(cuts)
+    placed_rows = cut.withColumn(
+        "part", F.size(F.filter("_cuts", lambda c: c < F.col("score")))
+    ).drop("_cuts").repartition(*keys, "part")
+    ranged = spread(placed_rows).join(totals, list(group))
     by_score = Window.partitionBy(*group, "part").orderBy("score")
     upto = by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ties = by_score.rangeBetween(Window.currentRow, Window.currentRow)
@@ -103,6 +119,10 @@ def gini_ks(counts: DataFrame, group: Sequence[str], targets: Sequence[str]) ->
     return placed.groupBy(*group).agg(*final)
 
 
+def _local(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _in_months(df: DataFrame, cfg: MonitorConfig, start: int | None, end: int | None) -> DataFrame:
     if start is not None:
         df = df.filter(F.col(cfg.month) >= start)
@@ -197,8 +217,10 @@ def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, c
             )
         )
     counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counts = _to_windows(counts, cfg, start, end, months, moving, names)
-    result = gini_ks(counts, ["variable", "window_end"], names)
+    result = gini_ks(
+        store(counts, "score-counts"), ["variable", "window_end"], names, ["variable"],
+        lambda rows: _to_windows(rows, cfg, start, end, months, moving),
+    )
     age = F.lit(cfg.closed_index + cfg.target) - (
         F.floor(F.col("window_end") / 100) * 12 + F.col("window_end") % 100 - 1
     )
@@ -218,7 +240,7 @@ def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, c
     return out
 
 
-def _to_windows(counts, cfg, start, end, months, moving, names) -> DataFrame:
+def _to_windows(counts, cfg, start, end, months, moving) -> DataFrame:
     """Move score counts from single months to the windows they belong to.
 
     Rows are copied, not merged: equal scores of one window stay apart by
@@ -244,7 +266,7 @@ def _to_windows(counts, cfg, start, end, months, moving, names) -> DataFrame:
         )
         if end is not None:
             spread = spread.withColumn("end_idx", F.least("end_idx", F.lit(index_of(end))))
-    return spread.select("variable", month_from_index("end_idx").alias("window_end"), "score", "n", *names)
+    return spread.withColumn("window_end", month_from_index("end_idx")).drop("end_idx", cfg.month)
 
 
 def discrimination_table(

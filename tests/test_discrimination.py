@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.operators import discrimination as ds
+from scoremon.sources.tables import store
 
 CFG = MonitorConfig(closed_month=202412)
 
@@ -108,9 +109,14 @@ def test_table_has_one_column_per_block(spark):
 
 
 def test_no_task_sees_a_whole_hot_month(spark):
-    """One month with all rows is still spread over the range partitions."""
+    """One month with all rows is still spread over the ranges, with one exchange of score rows."""
     df = spark.range(20_000).select(
         F.lit(202001).alias("codmes"), F.rand(1).alias("score"), (F.col("id") % 3).cast("int").alias("bad"))
-    counts = ds.score_counts(df, ["codmes"], "score", {"t": F.col("bad")})
-    parts = counts.repartitionByRange(8, "codmes", "score").groupBy(F.spark_partition_id()).count().collect()
-    assert len(parts) == 8 and max(r["count"] for r in parts) < 2 * 20_000 / 8
+    counts = store(ds.score_counts(df, ["codmes"], "score", {"t": F.col("bad")}), "counts")
+    out = ds.gini_ks(counts, ["codmes"], ["t"], ranges=16)
+    assert out.first().n == 20_000
+    cuts = counts.agg(F.percentile_approx("score", [i / 16 for i in range(1, 16)], F.lit(1000)).alias("c")).first().c
+    sizes = counts.groupBy(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("score")))).count()
+    assert sizes.count() == 16 and sizes.agg(F.max("count")).first()[0] < 1.5 * 20_000 / 16
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "rangepartitioning" not in plan
