@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from scoremon.llm import kernel
 from scoremon.llm.common import components, cut, release, slices, slots, store
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 SKETCH = 1 << 20
 SKETCH_BLOCKS = 16
 BLOOM_BITS = 1 << 23
