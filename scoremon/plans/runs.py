@@ -273,10 +273,10 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
         # The amount view tests an amount-weighted rate on as many trials as accounts.
         out[f"calibration_{view}"] = bands.add_bands(
             evol, plan.bands, "n", "events", pd, f"rd{cfg.target}", rho=plan.rho
-        ).drop("events")
+        )
         out[f"calibration_segment_{view}"] = calibration.evol_from_sums(
             sums, cfg, view, plan.aux, (cfg.segment,), plan.method, *change
-        ).drop("events")
+        )
         out[f"portfolio_{view}"] = portfolio_from_segments(sums, cfg, view, plan.method, *change)
         out[f"all_methods_{view}"] = projection.all_methods(total, cfg, view)
         out[f"drivers_{view}"] = calibration.drivers_from_cells(

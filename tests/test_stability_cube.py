@@ -147,7 +147,7 @@ def test_published_cube_follows_corrections_and_parameters(book, tmp_path):
 
     plain, _ = run("plain")
     changed, where = run(
-        "changed", overrides=change, recent=(202301, 202303), early_until=202206, smooth=1, method="met1",
+        "changed", overrides=change, recent=(202301, 202302), early_until=202206, smooth=1, method="met1",
         pd_titles=fx.GUARANTEE_PD_TITLES, tables={"factors": "published_factors", "cube": "published_cube"},
     )
     assert changed.proj_value_dt_xn > plain.proj_value_dt_xn
