@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scoremon.functions import buckets as bk
@@ -10,7 +12,14 @@ from scoremon.operators import cohorts
 from scoremon.operators import cube as cb
 from scoremon.operators import discrimination as ds
 from scoremon.operators import stability as st
-from scoremon.plans.calibration_queries import FACTOR_VIEWS, SEG_SCORED_SQL, UNIVERSE, factors
+from scoremon.plans import fixed_values as fx
+from scoremon.plans.calibration_queries import (
+    FACTOR_COLUMNS,
+    FACTOR_VIEWS,
+    SEG_SCORED_SQL,
+    UNIVERSE,
+    factors,
+)
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
 from scoremon.plans.setup import CFG, DRIVERS_SQL, SEGMENT_IDS, r6, with_drivers
@@ -470,3 +479,23 @@ def export_csv(spark, sf_dir):
     tb.write_extract(out, path, sep=",", compression="gzip")
     back = tb.read_extract(spark, path, out.schema, sep=",")
     return back.select("codmes", *STORED[:4], *_rounded(back, STORED[4:]))
+
+
+PUBLISHED = {c: fx.PUBLISHED_NAMES[c] for c in ("month_def", "seg_proy", *FACTOR_COLUMNS)}
+
+
+@query(
+    "publish_roundtrip",
+    scored(
+        "SELECT codmes, month_def AS " + PUBLISHED["month_def"] + ", seg_proy AS " + PUBLISHED["seg_proy"] + ", "
+        + ", ".join(f"round({c}, 6) AS {PUBLISHED[c]}" for c in FACTOR_COLUMNS) + " FROM factors",
+        *FACTOR_VIEWS,
+    ),
+)
+def publish_roundtrip(spark, sf_dir):
+    """The factor table replaced in the catalog under its published names and read back."""
+    named = factors(scored_base(spark, sf_dir)).withColumnsRenamed(PUBLISHED)
+    table = f"published_factors_{uuid.uuid4().hex}"
+    tb.save_table(named, table, tb.work_dir(spark, "published"))
+    back = spark.table(table)
+    return back.select("codmes", PUBLISHED["month_def"], PUBLISHED["seg_proy"], *r6(*[PUBLISHED[c] for c in FACTOR_COLUMNS]))
