@@ -508,9 +508,8 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     ).distinct())
     links = verified(docs, profile, first, percent)
     release(spark)
-    part = components(links)
+    part = cut(components(links))
     # What is left: pairs of a group that are still in different components.
-    part = cut(part)
     rows = shared.join(part, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     ).join(
@@ -531,12 +530,13 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     ).distinct().join(first, ["a", "b"], "left_anti")
     rest = cut(rest)
     if not rest.isEmpty():
-        part = components(links.union(verified(docs, profile, rest, percent)))
+        part = cut(components(links.union(verified(docs, profile, rest, percent))))
     ids = profile.where("block IS NULL")
     named = ids.join(part, "node", "left").withColumn(
         "group", F.coalesce("component", "node")
     )
-    low = named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("low"))
+    # Cut off, so that the join below has shuffles of its own, which Spark can split at a hot group.
+    low = cut(named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("low")))
     return named.join(low, "group", "left").select(
         "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")
     )
