@@ -105,17 +105,19 @@ def constant(share: float) -> Model:
     return Model(np.zeros(DIMENSIONS), 0.0, 1.0, float(np.log(share / (1 - share))))
 
 
-def descend(rows, heads, x, y, cost, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+def descend(rows, heads, x, y, cost, epochs: int, seed: int, chosen=None) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-loss linear support vector problem.
 
     ``rows`` holds the dimensions of all examples, example i from ``heads[i]``; its values
-    are ``x``.  The bias is the weight of a constant indicator.
+    are ``x``.  The bias is the weight of a constant indicator.  ``chosen`` names the
+    examples of ``y`` and ``cost``, all by default; nothing is copied for them.
     """
     rng = np.random.default_rng(seed)
     n = len(y)
     w, b = np.zeros(DIMENSIONS), 0.0
     alpha = np.zeros(n)
-    parts = [(rows[heads[i] : heads[i + 1]], x[heads[i] : heads[i + 1]]) for i in range(n)]
+    use = range(n) if chosen is None else chosen
+    parts = [(rows[heads[i] : heads[i + 1]], x[heads[i] : heads[i + 1]]) for i in use]
     diagonal = 0.5 / cost
     q = np.array([v @ v for _, v in parts]) + 1.0 + diagonal
     for _ in range(epochs):
@@ -144,10 +146,11 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12) -> Model:
     batch = pa.RecordBatch.from_arrays([column], names=["text"])
     for part in slices(iter([batch]), "text", CHUNK_BYTES):
         d, k = indicators(part.column(0))
-        docs.append(d + base)
-        dims.append(k)
+        docs.append((d + base).astype(np.int32))
+        dims.append(k.astype(np.int32))
         base += part.num_rows
     doc, dim = np.concatenate(docs), np.concatenate(dims)
+    del docs, dims
     heads = np.searchsorted(doc, np.arange(len(y) + 1))
     size = np.sqrt(np.maximum(np.diff(heads), 1))
     fold = np.arange(len(y)) % 5 == 4
@@ -159,15 +162,13 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12) -> Model:
         good = np.bincount(dim[use & (y[doc] == 1)], minlength=DIMENSIONS) + 1.0
         bad = np.bincount(dim[use & (y[doc] == 0)], minlength=DIMENSIONS) + 1.0
         ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-        x = ratio[dim] / size[doc]
+        x = ratio.astype(np.float32)[dim]
+        x /= size.astype(np.float32)[doc]
         # Both kinds carry the same weight in all.
         share = np.where(y == 1, len(y) / (2.0 * (y == 1).sum()), len(y) / (2.0 * (y == 0).sum()))
         chosen = np.flatnonzero(train)
         w, b = descend(
-            np.concatenate([dim[heads[i] : heads[i + 1]] for i in chosen]),
-            np.concatenate([[0], np.cumsum(np.diff(heads)[chosen])]),
-            np.concatenate([x[heads[i] : heads[i + 1]] for i in chosen]),
-            2.0 * y[chosen] - 1.0, share[chosen], epochs, 1,
+            dim, heads, x, 2.0 * y[chosen] - 1.0, share[chosen], epochs, 1, chosen,
         )
         if held.any():
             margin = np.bincount(doc, w[dim] * x, minlength=len(y)) + b
