@@ -86,3 +86,24 @@ def test_query_recall(spark, monkeypatch):
     total = sum(n for n, _ in want.values())
     assert all(got[i].n_links <= n for i, (n, _) in want.items())
     assert sum(r.n_links for r in got.values()) >= 0.97 * total
+
+
+@pytest.mark.parametrize("spread", [0.1, 0.26])
+def test_dense_cluster_keeps_its_links(spark, monkeypatch, spread):
+    """Near copies of one vector, many times a leaf, between rows without links and small groups."""
+    monkeypatch.setattr(vector_forest, "LEAF", 64)
+    monkeypatch.setattr(vector_forest, "PIECE", 300)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    x = np.concatenate([
+        centre + spread * rng.normal(size=(2500, 64)), rng.normal(size=(1000, 64)),
+        np.repeat(rng.normal(size=(50, 64)), 10, axis=0) + 0.1 * rng.normal(size=(500, 64)),
+    ]).astype(np.float32)
+    rows = [(i, v, 1) for i, v in enumerate(x[rng.permutation(len(x))].tolist())]
+    got = {r.vec_id: r for r in vector_forest.near_duplicates(frame(spark, rows)).collect()}
+    want = brute(rows)
+    total = sum(n for n, _ in want.values())
+    assert total > 1_000_000
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.99 * total
+    assert sum(got[i].component_id == c for i, (_, c) in want.items()) >= 0.99 * len(rows)
