@@ -34,8 +34,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SMOOTHING = 0.5
 MARGIN = 0.25
 QUANTILE = 0.999
-#: Expected sizes of the samples of documents that random and ordinary strings come from.
-RANDOM_DOCS = 20_000
+#: Expected number of documents that ordinary strings come from; random ones come from all.
 ORDINARY_DOCS = 1_000
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -128,29 +127,25 @@ def train(samples: DataFrame) -> Model | None:
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """Random strings: the values that patterns find; ordinary ones: words beside them.
 
-    Both come from samples of documents of bounded expected size, taken by id hashes.
+    Random strings are rare, so all documents give theirs; ordinary ones come from a sample
+    of documents of bounded expected size, taken by id hashes.
     """
-    n = max(docs.count(), 1)
+    share = min(1.0, ORDINARY_DOCS / max(docs.count(), 1))
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
-
-    def some(bound: int) -> DataFrame:
-        share = min(1.0, bound / n)
-        return docs.where(h < F.lit(int(share * 2**31))).select(
-            F.coalesce("text", F.lit("")).alias("text")
-        )
-
+    text = F.coalesce("text", F.lit(""))
+    all_ = docs.select("doc_id", text.alias("text"))
     text = F.col("text")
     values = F.concat(
         F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= ASSIGN_VALUE),
         F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
     )
-    random = some(RANDOM_DOCS).where(
+    random = all_.where(
         text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)
     ).select(F.explode(values).alias("sample"), F.lit(1).alias("label"))
     rest = text
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    ordinary = some(ORDINARY_DOCS).select(
+    ordinary = all_.where(h < F.lit(int(share * 2**31))).select(
         F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("sample"),
         F.lit(0).alias("label"),
     ).distinct()

@@ -147,3 +147,25 @@ def test_query_matches_plain_python(spark):
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
         assert r.spans == joined(brute_all(texts[r.doc_id], model))
     assert sum(r.n_assign for r in rows) > 0
+
+
+def test_rare_secrets_train_the_model(spark):
+    """200 documents of 60,000 hold random strings: all of them are samples, wherever they stand."""
+    rng = random.Random(12)
+    noise = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(201)]
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+    ids = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    # Late in the order of hashes, so that a sample of a third of the documents holds none.
+    late = [r.doc_id for r in ids.where(h > int(0.9 * 2**31)).orderBy("doc_id").limit(200).collect()]
+    rare = spark.createDataFrame(
+        [(i, f"token={v}") for i, v in zip(late, noise, strict=False)], "doc_id long, rare string"
+    )
+    words = F.array(*[F.lit(w) for w in ("load", "table", "compute", "average", "user", "name", "ordinary")])
+    name = F.concat_ws("_", *[F.get(words, (F.col("doc_id") / k).cast("int") % 7) for k in (1, 7, 49)])
+    docs = ids.join(rare, "doc_id", "left").select("doc_id", F.coalesce("rare", name).alias("text"))
+    samples = secrets.labelled_samples(docs)
+    assert sorted(r.sample for r in samples.where("label = 1").collect()) == sorted(noise[:200])
+    model = secrets.train(samples)
+    text = f"see {noise[200]} here"
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)
+    assert [r.s for r in found.select(secrets.listed("all_spans").alias("s")).collect()] == ["markov:4:44"]
