@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from scoremon.llm import (
     decontaminate,
     language,
+    merkle,
     mixing,
     ngram_join,
+    oracles,
     quality,
     secrets,
     sharding,
     suffix_family,
     tool_calls,
+    topk_search,
     vector_forest,
 )
 from scoremon.llm.common import table
@@ -111,3 +114,16 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
     )
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    found = F.when(merkle.tampered(), merkle.leaf_digest(text=merkle.lowered(F.col("text"))))
+    return merkle.manifest(docs, found)
+
+
+@query("op12_exact_topk", oracles.TOPK)
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
