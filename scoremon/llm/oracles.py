@@ -96,3 +96,41 @@ ranked AS (
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run
+  FROM documents),
+runs AS (
+  SELECT doc_id, {LOWERED.replace("text", "run")} AS run, count(*) AS n
+  FROM found WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_table),
+spoilt AS (
+  SELECT n, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (
+  SELECT word, n, i, substr(word, 1, i::INT) AS a, substr(word, i::INT + 2) AS b
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n
+  FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON y.word = x.a || x.b),
+best AS (
+  SELECT word, count(*) AS n_near, (list(other ORDER BY other_n DESC, other))[1] AS other, max(other_n) AS other_n
+  FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form,
+    CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS here, form AS following FROM formed
+  UNION ALL
+  SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.following)
+SELECT f.word, f.form, k.here AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk k ON k.word = f.word AND k.following IS NULL
+"""

@@ -15,6 +15,7 @@ from scoremon.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     suffix_family,
     tool_calls,
     topk_search,
@@ -127,3 +128,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op13_spelling_variants", oracles.SPELLING)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.spoilt_words(table(spark, sf_dir, "documents", "doc_id", "text")))
