@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule of token blocks.
 
-The documents of a source, shuffled by a hash, form one stream of words that is cut into
+The documents of a source, shuffled by a hash of id and text, form one stream of words that is cut into
 blocks of ``block`` words (the last may be shorter).  Slot i of the schedule looks at the
 point frac(i * golden ratio), mapped through the cumulative weights of the sources, so every
 stretch of the schedule holds every source close to its share.  Slots are ranked inside
@@ -12,17 +12,18 @@ Ranks and stream positions come from sums of bounded ranges (``common.running``)
 source may hold any share of the rows.  Only one row per source reaches the driver.
 
 Defined cases: a null text has size 0; the null source is a source, last in order; a
-document without words is never taken; repeated rows are rows of their own.
+document without words is never taken; repeated rows are rows of their own, and the words
+taken of equal rows are the same as a set, whatever the file layout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoremon.llm.common import place_in, running, store
+from scoremon.llm.common import place_in, running, store, twins
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
@@ -51,14 +52,17 @@ def targets(sizes: Sequence[int], weights: Sequence[float], epochs: int = EPOCHS
     return out
 
 
-def mix_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, source, number of words and a tie breaker of every row of ``docs``."""
+def mix_rows(docs: DataFrame, tie: Column | None = None) -> DataFrame:
+    """doc_id, source, number of words, hash of the text and a tie breaker of every row.
+
+    ``tie`` tells rows apart; the position of the row in its file by default.
+    """
     return store(docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
         .cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"),
-        F.monotonically_increasing_id().alias("tie"),
+        F.xxhash64("text").alias("text_hash"),
+        (F.monotonically_increasing_id() if tie is None else tie).alias("tie"),
     ), "mix-rows")
 
 
@@ -112,7 +116,8 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK)
         [(r[0], i, r[1], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))],
         "_source string, source_no int, source_size bigint, target double",
     )
-    placed = running(rows, "source", ["doc_id", "tie"], F.col("size"), "_from")
+    ordered = twins(rows, ["source", "doc_id", "text_hash"], "tie")
+    placed = running(ordered, "source", ["doc_id", "text_hash", "twin"], F.col("size"), "_from").drop("twin")
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     used = schedule(rows, [(i, s, t) for i, (s, t) in enumerate(zip(sizes, goal, strict=True))], block)
     used = used.groupBy("source_no", "block").agg(F.count("*").alias("_times"))
@@ -139,13 +144,12 @@ def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = B
     """Rows of ``docs`` as often as the schedule takes the block in which they begin.
 
     Rows without words stay as they are: the mix weighs words and has no view on them.
-    Rows that agree in doc_id and text share the mean of their numbers, rounded down.
     """
     names = docs.columns
-    times = mix(mix_rows(docs), weights, block).groupBy("doc_id", "crc").agg(
-        F.floor(F.avg(F.when(F.col("size") == 0, 1).otherwise(F.col("starts")))).cast("int").alias("_times")
-    ).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "_times")
-    crc = F.coalesce(F.crc32(docs["text"].cast("binary")), F.lit(-1))
-    return docs.join(
-        times.where("_times > 0"), docs["doc_id"].eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))
-    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    times = mix(mix_rows(rows, F.col("_row")), weights, block).select(
+        F.col("tie").alias("_row"), F.when(F.col("size") == 0, 1).otherwise(F.col("starts")).cast("int").alias("_times")
+    )
+    return rows.join(times.where("_times > 0"), "_row").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
+    ).select(*names)

@@ -23,10 +23,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoremon.llm.common import place_in, running, store
+from scoremon.llm.common import place_in, running, store, twins
 
 RING_BITS = 62
 
@@ -76,13 +76,17 @@ def fill(
 
 def assign(
     rows: DataFrame, shards: int, virtual: int = 64, slack: float = 0.001, key: str = "doc_id",
-    size: str = "size", tie: str = "tie",
+    size: str = "size", tie: str = "tie", content: str = "text_hash",
 ) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, gapless from 0 in each shard.
 
-    ``rows`` is read several times and has to be a stored frame; ``tie`` orders rows of one key.
+    ``rows`` is read several times and has to be a stored frame.  Rows are placed by ``key``
+    and ``content``; ``tie`` tells rows apart that agree in both, and only they change places
+    with another file layout.
     """
     spark = rows.sparkSession
+    names = rows.columns
+    rows = twins(rows, [key, content], tie)
     points, owners = ring(shards, virtual)
     at = F.shiftrightunsigned(F.xxhash64(key), 64 - RING_BITS)
     cell = rows.withColumns({
@@ -102,7 +106,7 @@ def assign(
     whole = cell.where(F.size("_pieces") == 1).withColumn("shard", F.col("_pieces")[0]["shard"])
     if any(len(p) > 1 for p in by_cell.values()):
         parts = running(
-            store(cell.where(F.size("_pieces") > 1), "split-cells"), "_cell", [key, tie],
+            store(cell.where(F.size("_pieces") > 1), "split-cells"), "_cell", [key, content, "twin"],
             F.col(size), "_byte",
         ).withColumn(
             "shard",
@@ -110,14 +114,19 @@ def assign(
         )
         whole = whole.unionByName(parts.select(*whole.columns))
     placed = store(whole.drop("_pieces", "_cell"), "shards")
-    return running(placed, "shard", [key, tie], F.lit(1).cast("long"), "slot")
+    return running(placed, "shard", [key, content, "twin"], F.lit(1).cast("long"), "slot").select(
+        *names, "shard", "slot"
+    )
+
 
+def shard_rows(docs: DataFrame, tie: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, hash of the text and a tie breaker of every row of ``docs``.
 
-def shard_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and a tie breaker of every row of ``docs``."""
+    ``tie`` tells rows apart; the position of the row in its file by default.
+    """
     text = F.coalesce("text", F.lit(""))
     return store(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("tie"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"),
+        (F.monotonically_increasing_id() if tie is None else tie).alias("tie"),
     ), "shard-rows")

@@ -153,3 +153,36 @@ def test_mix_query(spark):
         for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
     }
     check_mix(queries.op4_source_mixing(spark, SF).collect(), docs)
+
+
+@pytest.mark.parametrize("what", ["mix", "shard"])
+def test_results_do_not_depend_on_the_file_layout(spark, tmp_path, what):
+    rows = [(i, "w " * (i * 31 % 90), f"s{i % 3}", "", "") for i in range(700)]
+    rows += [(5, "same text", "s1", "", "")] * 200 + [(None, None, None, "", "")] * 9
+    found = []
+    for files in (1, 5, 40):
+        path = f"{tmp_path}/{what}{files}"
+        docs_frame(spark, rows).repartition(files, F.xxhash64("doc_id", F.lit(files), F.rand(files))).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if what == "mix":
+            out = mixing.mix(mixing.mix_rows(docs)).select("doc_id", "size", "taken")
+        else:
+            out = sharding.assign(sharding.shard_rows(docs), 5).select("doc_id", "size", "shard", "slot")
+        found.append(sorted(map(str, out.collect())))
+    assert len(found[0]) == 909 and found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("bucket", [20_000, 30])
+def test_many_equal_rows_are_spread_over_ranges(spark, monkeypatch, bucket):
+    monkeypatch.setattr(common, "BUCKET_ROWS", bucket)
+    rows = common.store(spark.createDataFrame([(i, i % 3, i % 40 if i % 3 else 7) for i in range(900)], "tie long, a int, b int"), "t")
+    got = defaultdict(list)
+    for r in common.twins(rows, ["a", "b"], "tie").collect():
+        got[r.a, r.b].append(r.twin)
+    assert all(sorted(x) == list(range(len(x))) for x in got.values()) and len(got[0, 7]) == 300
+
+
+def test_copies_of_equal_rows_add_up(spark):
+    rows = [(5, "one two three", "s", "", "")] * 50 + [(i, "x " * 40, "t", "", "") for i in range(100, 160)]
+    starts = sum(r.starts for r in mixing.mix(mixing.mix_rows(docs_frame(spark, rows))).collect() if r.doc_id == 5)
+    assert sum(r.doc_id == 5 for r in mixing.repeated(docs_frame(spark, rows)).collect()) == starts
