@@ -11,13 +11,17 @@ texts.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter; letters of
 scripts that no language uses leave the choice to the other words, or to the most frequent
-language of the sample; without any training text all predictions are ``und``.
+language of the sample with score 0 where there are none; without any training text all
+predictions are ``und``.  Letters and marks are those of Unicode, so digits, also of other
+scripts and mathematical ones, are none.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from scoremon.llm.quality import held_out
 #: Bound of the sample per language.
 SAMPLE = 1_000
 TABLE_BITS = 17
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 SWITCH = 12.0
 FLOOR = -30.0
 UNKNOWN = "und"
@@ -64,6 +68,17 @@ BLOCKS = [
 BLOCK_FIRST = np.array([b for b, _ in BLOCKS])
 BLOCK_SCRIPT = np.array([s for _, s in BLOCKS])
 SCRIPTS = int(BLOCK_SCRIPT.max()) + 1
+OTHER = SCRIPTS - 1
+
+LETTER, MARK = 1, 2
+
+
+@cache
+def kinds() -> np.ndarray:
+    """LETTER or MARK for every code point of these Unicode categories, else 0."""
+    categories = (unicodedata.category(chr(c))[0] for c in range(0x110000))
+    return np.fromiter((LETTER if k == "L" else MARK if k == "M" else 0 for k in categories), np.uint8, 0x110000)
+
 
 NOT_LETTER = np.zeros(256, bool)
 NOT_LETTER[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -81,7 +96,8 @@ def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of a run of texts: document, byte range, script, and trigram code per byte."""
+    """Words of a run of texts: document, byte range, script (0 without a letter), and trigram
+    code per byte."""
 
     doc: np.ndarray
     starts: np.ndarray
@@ -91,13 +107,17 @@ class Words:
 
 
 def split(column: pa.Array) -> Words:
-    """Runs of letters; signs beyond ASCII end a word like those of ASCII."""
+    """Runs of letters and the marks on them; digits and signs of all scripts end a word."""
     data, offsets = kernel.raw(column)
     low = kernel.LOWER[data]
     # A byte that is no letter: ASCII signs and whole characters of blocks without letters.
     sign = NOT_LETTER[low]
     wide = np.flatnonzero(low >= 0xC0)
-    script = BLOCK_SCRIPT[np.searchsorted(BLOCK_FIRST, _code_points(data, wide), side="right") - 1]
+    points = _code_points(data, wide)
+    kind = kinds()[points]
+    script = BLOCK_SCRIPT[np.searchsorted(BLOCK_FIRST, points, side="right") - 1]
+    # Letters outside the blocks still are letters, of no script that a language has.
+    script = np.where(kind == 0, 0, np.where((script == 0) & (kind == LETTER), OTHER, script))
     for at in (wide[script == 0] + j for j in range(4)):
         at = at[at < len(low)]
         sign[at[(low[at] >= 0xC0) | (low[at] < 0x80)]] |= True
@@ -110,6 +130,11 @@ def split(column: pa.Array) -> Words:
     clean = np.where(sign, np.uint8(0x20), low)
     doc, starts, ends = kernel.words(clean, offsets, kernel.SPACE)
     first = BLOCK_SCRIPT[np.searchsorted(BLOCK_FIRST, _code_points(clean, starts), side="right") - 1]
+    first = np.where(first == 0, OTHER, first)
+    letters = ~NOT_LETTER[low] & (low < 0x80)
+    letters[wide] = kind == LETTER
+    until = np.concatenate([[0], np.cumsum(letters)])
+    first = np.where(until[ends] > until[starts], first, 0)
     padded = np.concatenate([[0x20], clean, [0x20]]).astype(np.uint32)
     heads = offsets[:-1][offsets[:-1] < len(clean)]
     codes = (padded[:-2] << np.uint32(16)) | (padded[1:-1] << np.uint32(8)) | padded[2:]
@@ -186,17 +211,16 @@ class Model:
         w = Words(w.doc[real], w.starts[real], w.ends[real], w.script[real], w.codes)
         label = self.paths(w, docs)
         size = (w.ends - w.starts).astype(float)
+        # Words of scripts that no language uses have no vote, but count in the whole.
+        vote = np.where(self.uses.any(axis=0)[w.script], size, 0.0)
         cover = np.bincount(
-            w.doc * len(self.names) + label, size, minlength=docs * len(self.names)
+            w.doc * len(self.names) + label, vote, minlength=docs * len(self.names)
         ).reshape(docs, -1)
-        total = cover.sum(axis=1)
-        best = cover.argmax(axis=1)
+        total = np.bincount(w.doc, size, minlength=docs)
+        best = np.where(cover.any(axis=1), cover.argmax(axis=1), self.prior)
         for i in np.flatnonzero(total > 0):
             names[i] = self.names[best[i]]
         share = np.divide(cover.max(axis=1), total, out=share, where=total > 0)
-        for i in np.flatnonzero(total == 0):
-            if any(c.isalpha() for c in column[i].as_py() or ""):
-                names[i] = self.names[self.prior]
         if spans and len(label):
             new = np.ones(len(label), bool)
             new[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
@@ -244,7 +268,7 @@ def sample(docs: DataFrame, bound: int) -> DataFrame:
     counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
     # Thinned to the expected number first, so the window below sees a bounded table.
-    thin = known.join(F.broadcast(counts), "lang").where(
+    thin = known.join(counts, "lang").where(
         h * F.col("_n") < F.lit(1.2 * bound * 2**31)
     )
     over = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")

@@ -151,3 +151,32 @@ def test_language_odd_inputs(spark):
     assert got[1].lang_pred == "und" and got[2].lang_pred == got[3].lang_pred == "en"
     none = language.train(docs.where("false"))
     assert {r.lang_pred for r in language.labelled(docs, none).collect()} == {"und"}
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(5_000)] + [(i, "good words") for i in range(2, 60)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = quality.sample(docs, labels, "quality", 300)
+    assert rows.count() == 300
+    assert all(0 <= r.score <= 1 for r in quality.scored(docs, quality.train(docs, labels, bound=300)).collect())
+
+
+@pytest.mark.parametrize("text", ["٠١٢٣ ٤٥", "०१२३", "๐๑๒", "০১", "𝟎𝟏 𝟐", "́̂", "ः", "12 !?", "€ — …", "", None])
+def test_texts_without_a_letter_have_no_language(text):
+    names, share, _ = language.fit(["some english words"] * 3 + ["ein deutscher satz"] * 2, ["en"] * 3 + ["de"] * 2).predict(
+        pa.array([text], pa.string())
+    )
+    assert names == ["und"] and share[0] == 0
+
+
+@pytest.mark.parametrize("text", ["这是中文文本", "Это русский текст", "ℵ", "𝐀𝐁"])
+def test_letters_of_unknown_scripts_go_to_the_prior(text):
+    model = language.fit(["some english words"] * 3 + ["ein deutscher satz"] * 2, ["en"] * 3 + ["de"] * 2)
+    names, share, _ = model.predict(pa.array([text, f"{text} das ist ein deutscher satz"], pa.string()))
+    assert names[0] == "en" and share[0] == 0 and names[1] == "de" and 0 < share[1] < 1
+
+
+def test_marks_stay_with_their_letters():
+    words = language.split(pa.array(["हिन्दी में été 1२3"]))
+    assert len(words.doc) == 3 and (words.script > 0).all()
