@@ -296,6 +296,109 @@ def discrimination_table(spark, sf_dir):
     return out.select("variable", *r6(*[f"p{p}" for p in PERIODS]))
 
 
+# The amount view: every application counts as much as its amount.
+
+
+def gini_amount_sql(source: str, targets, select: str) -> str:
+    """As ``gini_sql``, over rows that also have ``w``; pairs of rows are compared one by one per score."""
+    sums = ", ".join(f"sum(t{k}*w) AS b{k}, sum(w) - sum(t{k}*w) AS g{k}" for k in targets)
+    out = ", ".join(
+        f"""2*(SELECT sum(CAST(x.b{k} AS DOUBLE)*(CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN 0.5 ELSE 0 END)*CAST(y.g{k} AS DOUBLE))
+   FROM byscore x JOIN byscore y ON x.variable = y.variable AND x.window_end = y.window_end
+   WHERE x.variable = t.variable AND x.window_end = t.window_end)
+  /nullif(CAST(sum(b{k}) AS DOUBLE)*CAST(sum(g{k}) AS DOUBLE), 0) - 1 AS gini{k}"""
+        for k in targets
+    )
+    run = ", ".join(f"sum(CAST(b{k} AS DOUBLE)) OVER w AS cb{k}, sum(CAST(g{k} AS DOUBLE)) OVER w AS cg{k}" for k in targets)
+    ks = ", ".join(
+        f"max(abs(cb{k}/nullif(tb{k}, 0) - cg{k}/nullif(tg{k}, 0))) AS ks{k}" for k in targets
+    )
+    tot = ", ".join(f"sum(CAST(b{k} AS DOUBLE)) OVER a AS tb{k}, sum(CAST(g{k} AS DOUBLE)) OVER a AS tg{k}" for k in targets)
+    return f"""
+, rows_ AS ({source}),
+byscore AS (SELECT variable, window_end, score, {sums}, count(*) AS n, sum(w) AS w FROM rows_ WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+ginis AS (SELECT variable, window_end, CAST(sum(n) AS BIGINT) AS n, CAST(sum(w) AS DOUBLE) AS amount, {out} FROM byscore t GROUP BY 1, 2),
+run AS (SELECT *, {run}, {tot} FROM byscore
+ WINDOW w AS (PARTITION BY variable, window_end ORDER BY score), a AS (PARTITION BY variable, window_end)),
+kss AS (SELECT variable, window_end, {ks} FROM run GROUP BY 1, 2),
+res AS (SELECT * FROM ginis JOIN kss USING (variable, window_end))
+{select}"""
+
+
+def _with_amount(source: str) -> str:
+    """A source of scored rows that also gives the amount as weight."""
+    return source.replace(" AS score,", " AS score, CAST(amount AS DECIMAL(18,2)) AS w,")
+
+
+@query(
+    "gini_amount_month",
+    scored(
+        gini_amount_sql(
+            _with_amount(
+                f"SELECT 'pd' AS variable, codmes AS window_end, pd AS score, {_target_columns(ALL_TARGETS)} "
+                f"FROM scored WHERE {UNIVERSE}"
+            ),
+            ALL_TARGETS,
+            f"SELECT window_end AS codmes, n, round(amount, 2) AS amount, {_seen(ALL_TARGETS)} FROM res r",
+        )
+    ),
+)
+def gini_amount_month(spark, sf_dir):
+    out = ds.evol_gini(scored_base(spark, sf_dir), CFG, "pd", ALL_TARGETS, view="m")
+    names = [f"{s}{k}" for k in ALL_TARGETS for s in ("gini", "ks")]
+    return out.select("codmes", "n", F.round("amount", 2).alias("amount"), *r6(*names))
+
+
+AMOUNT_SOURCE = " UNION ALL ".join(
+    [_with_amount(_moving_source(c, c, (24,), 3, 199801, 199808)) for c in ("pd", "income")]
+    + [
+        f"""SELECT '{c}' AS variable, e.codmes AS window_end, rate AS score, w, t24
+ FROM (SELECT DISTINCT codmes, month_idx FROM scored WHERE codmes BETWEEN 199801 AND 199808) e
+ JOIN (SELECT month_idx, t24, w, CAST(sum(t24*w) OVER (PARTITION BY {c}) AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY {c}) AS DOUBLE) AS rate
+  FROM (SELECT *, CAST(amount AS DECIMAL(18,2)) AS w, {_target_columns((24,))} FROM scored
+   WHERE {UNIVERSE} AND codmes BETWEEN 199711 AND 199808)) s
+ ON s.month_idx BETWEEN e.month_idx - 2 AND e.month_idx"""
+        for c in CATEGORICAL
+    ]
+)
+
+
+@query(
+    "multi_driver_gini_amount",
+    scored(
+        gini_amount_sql(
+            AMOUNT_SOURCE, (24,),
+            "SELECT variable, window_end AS codmes, n, round(gini24, 6) AS gini24, round(ks24, 6) AS ks24 FROM res",
+        )
+    ),
+)
+def multi_driver_gini_amount(spark, sf_dir):
+    out = ds.multi_driver_gini(
+        stored_base(spark, sf_dir), CFG, ("pd", "income"), CATEGORICAL, (24,), start=199801, end=199808,
+        months=3, moving=True, view="m",
+    )
+    return out.select("variable", "codmes", "n", *r6("gini24", "ks24"))
+
+
+@query(
+    "discrimination_table_amount",
+    scored(
+        gini_amount_sql(
+            " UNION ALL ".join(_with_amount(_block_source(c, c, (24,), 3, 23976, 23986)) for c in ("pd", "income")),
+            (24,),
+            "SELECT variable, "
+            + ", ".join(f"round(max(CASE WHEN window_end = {p} THEN ks24 END), 6) AS p{p}" for p in PERIODS)
+            + " FROM res GROUP BY variable",
+        )
+    ),
+)
+def discrimination_table_amount(spark, sf_dir):
+    out = ds.discrimination_table(
+        scored_base(spark, sf_dir), CFG, ("pd", "income"), 199801, 199811, 3, measure="ks", view="m"
+    )
+    return out.select("variable", *r6(*[f"p{p}" for p in PERIODS]))
+
+
 # -- reporting cube ----------------------------------------------------------
 
 AXES = {

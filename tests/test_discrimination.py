@@ -120,3 +120,86 @@ def test_no_task_sees_a_whole_hot_month(spark):
     assert sizes.count() == 16 and sizes.agg(F.max("count")).first()[0] < 1.5 * 20_000 / 16
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == 1 and "rangepartitioning" not in plan
+
+
+def brute_amount(rows):
+    """Gini and KS of (score, bad, amount) by definition, in exact numbers."""
+    from fractions import Fraction
+
+    bad = [(s, Fraction(str(a or 0))) for s, b, a in rows if b]
+    good = [(s, Fraction(str(a or 0))) for s, b, a in rows if not b]
+    b_all, g_all = sum(a for _, a in bad), sum(a for _, a in good)
+    if not b_all or not g_all:
+        return None, None
+    won = sum(x * y * (Fraction(1) if b > g else Fraction(1, 2) if b == g else 0) for b, x in bad for g, y in good)
+    ks = max(abs(sum(x for b, x in bad if b <= t) / b_all - sum(y for g, y in good if g <= t) / g_all) for t, _, _ in rows)
+    return float(2 * won / (b_all * g_all) - 1), float(ks)
+
+
+@pytest.mark.parametrize("ranges", [None, 8, 4096])
+@pytest.mark.parametrize("levels", [3, 5000])
+def test_amount_view_against_brute_force(spark, levels, ranges, monkeypatch):
+    cut = ds.score_ranges
+    monkeypatch.setattr(ds, "score_ranges", lambda counts, by=(), n=None: cut(counts, by, ranges))
+    r = random.Random(levels)
+    rows = []
+    for i in range(500):
+        s = r.randrange(levels) / levels
+        m = 202001 if i % 3 == 0 else 202002 + r.randrange(2)
+        amount = None if i % 50 == 7 else round(r.random() * 1e6, 2)
+        rows.append((m, s, 5 if r.random() < 0.2 + 0.5 * s else None, amount))
+    df = spark.createDataFrame(rows, "codmes INT, score DOUBLE, dist_def INT, amount DOUBLE")
+    got = {x.codmes: x for x in ds.evol_gini(df, CFG, "score", (24,), view="m").collect()}
+    for m in {x[0] for x in rows}:
+        mine = [(s, d is not None, a) for mm, s, d, a in rows if mm == m]
+        gini, ks = brute_amount(mine)
+        assert got[m].gini24 == pytest.approx(gini, abs=1e-12) and got[m].ks24 == pytest.approx(ks, abs=1e-12)
+        assert got[m].n == len(mine) and got[m].amount == pytest.approx(sum(a or 0 for _, _, a in mine))
+
+
+def test_equal_amounts_give_the_view_by_applications(spark):
+    r = random.Random(3)
+    rows = [(202001 + i % 4, r.randrange(30) / 30, 4 if r.random() < 0.3 else None, 250.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "codmes INT, score DOUBLE, dist_def INT, amount DOUBLE")
+    for windows in ({}, {"start": 202002, "end": 202004, "months": 2, "moving": True}):
+        by = {v: {x.codmes: x for x in ds.evol_gini(df, CFG, "score", (24,), view=v, **windows).collect()} for v in "nm"}
+        assert by["n"].keys() == by["m"].keys()
+        for m, x in by["n"].items():
+            assert by["m"][m].gini24 == pytest.approx(x.gini24) and by["m"][m].ks24 == pytest.approx(x.ks24)
+
+
+def test_amounts_that_doubles_would_round(spark):
+    # One giant and many cents: a double sum loses them, a decimal one does not.
+    rows = [(202001, 0.5, None, 9e13)] + [(202001, 0.1 + 0.001 * i, 3, 0.01) for i in range(300)] + [(202001, 0.9, None, 0.01)]
+    df = spark.createDataFrame(rows, "codmes INT, score DOUBLE, dist_def INT, amount DOUBLE")
+    got = ds.evol_gini(df.repartition(7), CFG, "score", (24,), view="m").first()
+    gini, ks = brute_amount([(s, d is not None, a) for _, s, d, a in rows])
+    assert got.gini24 == pytest.approx(gini, abs=1e-12) and got.ks24 == pytest.approx(ks, abs=1e-12)
+
+
+def test_months_without_money_or_without_defaults_have_no_amount_view(spark):
+    rows = [(202001, 0.1, 1, 0.0), (202001, 0.2, None, 5.0), (202002, 0.3, None, 5.0), (202003, 0.1, 1, None), (202003, 0.1, None, None)]
+    df = spark.createDataFrame(rows, "codmes INT, score DOUBLE, dist_def INT, amount DOUBLE")
+    got = ds.evol_gini(df, CFG, "score", (24,), view="m").collect()
+    assert len(got) == 3 and all(x.gini24 is None and x.ks24 is None for x in got)
+
+
+def test_categorical_driver_by_amount(spark):
+    rows = [(202001, "b", 1, 10.0), (202001, "b", None, 90.0), (202001, "a", 1, 60.0), (202001, "a", None, 40.0), (202001, None, 1, 5.0)]
+    df = spark.createDataFrame(rows, "codmes INT, label STRING, dist_def INT, amount DOUBLE")
+    got = ds.multi_driver_gini(df, CFG, [], ["label"], (24,), view="m").first()
+    gini, ks = brute_amount([({"b": 0.1, "a": 0.6}[x], d is not None, a) for _, x, d, a in rows if x])
+    assert got.gini24 == pytest.approx(gini) and got.ks24 == pytest.approx(ks)
+    table = ds.discrimination_table(df, CFG, [], 202001, 202001, 1, categorical=["label"], view="m")
+    assert table.first().p202001 == pytest.approx(gini)
+
+
+def test_ranges_grow_with_the_scores(spark):
+    counts = spark.range(0, 40_000, 1, 4).select(F.lit("v").alias("variable"), (F.col("id") / 7).alias("score"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "4k")
+    try:
+        many = ds.score_ranges(counts, ["variable"]).select("part").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    few = ds.score_ranges(counts.limit(100), ["variable"]).select("part").distinct().count()
+    assert few == 1 < many
