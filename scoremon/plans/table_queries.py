@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scoremon.config import where
@@ -13,9 +15,11 @@ from scoremon.plans.registry import query
 from scoremon.plans.setup import ALL_ROWS, DRIVERS_SQL, with_drivers
 from scoremon.sources import tables as tb
 from scoremon.sources import views as v
+from scoremon.sources.extracts import read_inferred
 
 # -- snapshots and sinks -----------------------------------------------------
 
+EXTRACT_COLUMNS = ("app_id", "codmes", "client_id", "xb_alt", "debt_raw")
 EXTRACT_SCHEMA = "app_id BIGINT, codmes INT, client_id BIGINT, xb_alt DOUBLE, debt_raw DOUBLE"
 
 
@@ -44,6 +48,102 @@ def csv_roundtrip(spark, sf_dir):
     return back.select("app_id", "codmes", "client_id", F.round("xb_alt", 6).alias("xb_alt"), "debt_raw")
 
 
+# An extract as it comes: text, some values that are no numbers, some lines cut short.
+ODD_VALUE, CUT_LINE = 97, 101
+RAW_SQL = f"""raw AS (SELECT *, app_id % {CUT_LINE} = 0 AS cut, app_id % {ODD_VALUE} = 0 AND debt_raw IS NOT NULL AS odd FROM app_ext)"""
+
+
+def _inferred(spark, sf_dir):
+    path = tb.work_dir(spark, "raw-extract")
+    rows = v.app_ext(spark, sf_dir)
+    names = EXTRACT_COLUMNS
+    fields = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names}
+    fields["debt_raw"] = F.when(
+        (F.col("app_id") % ODD_VALUE == 0) & F.col("debt_raw").isNotNull(), "n/a"
+    ).otherwise(fields["debt_raw"])
+    cut = F.col("app_id") % CUT_LINE == 0
+    line = F.when(cut, F.concat_ws(";", *[fields[c] for c in names[:3]])).otherwise(
+        F.concat_ws(";", *fields.values())
+    )
+    # One column that is the whole line, so lines may have any number of fields.
+    rows.select(line.alias(";".join(names))).write.option("header", True).option("sep", "\u0001").option(
+        "quote", "\u0000"
+    ).csv(path)
+    return read_inferred(spark, path, tolerance=0.05)
+
+
+@query(
+    "csv_inferred",
+    sql.base(
+        "SELECT app_id, codmes, client_id, round(xb_alt, 6) AS xb_alt, debt_raw FROM raw WHERE NOT cut AND NOT odd",
+        sql.APP_EXT, RAW_SQL,
+    ),
+)
+def csv_inferred(spark, sf_dir):
+    """Rows of an extract under the types found in it."""
+    rows = _inferred(spark, sf_dir).rows
+    return rows.select("app_id", "codmes", "client_id", F.round("xb_alt", 6).alias("xb_alt"), "debt_raw")
+
+
+@query(
+    "csv_types",
+    sql.base(
+        """
+, whole AS (SELECT * FROM raw WHERE NOT cut)
+SELECT 'app_id' AS "column", 'int' AS type, count(app_id) AS filled, CAST(0 AS BIGINT) AS misfits FROM whole
+UNION ALL SELECT 'codmes', 'int', count(codmes), 0 FROM whole
+UNION ALL SELECT 'client_id', 'int', count(client_id), 0 FROM whole
+UNION ALL SELECT 'xb_alt', 'double', count(xb_alt), 0 FROM whole
+UNION ALL SELECT 'debt_raw', 'double', count(debt_raw), count(*) FILTER (WHERE odd) FROM whole
+""",
+        sql.APP_EXT, RAW_SQL,
+    ),
+)
+def csv_types(spark, sf_dir):
+    """The types of an extract, with the values that do not fit them."""
+    return _inferred(spark, sf_dir).types
+
+
+@query(
+    "csv_quarantine",
+    sql.base(
+        """
+SELECT CAST(app_id AS VARCHAR) AS app_id, CASE WHEN cut THEN 'fields' ELSE 'debt_raw' END AS reasons,
+ CASE WHEN cut THEN app_id || ';' || codmes || ';' || client_id END AS line
+FROM raw WHERE cut OR odd
+""",
+        sql.APP_EXT, RAW_SQL,
+    ),
+)
+def csv_quarantine(spark, sf_dir):
+    """The rows of an extract that do not fit, with the reason."""
+    bad = _inferred(spark, sf_dir).quarantine
+    return bad.select("row.app_id", F.array_join("reasons", ",").alias("reasons"), "line")
+
+
+@query(
+    "replace_from_itself",
+    sql.base(
+        "SELECT job_type, CAST(3*count(*) AS BIGINT) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)*3 AS amount "
+        "FROM app_base GROUP BY job_type"
+    ),
+)
+def replace_from_itself(spark, sf_dir):
+    """A folder and a catalog table, each replaced by rows computed from its own old version."""
+    rows = v.app_base(spark, sf_dir).groupBy("job_type").agg(
+        F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount")
+    )
+    path, table = tb.work_dir(spark, "replaced"), f"replaced_{uuid.uuid4().hex}"
+    tb.write_folder(rows, path)
+    old = tb.read_folder(spark, path)
+    tb.write_folder(old.withColumns({"n": F.col("n") * 3, "amount": F.col("amount") * 3}), path)
+    tb.save_table(tb.read_folder(spark, path).withColumn("n", F.lit(0).cast("long")), table, f"{path}-table")
+    # The table keeps the amounts and takes the counts from the folder.
+    now = tb.read_folder(spark, path).select("job_type", "n")
+    tb.save_table(spark.table(table).drop("n").join(now, "job_type").select("job_type", "n", "amount"), table, f"{path}-table")
+    return spark.table(table)
+
+
 # -- joins -------------------------------------------------------------------
 
 
