@@ -28,7 +28,8 @@ class MonitorConfig:
     is derived; with ``target_prefix`` the stored 0/1 columns
     ``<prefix><k>`` are read instead.  ``early`` names a stored 0/1 flag of
     early delinquency, otherwise "defaulted within ``early_target`` months"
-    stands for it.
+    stands for it.  ``early_usable`` maps months after its newest closed cohort to the horizon
+    it is projected from; by default the defaults until then, where ``distance`` tells them.
     """
 
     closed_month: int
@@ -42,6 +43,7 @@ class MonitorConfig:
     early: str = ""
     target: int = 24
     early_target: int = 3
+    early_usable: dict[int, int] | None = None
     history: int = 14
     open_months: int = 6
     percentile: float = 0.75

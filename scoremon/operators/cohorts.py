@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoremon.config import MonitorConfig
 from scoremon.functions.buckets import flag
+from scoremon.operators import settings as by_settings
 from scoremon.operators.calibration import cohort_sums
 from scoremon.operators.projection import adjusted, with_projection
 
@@ -91,6 +92,32 @@ def factor_table(
     )
 
 
+def factor_table_by_settings(
+    df: DataFrame,
+    cfg: MonitorConfig,
+    ids: Mapping[str, int],
+    run_month: int,
+    settings: DataFrame,
+    target: str = "def",
+    use: str = "",
+    overrides: DataFrame | None = None,
+) -> DataFrame:
+    """Factor table of one target (``def`` or ``early``) with settings per segment id and view.
+
+    Segments are named by ``seg_proy`` in ``settings`` and ``overrides``.  Only open cohorts
+    have rows; the base is scanned once for both views.
+    """
+    base = cfg.select_universe(df, use).withColumn("seg_proy", segment_id(cfg.segment, ids))
+    sums = cohort_sums(
+        base.filter("seg_proy IS NOT NULL"), cfg.with_(pds=()), by_settings.horizons(cfg), ("seg_proy",), early=True
+    )
+    projected = by_settings.project(sums, cfg, settings, ("seg_proy",), overrides)
+    both = by_settings.side_by_side(projected, cfg, target, ("seg_proy",))
+    return _fill(
+        both.withColumn("month_def", F.lit(run_month)), cfg.month, "rd_proj_m", "factor_m", "rd_proj_n", "factor_n"
+    )
+
+
 def merge_factor_views(
     accounts: DataFrame, amounts: DataFrame, run_month: int, keys: Sequence[str] = ("seg_proy",),
     month: str = "codmes",
