@@ -198,15 +198,36 @@ def drop_missing(df: DataFrame, bucket: str = "bucket") -> DataFrame:
 
 def driver_cells(
     df: DataFrame, cfg: MonitorConfig, drivers: Sequence[str], horizons: Sequence[int],
-    keep_missing: bool = True,
+    keep_missing: bool = True, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sums per (driver, bucket, month): all drivers in one pass."""
+    """Sums per (driver, bucket, month): all drivers in one pass.
+
+    ``by`` cuts the cells further, by segment where segments have factors of their own.
+    """
     long = unpivot_drivers(
-        df, drivers, [cfg.month, cfg.amount, *cfg.target_inputs(horizons), *cfg.pds]
+        df, drivers, [*by, cfg.month, cfg.amount, *cfg.target_inputs(horizons), *cfg.pds]
     )
     if not keep_missing:
         long = drop_missing(long)
-    return cohort_sums(long, cfg, horizons, by=("variable", "bucket"))
+    return cohort_sums(long, cfg, horizons, by=(*by, "variable", "bucket"))
+
+
+def factor_keys(factors: DataFrame, cfg: MonitorConfig) -> list[str]:
+    """Columns that factors are kept by: the month, and the segment if they have it."""
+    return [c for c in (cfg.segment, cfg.month) if c in factors.columns]
+
+
+def with_factors(cells: DataFrame, factors: DataFrame, cfg: MonitorConfig) -> DataFrame:
+    """Cells with ``month_factor``: that of their month, or of their segment and month.
+
+    Factors are unique by these keys; of several rows the largest counts.  Cells without a
+    factor, those of a null segment too, keep null and take no part in projected rates.
+    """
+    keys = factor_keys(factors, cfg)
+    if cfg.segment in keys and cfg.segment not in cells.columns:
+        raise ValueError(f"factors by {cfg.segment} need cells by {cfg.segment}")
+    single = factors.groupBy(*keys).agg(F.max("factor").alias("month_factor"))
+    return cells.join(single, keys, "left")
 
 
 def multi_driver_calibration(
@@ -222,12 +243,15 @@ def multi_driver_calibration(
 ) -> DataFrame:
     """Calibration per bucket of every driver.
 
-    ``factors`` is the monthly projection (``codmes``, ``factor``); of
-    several rows of a month the largest factor counts.  It is applied to month
-    sums, not to single applications.  Buckets below ``min_share`` of their driver are left out.
+    ``factors`` is the projection by month (``codmes``, ``factor``) or by segment and month
+    (with the segment column too).  It is applied to month sums, not to single applications.
+    With segment factors the projected defaults of a bucket are those of its segments, each
+    with its own factor, over the size of the segments that have one: a portfolio report from
+    segment projections.  Buckets below ``min_share`` of their driver are left out.
     """
+    by = [c for c in factor_keys(factors, cfg) if c == cfg.segment]
     cells = driver_cells(
-        cfg.select_universe(df, use), cfg, drivers, report_horizons(cfg, [aux]), keep_missing
+        cfg.select_universe(df, use), cfg, drivers, report_horizons(cfg, [aux]), keep_missing, by
     )
     return drivers_from_cells(cells, cfg, factors, view, aux, min_share)
 
@@ -240,11 +264,10 @@ def drivers_from_cells(
     aux: int = 12,
     min_share: float = 0.0,
 ) -> DataFrame:
-    """Calibration per bucket from stored driver cells."""
+    """Calibration per bucket from stored driver cells, by segment for segment factors."""
     w = weight_of(view)
     k = cfg.target
-    per_month = factors.groupBy(cfg.month).agg(F.max("factor").alias("month_factor"))
-    joined = cells.join(per_month, cfg.month, "left")
+    joined = with_factors(cells, factors, cfg)
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
     usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")
@@ -328,12 +351,14 @@ def evol_calibration_driver(
 ) -> DataFrame:
     """Calibration over time for each bucket of one driver.
 
-    Open cohorts use the portfolio factor of their month.  With ``months`` > 1
+    Open cohorts use the factor of their month, or of their segment and month where
+    ``factors`` has the segment.  With ``months`` > 1
     cohorts are pooled: into consecutive blocks that end at ``block_end``, or
     with ``moving`` into one window per month, up to the run month.
     """
+    by = [c for c in factor_keys(factors, cfg) if c == cfg.segment]
     cells = driver_cells(
-        cfg.select_universe(df, use), cfg, [driver], report_horizons(cfg, aux), keep_missing
+        cfg.select_universe(df, use), cfg, [driver], report_horizons(cfg, aux), keep_missing, by
     )
     out = evol_drivers_from_cells(cells, cfg, factors, view, aux, months, moving)
     return out.drop("variable").withColumnRenamed("bucket", driver)
@@ -348,11 +373,10 @@ def evol_drivers_from_cells(
     months: int = 1,
     moving: bool = False,
 ) -> DataFrame:
-    """Calibration over time per bucket of every driver, from stored cells."""
+    """Calibration over time per bucket of every driver, from stored cells (see above)."""
     w = weight_of(view)
     k = cfg.target
-    per_month = factors.groupBy(cfg.month).agg(F.max("factor").alias("month_factor"))
-    joined = cells.join(per_month, cfg.month, "left")
+    joined = with_factors(cells, factors, cfg)
     ahead = F.col("month_idx") - F.lit(cfg.closed_index)
     usable = _usable_sum(cfg, w, ahead)
     weight = F.col(w).cast("double")

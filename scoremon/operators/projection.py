@@ -114,12 +114,15 @@ def override_projection(
 def smooth_projection(
     projected: DataFrame, months: int = 1, by: Sequence[str] = (), suffix: str = ""
 ) -> DataFrame:
-    """Centred moving average of the projected rate; 1 leaves it as it is."""
+    """Centred moving average of the projected rate over calendar months; 1 leaves it as it is.
+
+    A month that is missing is no neighbour, and none farther away takes its place.
+    """
     if months == 1:
         return projected
     before, after = months // 2, (months - 1) // 2
     keys = by or (F.lit(0),)
-    frame = Window.partitionBy(*keys).orderBy("month_idx").rowsBetween(-before, after)
+    frame = Window.partitionBy(*keys).orderBy("month_idx").rangeBetween(-before, after)
     rate = f"rd_proj{suffix}"
     # Months without a projection stay without one.
     return projected.withColumn(rate, F.when(F.col(rate).isNotNull(), F.avg(rate).over(frame)))

@@ -6,6 +6,7 @@ from scoremon.operators import bands
 from scoremon.operators import calibration as cal
 from scoremon.operators import cohorts
 from scoremon.operators import projection as pj
+from scoremon.operators import settings as st
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
 from scoremon.plans.setup import ALL_ROWS, CFG, DRIVERS_SQL, RUN_MONTH, SEGMENT_IDS, r6, with_drivers
@@ -13,7 +14,7 @@ from scoremon.sources.tables import store
 from scoremon.sources.views import scored_base, stored_base
 
 UNIVERSE = "def_at_origin = 0 AND xb IS NOT NULL"
-HORIZONS = (3, 12, 16, 17, 18, 19, 20, 21, 22, 23, 24)
+HORIZONS = (1, 2, 3, 12, 16, 17, 18, 19, 20, 21, 22, 23, 24)
 # Newest closed cohort 199908 has month index 23995.
 CLOSED = 23995
 # Open cohort (months after the closed one) -> usable horizon.
@@ -232,6 +233,24 @@ def projection_smooth(spark, sf_dir):
     return pj.smooth_projection(rows, 3, by=("segment",)).select("segment", "codmes", *r6("rd_proj"))
 
 
+@query(
+    "projection_smooth_gaps",
+    scored(
+        """
+, o AS (SELECT * """ + open_only("proj") + """ AND codmes <> 199911 AND NOT (segment = '3. Rest' AND codmes = 200001))
+SELECT segment, codmes, round((SELECT avg(b.rd_proj) FROM o b
+ WHERE b.segment = a.segment AND b.month_idx BETWEEN a.month_idx - 1 AND a.month_idx + 1), 6) AS rd_proj FROM o a
+""",
+        SEG_SUMS, projection_sql("proj", "seg_sums", "n", by="segment"),
+    ),
+)
+def projection_smooth_gaps(spark, sf_dir):
+    """Smoothing where months are missing: only neighbours by the calendar count."""
+    rows = pj.open_cohorts(projected(scored_base(spark, sf_dir), by=("segment",)), CFG)
+    rows = rows.filter("codmes <> 199911 AND NOT (segment = '3. Rest' AND codmes = 200001)")
+    return pj.smooth_projection(rows, 3, by=("segment",)).select("segment", "codmes", *r6("rd_proj"))
+
+
 @query(
     "portfolio_projection",
     scored(
@@ -245,6 +264,113 @@ def portfolio_projection(spark, sf_dir):
     return pj.portfolio_projection(rows, "m").select("codmes", "segments", *r6("rd_proj"))
 
 
+# -- settings per segment, view and target -----------------------------------
+
+# Newest closed cohort of the early target, 21 months after that of the default.
+EARLY_CLOSED = CLOSED + 21
+SETTINGS = [
+    (None, "n", "def", "met1", 14, 1), (None, "m", "def", "met2", 10, 3), (None, "n", "early", "met3", 12, 1),
+    (None, "m", "early", "met1", 8, 2), ("1. Affluent", "n", "def", "met3", 6, 1), ("3. Rest", "m", "early", "met2", 20, 1),
+]
+
+
+def _settings_sql(sums: str, rows, by: str) -> str:
+    """One row of settings at a time: history, factor by its method, smoothed projection."""
+    parts = []
+    for segment, view, target, method, depth, width in rows:
+        closed, goal, open_ = (
+            (CLOSED, 24, OPEN) if target == "def" else (EARLY_CLOSED, 3, ((1, 2), (2, 1)))
+        )
+        own = [r[0] for r in rows if r[0] is not None and r[1:3] == (view, target)]
+        which = "TRUE"
+        if by and segment is not None:
+            which = f"{by} = '{segment}'"
+        elif by and own:
+            which = f"{by} NOT IN ({', '.join(repr(x) for x in own)})"
+        same = f"AND h.{by} = s.{by}" if by else ""
+        for j, k in open_:
+            ratio = f"h.d{goal}_{view}/nullif(h.d{k}_{view}, 0)"
+            factor = {
+                "met1": f"quantile_cont({ratio}, 0.75)",
+                "met2": f"(quantile_cont({ratio}, 0.75) + quantile_cont({ratio}, 0.5))/2",
+                "met3": f"regr_intercept({ratio}, h.month_idx) + regr_slope({ratio}, h.month_idx)*s.month_idx",
+            }[method]
+            parts.append(
+                f"""SELECT {f'{by}, ' if by else ''}codmes, month_idx, '{view}' AS view, '{target}' AS target, {width} AS width,
+  d{k}_{view}/nullif({view}, 0) AS rd_usable,
+  (SELECT {factor} FROM {sums} h WHERE h.month_idx BETWEEN {closed - depth + 1} AND {closed} {same}) AS factor
+ FROM {sums} s WHERE month_idx = {closed + j} AND {which}"""
+            )
+    same = f"AND b.{by} = a.{by}" if by else ""
+    return f"""
+, parts AS ({' UNION ALL '.join(parts)}),
+o AS (SELECT *, rd_usable*factor AS rd_proj FROM parts)
+SELECT {f'{by}, ' if by else ''}codmes, view, target, round(rd_usable, 6) AS rd_usable, round(factor, 6) AS factor,
+ round((SELECT avg(b.rd_proj) FROM o b WHERE b.view = a.view AND b.target = a.target {same}
+  AND b.month_idx BETWEEN a.month_idx - a.width // 2 AND a.month_idx + (a.width - 1) // 2), 6) AS rd_proj
+FROM o a
+"""
+
+
+def _settings_sums(spark, sf_dir, by=()):
+    base = CFG.select_universe(scored_base(spark, sf_dir))
+    return store(cal.cohort_sums(base, CFG.with_(pds=()), st.horizons(CFG), by, early=True), "sums")
+
+
+@query("projection_settings", scored(_settings_sql("seg_sums", SETTINGS, "segment"), SEG_SUMS))
+def projection_settings(spark, sf_dir):
+    """Other methods, depths and widths per view, target and segment in one pass."""
+    sums = _settings_sums(spark, sf_dir, ("segment",))
+    out = st.project(sums, CFG, st.table(spark, SETTINGS), ("segment",))
+    return out.select("segment", "codmes", "view", "target", *r6("rd_usable", "factor", "rd_proj"))
+
+
+WHOLE_SETTINGS = [r for r in SETTINGS if r[0] is None]
+
+
+@query("projection_settings_total", scored(_settings_sql("sums", WHOLE_SETTINGS, ""), SUMS))
+def projection_settings_total(spark, sf_dir):
+    """The same for the portfolio as a whole: default and early delinquency, both views."""
+    out = st.project(_settings_sums(spark, sf_dir), CFG, st.table(spark, WHOLE_SETTINGS))
+    return out.select("codmes", "view", "target", *r6("rd_usable", "factor", "rd_proj"))
+
+
+EARLY_BY_ID = [(None, "n", "early", "met1", 14, 1), (None, "m", "early", "met2", 14, 1), (2, "n", "early", "met2", 6, 1)]
+
+
+@query(
+    "factor_table_early",
+    scored(
+        f"""
+, e AS (SELECT s.segment, s.codmes, s.month_idx, CASE WHEN s.month_idx = {EARLY_CLOSED + 1} THEN 2 ELSE 1 END AS k, s.n, s.m,
+  s.d1_n, s.d2_n, s.d1_m, s.d2_m FROM seg_sums s WHERE s.month_idx IN ({EARLY_CLOSED + 1}, {EARLY_CLOSED + 2})
+  AND segment IN ('1. Affluent', '2. Consumer')),
+r AS (SELECT segment, month_idx, d3_n/nullif(d2_n, 0) AS n2, d3_n/nullif(d1_n, 0) AS n1, d3_m/nullif(d2_m, 0) AS m2, d3_m/nullif(d1_m, 0) AS m1
+  FROM seg_sums WHERE month_idx BETWEEN {EARLY_CLOSED - 13} AND {EARLY_CLOSED}),
+q AS (SELECT segment, 2 AS k, quantile_cont(n2, 0.75) AS nq,
+  (quantile_cont(n2, 0.75) FILTER (WHERE month_idx > {EARLY_CLOSED - 6}) + quantile_cont(n2, 0.5) FILTER (WHERE month_idx > {EARLY_CLOSED - 6}))/2 AS nq6,
+  (quantile_cont(m2, 0.75) + quantile_cont(m2, 0.5))/2 AS mq FROM r GROUP BY 1
+ UNION ALL SELECT segment, 1, quantile_cont(n1, 0.75),
+  (quantile_cont(n1, 0.75) FILTER (WHERE month_idx > {EARLY_CLOSED - 6}) + quantile_cont(n1, 0.5) FILTER (WHERE month_idx > {EARLY_CLOSED - 6}))/2,
+  (quantile_cont(m1, 0.75) + quantile_cont(m1, 0.5))/2 FROM r GROUP BY 1),
+f AS (SELECT e.*, CASE WHEN e.segment = '2. Consumer' THEN nq6 ELSE nq END AS fn, mq AS fm,
+  CASE k WHEN 2 THEN d2_n ELSE d1_n END/n AS un, CASE k WHEN 2 THEN d2_m ELSE d1_m END/m AS um FROM e JOIN q USING (segment, k))
+SELECT {RUN_MONTH} AS month_def, codmes, CASE segment WHEN '1. Affluent' THEN 1 ELSE 2 END AS seg_proy,
+ round(coalesce(um*fm, 0.005), 6) AS projection_amounts, round(coalesce(fm, 0), 6) AS factor_amounts,
+ round(coalesce(un*fn, 0.005), 6) AS projection_accounts, round(coalesce(fn, 0), 6) AS factor_accounts FROM f
+""",
+        SEG_SUMS,
+    ),
+)
+def factor_table_early(spark, sf_dir):
+    """Factor table of the early delinquency, with settings per view and segment id."""
+    settings = st.table(spark, EARLY_BY_ID, "seg_proy", "INT")
+    out = cohorts.factor_table_by_settings(
+        scored_base(spark, sf_dir), CFG, SEGMENT_IDS, RUN_MONTH, settings, "early"
+    )
+    return out.select("month_def", "codmes", "seg_proy", *r6(*FACTOR_COLUMNS))
+
+
 # -- factor table ------------------------------------------------------------
 
 FACTOR_VIEWS = (
@@ -412,10 +538,15 @@ def month_factors(base, view="n"):
     return pj.open_cohorts(projected(base, view), CFG).select("codmes", "factor")
 
 
-def _by_driver_sql(drivers, view: str, min_share: float, keep_missing: bool) -> str:
+def segment_factors(base, view="n"):
+    rows = pj.open_cohorts(projected(base, view, by=("segment",)), CFG)
+    return rows.select("segment", "codmes", "factor")
+
+
+def _by_driver_sql(drivers, view: str, min_share: float, keep_missing: bool, segments: bool = False) -> str:
     w = "1" if view == "n" else "CAST(amount AS DECIMAL(18,2))"
     long = " UNION ALL ".join(
-        f"SELECT '{d}' AS variable, CAST({d} AS VARCHAR) AS bucket, codmes, month_idx, dist_def, pd, amount, {w} AS w "
+        f"SELECT '{d}' AS variable, CAST({d} AS VARCHAR) AS bucket, segment AS seg, codmes, month_idx, dist_def, pd, amount, {w} AS w "
         f"FROM drivers WHERE {UNIVERSE} AND {USE}" for d in drivers
     )
     missing = "" if keep_missing else "WHERE bucket NOT LIKE '%issing%'"
@@ -423,6 +554,7 @@ def _by_driver_sql(drivers, view: str, min_share: float, keep_missing: bool) ->
         f"WHEN l.month_idx = {CLOSED + j} THEN CASE WHEN dist_def <= {h} THEN w ELSE 0 END" for j, h in OPEN
     ) + " END"
     pd = "sum(pd)" if view == "n" else "sum(pd*amount)"
+    by_segment = " AND p.segment = l.seg" if segments else ""
     return f"""
 , long AS (SELECT * FROM ({long}) {missing}),
 g AS (SELECT variable, bucket, count(*) AS n, CAST(sum(w) AS DOUBLE) AS weight, {pd} AS pd_sum,
@@ -431,7 +563,7 @@ g AS (SELECT variable, bucket, count(*) AS n, CAST(sum(w) AS DOUBLE) AS weight,
   CAST(sum(CASE WHEN l.month_idx <= {CLOSED} THEN w END) AS DOUBLE) AS closed_weight,
   sum(CAST({usable} AS DOUBLE) * p.factor) AS open_sum,
   CAST(sum(CASE WHEN p.factor IS NOT NULL THEN w END) AS DOUBLE) AS open_weight
- FROM long l LEFT JOIN (SELECT codmes, factor {open_only('proj')}) p ON p.codmes = l.codmes GROUP BY 1, 2),
+ FROM long l LEFT JOIN (SELECT * {open_only('proj')}) p ON p.codmes = l.codmes{by_segment} GROUP BY 1, 2),
 s AS (SELECT *, weight/sum(weight) OVER (PARTITION BY variable) AS share FROM g)
 SELECT variable, bucket, n, round(share, 6) AS share, round(pd_sum/weight, 6) AS pd, round(aux_sum/weight, 6) AS rd12,
  round(closed_sum/closed_weight, 6) AS rd24, round(open_sum/open_weight, 6) AS rd_proj
@@ -471,6 +603,67 @@ def multi_driver_calibration(spark, sf_dir):
     return out.select("variable", "bucket", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
 
 
+SEGMENT_DRIVERS = ("amount_r", "job_type", "segment")
+
+
+@query(
+    "driver_calibration_segments",
+    scored(
+        _by_driver_sql(SEGMENT_DRIVERS, "n", 0.0, False, True),
+        DRIVERS_SQL, SEG_SUMS, projection_sql("proj", "seg_sums", "n", by="segment"),
+    ),
+)
+def driver_calibration_segments(spark, sf_dir):
+    """Portfolio report by driver bucket, every segment projected with its own factor."""
+    base = stored_base(spark, sf_dir)
+    out = cal.multi_driver_calibration(
+        with_drivers(base), CFG, SEGMENT_DRIVERS, segment_factors(base), use=USE
+    )
+    return out.select("variable", "bucket", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
+
+
+@query(
+    "driver_calibration_segments_amount",
+    scored(
+        _by_driver_sql(SEGMENT_DRIVERS, "m", 0.05, False, True),
+        DRIVERS_SQL, SEG_SUMS, projection_sql("proj", "seg_sums", "m", by="segment"),
+    ),
+)
+def driver_calibration_segments_amount(spark, sf_dir):
+    base = stored_base(spark, sf_dir)
+    out = cal.multi_driver_calibration(
+        with_drivers(base), CFG, SEGMENT_DRIVERS, segment_factors(base, "m"), view="m", use=USE, min_share=0.05
+    )
+    return out.select("variable", "bucket", "n", *r6("share", "pd", "rd12", "rd24", "rd_proj"))
+
+
+@query(
+    "evol_calibration_driver_segments",
+    scored(
+        f"""
+, c AS (SELECT job_type, segment, codmes, month_idx, count(*) AS n, sum(pd) AS pd_sum,
+ {", ".join(f"CAST(sum(CASE WHEN dist_def<={h} THEN 1 ELSE 0 END) AS DOUBLE) AS d{h}" for h in (24, 23, 22, 21, 20, 19, 12))}
+ FROM scored WHERE {UNIVERSE} AND codmes >= 199701 GROUP BY 1, 2, 3, 4),
+f AS (SELECT c.*, p.factor FROM c LEFT JOIN (SELECT segment, codmes, factor {open_only('proj')}) p
+ ON p.codmes = c.codmes AND p.segment = c.segment)
+SELECT job_type, codmes AS block_end, CAST(sum(n) AS BIGINT) AS n, round(sum(pd_sum)/sum(n), 6) AS pd,
+ round(CASE WHEN month_idx <= {CLOSED} THEN sum(d24)/sum(n) END, 6) AS rd24,
+ round(CASE WHEN month_idx <= {CLOSED + 3} THEN sum(d21)/sum(n) END, 6) AS rd21,
+ round(CASE WHEN month_idx <= {CLOSED + 12} THEN sum(d12)/sum(n) END, 6) AS rd12,
+ round(sum(CASE month_idx - {CLOSED} {" ".join(f"WHEN {j} THEN d{h}" for j, h in OPEN)} END * factor)
+  / sum(CASE WHEN factor IS NOT NULL THEN n END), 6) AS rd_proj
+FROM f GROUP BY job_type, codmes, month_idx
+""",
+        SEG_SUMS, projection_sql("proj", "seg_sums", "n", by="segment"),
+    ),
+)
+def evol_calibration_driver_segments(spark, sf_dir):
+    """Months of every job type, projected by the factors of the segments inside."""
+    base = stored_base(spark, sf_dir)
+    out = cal.evol_calibration_driver(base, CFG, "job_type", segment_factors(base), use="codmes >= 199701")
+    return out.select("job_type", "block_end", "n", *r6("pd", "rd24", "rd21", "rd12", "rd_proj"))
+
+
 @query(
     "information_value",
     scored(

@@ -20,10 +20,11 @@ from scoremon.functions.scores import (
     logit_to_pd, null_safe_sum, null_sentinels, score_to_logit, switch_source,
 )
 from scoremon.operators import bands, calibration, cohorts, cube, discrimination, projection, quality, stability
+from scoremon.operators import settings as by_settings
 from scoremon.operators.enrich import latest_per_key, left_enrich, rule_lookup
 from scoremon.operators.quantiles import approx_percentile
 from scoremon.plans import fixed_values as fx
-from scoremon.sources.tables import label_table, save_table, store, write_extract, write_partitioned
+from scoremon.sources.tables import label_table, save_table, store, write_extract, write_folder, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -210,6 +211,10 @@ class MonitorPlan:
     match of the extract.  ``overrides`` (month, op, value, optionally view)
     corrects portfolio projections before ``smooth`` months are averaged;
     corrections of single segments name them in the segment column.
+    With ``segment_factors`` the driver reports project every segment with its own factor.
+    ``settings`` (see ``operators.settings``) gives views, targets and segments their own
+    method, depth and smoothing in the frames ``projection`` and ``projection_segment``; by
+    default ``method``, the history of the config and ``smooth`` hold for all.
     """
 
     drivers: Sequence[str]
@@ -230,6 +235,8 @@ class MonitorPlan:
     request: str = ""
     overrides: DataFrame | None = None
     smooth: int = 1
+    segment_factors: bool = False
+    settings: DataFrame | None = None
 
 
 def summaries(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> tuple[DataFrame, DataFrame]:
@@ -238,11 +245,14 @@ def summaries(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> tuple[Dat
     Sums per segment and month, and sums per driver, bucket and month.  They
     are stored, so the reports never go back to the base.
     """
-    horizons = calibration.report_horizons(cfg, [*plan.aux, *plan.horizons, cfg.target - 6])
+    horizons = calibration.report_horizons(
+        cfg, [*plan.aux, *plan.horizons, cfg.target - 6, *by_settings.horizons(cfg)]
+    )
     sums = calibration.cohort_sums(
         cfg.select_universe(df, plan.calibration_use), cfg, horizons, by=(cfg.segment,), early=True
     )
-    cells = calibration.driver_cells(cfg.select_universe(df), cfg, plan.drivers, horizons)
+    by = (cfg.segment,) if plan.segment_factors else ()
+    cells = calibration.driver_cells(cfg.select_universe(df), cfg, plan.drivers, horizons, by=by)
     return store(sums, "sums"), store(cells, "cells")
 
 
@@ -256,9 +266,10 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
     checks = {"miss_pd": [pd]}
     if plan.request:
         checks["miss_sol"] = [pd, plan.request]
-    sums, cells = summaries(df, cfg, plan)
+    sums, fine = summaries(df, cfg, plan)
     total = calibration.roll_up(sums, (), month)
-    shown = calibration.drop_missing(where(cells, plan.driver_use))
+    cells = calibration.roll_up(fine, ("variable", "bucket"), month) if plan.segment_factors else fine
+    shown = calibration.drop_missing(where(fine, plan.driver_use))
     out: dict[str, DataFrame] = {
         "missing": quality.missing_by(df, [month], checks),
         "reconcile": quality.reconcile_universes(df, cfg, cfg.universe, ""),
@@ -266,10 +277,24 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
         "mix": stability.mix_from_cells(cells, cfg),
         "information_value": calibration.iv_from_cells(where(cells, plan.driver_use), cfg),
     }
+    settings = plan.settings
+    if settings is None:
+        settings = by_settings.same_for_all(df.sparkSession, cfg, plan.method, plan.smooth)
+    # Both targets and views in one pass: the default and the early delinquency.
+    out["projection_segment"] = by_settings.project(sums, cfg, settings, (cfg.segment,), plan.overrides)
+    whole = settings.filter(F.col(cfg.segment).isNull()) if cfg.segment in settings.columns else settings
+    out["projection"] = by_settings.project(total, cfg, whole, (), plan.overrides)
+    for target in by_settings.targets(cfg):
+        out[f"factors_{target.name}"] = by_settings.side_by_side(
+            out["projection_segment"], cfg, target.name, (cfg.segment,)
+        )
     for view in ("n", "m"):
         change = (plan.overrides, plan.smooth)
         evol = calibration.evol_from_sums(total, cfg, view, plan.aux, (), plan.method, *change)
-        factors = month_factors(total, cfg, view, plan.method, *change)
+        factors = month_factors(
+            sums if plan.segment_factors else total, cfg, view, plan.method, *change,
+            by=(cfg.segment,) if plan.segment_factors else (),
+        )
         # The amount view tests an amount-weighted rate on as many trials as accounts.
         out[f"calibration_{view}"] = bands.add_bands(
             evol, plan.bands, "n", "events", pd, f"rd{cfg.target}", rho=plan.rho
@@ -283,7 +308,7 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
             shown, cfg, factors, view, plan.aux[1], plan.min_share
         )
         out[f"evol_drivers_{view}"] = calibration.evol_drivers_from_cells(
-            calibration.drop_missing(cells), cfg, factors, view, plan.aux
+            calibration.drop_missing(fine), cfg, factors, view, plan.aux
         )
         out[f"psi_{view}"] = stability.psi_from_cells(cells, cfg, plan.base_window, plan.recent_window, view)
         out[f"evol_psi_{view}"] = stability.evol_psi_from_cells(
@@ -302,12 +327,12 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
 
 def month_factors(
     sums: DataFrame, cfg: MonitorConfig, view: str, method: str = "met1",
-    overrides: DataFrame | None = None, smooth: int = 1,
+    overrides: DataFrame | None = None, smooth: int = 1, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Portfolio projection factor per open month, from portfolio sums."""
-    projected = projection.with_projection(sums, cfg, view, method)
-    projected = projection.adjusted(projected, cfg, view, overrides, smooth)
-    return projection.open_cohorts(projected, cfg).select(cfg.month, "factor")
+    """Projection factor per open month, from portfolio sums, or by segment from segment sums."""
+    projected = projection.with_projection(sums, cfg, view, method, by)
+    projected = projection.adjusted(projected, cfg, view, overrides, smooth, by)
+    return projection.open_cohorts(projected, cfg).select(*by, cfg.month, "factor")
 
 
 def portfolio_from_segments(
@@ -359,7 +384,7 @@ def publish_cube(
     table = cohorts.factor_table(
         df, cfg, ids, run_month, use, method, projected_months, overrides, smooth
     )
-    table.write.mode("overwrite").parquet(where_to["factors"])
+    write_folder(table, where_to["factors"])
     factors = spark.read.parquet(where_to["factors"])
 
     base = cfg.select_universe(df, use).withColumn("seg_proy", cohorts.segment_id(cfg.segment, ids))

@@ -280,3 +280,84 @@ def test_bands_on_frames(spark):
     assert j[2].lower is None
     with pytest.raises(ValueError):
         bands.add_bands(df, "other", "n", "d", "pd", "rd")
+
+
+# -- segment factors in driver reports ---------------------------------------
+
+
+def segment_factor(segment, j):
+    return (1.0 if segment == "A" else 2.0) + j / 10
+
+
+def segment_factors(spark, segments="AB"):
+    rows = [(s, shift_yyyymm(202301, j), segment_factor(s, j)) for s in segments for j in range(1, 7)]
+    return spark.createDataFrame(rows, "segment STRING, codmes INT, factor DOUBLE")
+
+
+def projected_by_hand(rows, segments="AB", view="n", key=lambda r: r[5]):
+    won, base = {}, {}
+    for r in rows:
+        j = index_of(r[0]) - index_of(202301)
+        if not 1 <= j <= 6 or r[5] is None or r[4] not in segments:
+            continue
+        w = 1 if view == "n" else r[1]
+        k = key(r)
+        won[k] = won.get(k, 0) + w * hit(r[3], CFG.usable[j]) * segment_factor(r[4], j)
+        base[k] = base.get(k, 0) + w
+    return {k: won[k] / base[k] for k in base}
+
+
+@pytest.mark.parametrize("view", ["n", "m"])
+@pytest.mark.parametrize("segments", ["AB", "A"])
+def test_driver_projection_with_a_factor_per_segment(spark, book, view, segments):
+    rows, df = book
+    got = cal.driver_calibration(df, CFG, "driver", segment_factors(spark, segments), view=view)
+    want = projected_by_hand(rows, segments, view)
+    assert {r.driver: r.rd_proj for r in got.collect()} == pytest.approx(want)
+    # Sizes and observed rates are those of the whole bucket.
+    plain = cal.driver_calibration(df, CFG, "driver", segment_factors(spark).drop("segment"), view=view).drop("rd_proj")
+    shown = {r.driver: tuple(r)[1:] for r in got.drop("rd_proj").collect()}
+    assert shown.keys() == {r.driver for r in plain.collect()}
+    assert all(shown[r.driver] == pytest.approx(tuple(r)[1:]) for r in plain.collect())
+
+
+def test_driver_months_with_a_factor_per_segment(spark, book):
+    rows, df = book
+    got = cal.evol_calibration_driver(df, CFG, "driver", segment_factors(spark))
+    want = projected_by_hand(rows, key=lambda r: (r[5], r[0]))
+    assert {(r.driver, r.block_end): r.rd_proj for r in got.collect() if r.rd_proj is not None} == pytest.approx(want)
+    pooled = cal.evol_calibration_driver(df, CFG, "driver", segment_factors(spark), months=3).collect()
+    assert len({r.block_end for r in pooled}) < 15 and any(r.rd_proj for r in pooled)
+
+
+def test_equal_segment_factors_are_a_month_factor(spark, book):
+    _, df = book
+    one = segment_factors(spark, "A")
+    both = one.unionByName(one.withColumn("segment", F.lit("B")))
+    by = {
+        name: {r.driver: r.rd_proj for r in cal.driver_calibration(df, CFG, "driver", f, view="m").collect()}
+        for name, f in (("segment", both), ("month", one.drop("segment")))
+    }
+    assert by["segment"] == pytest.approx(by["month"])
+
+
+def test_segment_factors_need_cells_by_segment(spark, book):
+    _, df = book
+    cells = cal.driver_cells(df, CFG, ["driver"], cal.report_horizons(CFG, [12]))
+    with pytest.raises(ValueError, match="cells by segment"):
+        cal.drivers_from_cells(cells, CFG, segment_factors(spark))
+
+
+def test_segments_without_a_value_take_no_part(spark):
+    rows = [(202302, 10.0, 0.1, 3, s, "x") for s in ("A", None, "C")]
+    df = spark.createDataFrame(rows, "codmes INT, amount DOUBLE, pd DOUBLE, dist_def INT, segment STRING, driver STRING")
+    got = cal.driver_calibration(df, CFG, "driver", segment_factors(spark)).first()
+    assert got.n == 3 and got.rd_proj == pytest.approx(segment_factor("A", 1))
+
+
+def test_smoothing_looks_at_calendar_neighbours_only(spark):
+    rows = [("A", 24276 + k, 0.1 * k) for k in (0, 1, 4, 5)] + [("A", 24300, None), ("B", 24277, 9.0)]
+    df = spark.createDataFrame(rows, "segment STRING, month_idx LONG, rd_proj DOUBLE")
+    got = {(r.segment, r.month_idx - 24276): r.rd_proj for r in pj.smooth_projection(df, 3, ("segment",)).collect()}
+    assert got["A", 0] == pytest.approx(0.05) and got["A", 1] == pytest.approx(0.05)
+    assert got["A", 4] == pytest.approx(0.45) and got["A", 24] is None and got["B", 1] == 9.0
