@@ -17,7 +17,7 @@ non-defaults.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,24 +209,49 @@ def multi_driver_gini(
 
 
 def _evol(df, cfg, numeric, horizons, use, start, end, months, moving, limits, cells=None, view="n"):
-    w = weight_of(view)
-    names = [str(k) for k in horizons]
-    oldest = shift_yyyymm(start, 1 - months) if moving and start is not None else start
-    base = _in_months(cfg.select_universe(df, use), cfg, oldest, end)
+    base = _in_months(cfg.select_universe(df, use), cfg, _oldest(start, months, moving), end)
+    counts = driver_counts(base, cfg, numeric, horizons, view) if numeric else None
+    return gini_from_counts(counts, cfg, horizons, start, end, months, moving, limits, cells, view)
+
+
+def _oldest(start: int | None, months: int, moving: bool) -> int | None:
+    return shift_yyyymm(start, 1 - months) if moving and start is not None else start
+
+
+def driver_counts(
+    df: DataFrame, cfg: MonitorConfig, numeric: Mapping[str, str], horizons: Sequence[int], view: str = "n"
+) -> DataFrame:
+    """Score counts per (variable, month) of numeric drivers, name -> column: all in one pass."""
     slim = [F.col(cfg.month), *[cfg.defaulted(k).alias(str(k)) for k in horizons]]
     amount = None
-    if w == "m":
+    if weight_of(view) == "m":
         slim.append(F.col(cfg.amount).alias("_amount"))
         amount = F.col("_amount")
-    parts = []
-    if numeric:
-        pairs = ", ".join(f"'{v}', CAST(`{c}` AS DOUBLE)" for v, c in numeric.items())
-        long = base.select(*slim, F.expr(f"stack({len(numeric)}, {pairs}) AS (variable, value)"))
-        parts.append(
-            score_counts(long, ["variable", cfg.month], "value", {t: F.col(t) for t in names}, amount)
-        )
+    pairs = ", ".join(f"'{v}', CAST(`{c}` AS DOUBLE)" for v, c in numeric.items())
+    long = df.select(*slim, F.expr(f"stack({len(numeric)}, {pairs}) AS (variable, value)"))
+    return score_counts(long, ["variable", cfg.month], "value", {str(k): F.col(str(k)) for k in horizons}, amount)
+
+
+def gini_from_counts(
+    counts: DataFrame | None,
+    cfg: MonitorConfig,
+    horizons: Sequence[int] = (24, 21, 18),
+    start: int | None = None,
+    end: int | None = None,
+    months: int = 1,
+    moving: bool = False,
+    limits: tuple[float, float] | None = None,
+    cells: DataFrame | None = None,
+    view: str = "n",
+) -> DataFrame:
+    """Gini and KS over time from stored ``driver_counts``, driver cells, or both."""
+    w = weight_of(view)
+    names, oldest = [str(k) for k in horizons], _oldest(start, months, moving)
+    measures, parts = list(dict.fromkeys(["n", w])), []
+    if counts is not None:
+        counts = counts.select("variable", cfg.month, "score", *measures, *names)
+        parts.append(_in_months(counts, cfg, oldest, end))
     if cells is not None:
-        measures = list(dict.fromkeys(["n", w]))
         labelled = _in_months(cells, cfg, oldest, end).filter("bucket IS NOT NULL").select(
             "variable", cfg.month, "bucket", *measures, *[F.col(f"d{t}_{w}").alias(t) for t in names]
         )

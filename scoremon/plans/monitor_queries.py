@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 
 from scoremon.functions import buckets as bk
 from scoremon.functions.scores import with_pds
+from scoremon.operators import calibration as cal
 from scoremon.operators import cohorts
 from scoremon.operators import cube as cb
 from scoremon.operators import discrimination as ds
 from scoremon.operators import stability as st
+from scoremon.operators.incremental import SummarySpec, SummaryStore
 from scoremon.plans import fixed_values as fx
 from scoremon.plans.calibration_queries import (
     FACTOR_COLUMNS,
     FACTOR_VIEWS,
     SEG_SCORED_SQL,
+    SUMS,
     UNIVERSE,
     factors,
+    projection_sql,
 )
 from scoremon.plans.oracle import scored
 from scoremon.plans.registry import query
@@ -399,6 +403,70 @@ def discrimination_table_amount(spark, sf_dir):
     return out.select("variable", *r6(*[f"p{p}" for p in PERIODS]))
 
 
+# -- summaries kept from run to run ------------------------------------------
+
+LATE = 200007
+
+
+def _kept(spark, sf_dir) -> tuple[SummaryStore, list]:
+    """Summaries of a base that came in two deliveries; the second also rewrote one month."""
+    base, path = tb.work_dir(spark, "base"), tb.work_dir(spark, "summaries")
+    rows = stored_base(spark, sf_dir)
+    kept = SummaryStore(spark, path, CFG, SummarySpec(CATEGORICAL, ("pd", "income"), (*ALL_TARGETS, 12)))
+    first = rows.filter(F.col("codmes") < LATE)
+    # 199503 is not complete yet.
+    first.filter("codmes <> 199503 OR app_id % 2 = 0").write.partitionBy("codmes").parquet(base)
+    steps = [kept.refresh(base)]
+    later = rows.filter((F.col("codmes") >= LATE) | (F.col("codmes") == 199503))
+    later.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("codmes").parquet(base)
+    steps.append(kept.refresh(base))
+    return kept, steps
+
+
+@query(
+    "incremental_calibration",
+    scored(
+        """
+SELECT codmes, n, m AS amount, round(pd_n/n, 6) AS pd, round(factor, 6) AS factor, round(rd_proj, 6) AS rd_proj,
+ CASE WHEN codmes >= 200007 OR codmes = 199503 THEN 2 ELSE 1 END AS refresh FROM proj
+""",
+        SUMS, projection_sql("proj", "sums", "n"),
+    ),
+)
+def incremental_calibration(spark, sf_dir):
+    """Calibration from stored months, with the refresh that read each of them."""
+    kept, steps = _kept(spark, sf_dir)
+    again = [int(m) for m in steps[1].read]
+    out = cal.evol_from_sums(cal.roll_up(kept.table("sums"), (), "codmes"), CFG)
+    return out.select(
+        "codmes", "n", "amount", *r6("pd", "factor", "rd_proj"),
+        F.when(F.col("codmes").isin(again), 2).otherwise(1).alias("refresh"),
+    )
+
+
+@query(
+    "incremental_gini",
+    scored(
+        gini_sql(
+            " UNION ALL ".join(
+                [_moving_source(c, c, (24,), 3, 199801, 199908) for c in ("pd", "income")]
+                + MULTI_SOURCE.split(" UNION ALL ")[len(NUMERIC):]
+            ),
+            (24,),
+            "SELECT variable, window_end AS codmes, n, round(gini24, 6) AS gini24, round(ks24, 6) AS ks24 FROM res",
+        )
+    ),
+)
+def incremental_gini(spark, sf_dir):
+    """Gini of many drivers from stored score counts and driver cells."""
+    kept, _ = _kept(spark, sf_dir)
+    cells = cal.roll_up(kept.table("cells"), ("variable", "bucket"), "codmes")
+    out = ds.gini_from_counts(
+        kept.table("scores"), CFG, (24,), 199801, 199908, 3, True, cells=cells
+    )
+    return out.select("variable", "codmes", "n", *r6("gini24", "ks24"))
+
+
 # -- reporting cube ----------------------------------------------------------
 
 AXES = {

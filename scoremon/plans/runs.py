@@ -22,6 +22,7 @@ from scoremon.functions.scores import (
 from scoremon.operators import bands, calibration, cohorts, cube, discrimination, projection, quality, stability
 from scoremon.operators import settings as by_settings
 from scoremon.operators.enrich import latest_per_key, left_enrich, rule_lookup
+from scoremon.operators.incremental import SummaryStore
 from scoremon.operators.quantiles import approx_percentile
 from scoremon.plans import fixed_values as fx
 from scoremon.sources.tables import label_table, save_table, store, write_extract, write_folder, write_partitioned
@@ -267,19 +268,65 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
     if plan.request:
         checks["miss_sol"] = [pd, plan.request]
     sums, fine = summaries(df, cfg, plan)
+    out = {
+        "missing": quality.missing_by(df, [month], checks),
+        "reconcile": quality.reconcile_universes(df, cfg, cfg.universe, ""),
+        **reports(sums, fine, cfg, plan),
+    }
+    start, end = plan.gini_months
+    scores = [pd, *[c for c in plan.numeric if c != pd]]
+    return out | discriminated(discrimination.multi_driver_gini(
+        df, cfg, scores, horizons=plan.horizons, start=start, end=end, months=plan.gini_width,
+        moving=True, limits=plan.gini_limits, cells=_cells(fine, cfg),
+    ), cfg, plan)
+
+
+def monitor_stored(kept: SummaryStore, plan: MonitorPlan) -> dict[str, DataFrame]:
+    """The frames of a run that summaries give, from a store of monthly ones.
+
+    The base is not read: ``SummaryStore.refresh`` has read its new months.  Drivers, numeric
+    scores, horizons and predicate are those of the store; the data checks ``missing`` and
+    ``reconcile`` look at rows and are left to ``monitor``.
+    """
+    cfg, tables = kept.cfg, kept.tables()
+    start, end = plan.gini_months
+    gini = discrimination.gini_from_counts(
+        tables["scores"], cfg, plan.horizons, start, end, plan.gini_width, True, plan.gini_limits,
+        _cells(tables["cells"], cfg),
+    )
+    return reports(tables["sums"], tables["cells"], cfg, plan) | discriminated(gini, cfg, plan)
+
+
+def discriminated(gini: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, DataFrame]:
+    """Gini and KS over time, and one column per month."""
+    gini = store(gini, "gini")
+    start, end = plan.gini_months
+    periods = [yyyymm_of(i) for i in range(index_of(start), index_of(end) + 1)]
+    return {"gini": gini, "discrimination": discrimination.by_period(gini, cfg.month, periods, f"gini{plan.horizons[0]}")}
+
+
+def _cells(fine: DataFrame, cfg: MonitorConfig) -> DataFrame:
+    """Driver cells of all segments together."""
+    if cfg.segment not in fine.columns:
+        return fine
+    return calibration.roll_up(fine, ("variable", "bucket"), cfg.month)
+
+
+def reports(sums: DataFrame, fine: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, DataFrame]:
+    """What the two summaries give: sums by segment, and driver cells (also by segment)."""
+    pd, month = cfg.pds[0], cfg.month
     total = calibration.roll_up(sums, (), month)
-    cells = calibration.roll_up(fine, ("variable", "bucket"), month) if plan.segment_factors else fine
+    cells = _cells(fine, cfg)
+    fine = fine if plan.segment_factors else cells
     shown = calibration.drop_missing(where(fine, plan.driver_use))
     out: dict[str, DataFrame] = {
-        "missing": quality.missing_by(df, [month], checks),
-        "reconcile": quality.reconcile_universes(df, cfg, cfg.universe, ""),
         "validation": calibration.validation_from_sums(total, cfg),
         "mix": stability.mix_from_cells(cells, cfg),
         "information_value": calibration.iv_from_cells(where(cells, plan.driver_use), cfg),
     }
     settings = plan.settings
     if settings is None:
-        settings = by_settings.same_for_all(df.sparkSession, cfg, plan.method, plan.smooth)
+        settings = by_settings.same_for_all(sums.sparkSession, cfg, plan.method, plan.smooth)
     # Both targets and views in one pass: the default and the early delinquency.
     out["projection_segment"] = by_settings.project(sums, cfg, settings, (cfg.segment,), plan.overrides)
     whole = settings.filter(F.col(cfg.segment).isNull()) if cfg.segment in settings.columns else settings
@@ -314,14 +361,6 @@ def monitor(df: DataFrame, cfg: MonitorConfig, plan: MonitorPlan) -> dict[str, D
         out[f"evol_psi_{view}"] = stability.evol_psi_from_cells(
             cells, cfg, plan.base_window, plan.recent_window, view
         )
-    start, end = plan.gini_months
-    scores = [pd, *[c for c in plan.numeric if c != pd]]
-    out["gini"] = store(discrimination.multi_driver_gini(
-        df, cfg, scores, horizons=plan.horizons, start=start, end=end, months=plan.gini_width,
-        moving=True, limits=plan.gini_limits, cells=cells,
-    ), "gini")
-    periods = [yyyymm_of(i) for i in range(index_of(start), index_of(end) + 1)]
-    out["discrimination"] = discrimination.by_period(out["gini"], month, periods, f"gini{plan.horizons[0]}")
     return out
 
 
