@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and character Markov models for what patterns miss.
 
 Built of SQL functions only.  Matches come from ``regexp_extract_all``; their places from
-the lengths of what ``split`` leaves between them, so no text leaves the JVM.
+the lengths of what ``split`` leaves between them, so no text leaves the JVM.  Sums over the
+matches of one text run in blocks, and matches meet the spans of patterns in one sorted
+order, so time grows with the text (times the logarithm of its matches) and not its square.
 
 Two first-order Markov chains over characters are counted from labelled strings, one of
 random strings and one of ordinary identifiers.  A run of identifier characters of at least
@@ -16,6 +18,7 @@ repeated rows are reported each; other columns are kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,32 +39,107 @@ MARGIN = 0.25
 QUANTILE = 0.999
 #: Expected number of documents that ordinary strings come from; random ones come from all.
 ORDINARY_DOCS = 1_000
+#: Beyond the end of every text.
+FAR = 2**31 - 1
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of all matches whose ``group`` has ``least`` characters, in order."""
-    pattern_ = F.lit(pattern)
-    hits = F.regexp_extract_all(text, pattern_, F.lit(0))
-    between = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, pattern_, F.lit(group)) if group else hits
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, x):
-        first = acc["at"] + F.length(x["gap"])
-        stop = first + F.length(x["hit"])
-        span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        out = F.when(
-            F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))
-        ).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), out.alias("out"))
+#: Elements that one fold appends to; longer arrays are folded in blocks of this length.
+FOLD = 128
+
+
+def _running(values: Column, first: Column, combine: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``first`` combined with all values before each value: a fold that appends to an array."""
+    start = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(
+        values, start,
+        lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often and deep it is used in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def before(values: Column, zero: Column, combine: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """``zero`` combined with all values before each value (``combine`` associative).
+
+    Appending copies the array, so one fold over a long array would be quadratic.  It is cut
+    into blocks: totals of blocks give every block its start, and folds run inside blocks.
+    """
+    def cut(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")),
+            lambda k: F.slice(v, k * FOLD + 1, FOLD),
+        )).otherwise(F.array().cast(f"array<array<{kind}>>"))
+
+    def summed(blocks: Column) -> Column:
+        starts = _running(F.transform(blocks, lambda b: F.aggregate(b, zero, combine)), zero, combine, kind)
+        return F.flatten(F.zip_with(blocks, starts, lambda b, first: _running(b, first, combine, kind)))
+
+    return _let(values, lambda v: _let(cut(v), summed))
+
+
+def _matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """(start, kind, stop, hit, value) of all matches, in order, in time linear in the text."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
+    # Where the gap before a match starts: the sum of all gaps and matches before it.
     joined = F.arrays_zip(
-        F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")
+        before(lengths, F.lit(0), lambda a, b: a + b).alias("from"), gaps.alias("gap"), hits.alias("hit"),
+        values.alias("value"),
     )
-    return F.when(
-        text.rlike(pattern), F.aggregate(joined, start, step, lambda acc: acc["out"])
-    ).otherwise(F.array().cast(SPAN))
+    return F.transform(joined, lambda x: F.struct(
+        (x["from"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"),
+        (x["from"] + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"), x["hit"].alias("hit"),
+        x["value"].alias("value"),
+    ))
+
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["stop"]))
+
+
+def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of all matches whose ``group`` has ``least`` characters, in order."""
+    found = _matches(text, pattern, kind, group)
+    if least:
+        found = F.filter(found, lambda x: F.length(x["value"]) >= least)
+    return F.when(text.rlike(pattern), _bare(found).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
+def apart(runs: Column, spans: Column) -> Column:
+    """The runs that overlap no span, from both in one sorted order.
+
+    Runs do not overlap each other.  A span that reaches into a run starts before the run and
+    ends after its start, or starts inside it: the furthest end so far and the next start tell.
+    """
+    both = F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(
+            s["start"].alias("at"), F.lit(0).alias("run"), s["stop"].alias("stop"), F.lit("").alias("hit"))),
+        F.transform(runs, lambda r: F.struct(
+            r["start"].alias("at"), F.lit(1).alias("run"), r["stop"].alias("stop"), r["hit"].alias("hit"))),
+    ))
+
+    def kept(line: Column) -> Column:
+        ends = F.transform(line, lambda x: F.when(x["run"] == 0, x["stop"]).otherwise(0))
+        starts = F.transform(line, lambda x: F.when(x["run"] == 0, x["at"]).otherwise(FAR))
+        marked = F.arrays_zip(
+            line.alias("x"), before(ends, F.lit(0), lambda a, b: F.greatest(a, b)).alias("reach"),
+            # The first start of a span after each entry: the same from the other end.
+            F.reverse(before(F.reverse(starts), F.lit(FAR), lambda a, b: F.least(a, b))).alias("ahead"),
+        )
+        return F.filter(
+            marked, lambda m: (m["x"]["run"] == 1) & (m["reach"] <= m["x"]["at"]) & (m["ahead"] >= m["x"]["stop"])
+        )
+
+    return F.transform(_let(both, kept), lambda m: F.struct(
+        m["x"]["at"].alias("start"), F.lit(3).alias("kind"), m["x"]["stop"].alias("stop"), m["x"]["hit"].alias("hit")
+    ))
 
 
 def base_spans(text: Column) -> Column:
@@ -158,12 +236,10 @@ def scan(docs: DataFrame, model: Model | None) -> DataFrame:
     out = docs.withColumn("base_spans", base_spans(text))
     if model is None:
         return out.withColumn("all_spans", F.col("base_spans"))
-    runs = F.filter(
-        _found(text, RUN, 3),
-        lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
-        & (score(F.substring(text, r["start"] + 1, r["stop"] - r["start"]), model.ratio) > model.threshold),
-    )
-    return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", runs)))
+    out = out.withColumn("_runs", F.when(text.rlike(RUN), apart(_matches(text, RUN, 3), F.col("base_spans"))))
+    added = F.filter("_runs", lambda r: score(r["hit"], model.ratio) > model.threshold)
+    spans = F.array_sort(F.concat("base_spans", F.coalesce(_bare(added).cast(SPAN), F.array().cast(SPAN))))
+    return out.withColumn("all_spans", spans).drop("_runs")
 
 
 def listed(spans: str) -> Column:
