@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -11,11 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bound of an Arrow batch between Spark and Python; batches are cut finer inside the tasks.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table of the data folder, with only the columns that are named."""
+    """A table of the data folder, with only the columns that are named.
+
+    Batches for Python are bounded in bytes first: a batch of 10,000 long texts would be built
+    whole in the JVM and in the worker.  A bound that the user has set stays.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -33,9 +45,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage."""
+    return stored(df, label)[0]
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``store``, with the folder, for large copies that are removed when they are done with."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored frame that nothing unfinished reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,6 +78,14 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return the free memory of this worker, which other tasks use again, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, limit: int
 ) -> Iterator[pa.RecordBatch]:
@@ -74,6 +105,7 @@ def slices(
             stop = min(max(stop, start + 1), batch.num_rows, start + 60_000)
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -149,6 +181,23 @@ def running(rows: DataFrame, group: str, order: Sequence[str], value: F.Column,
     ).drop("_v", "_b", "_g", "_c", "_base")
 
 
+def twins(rows: DataFrame, columns: Sequence[str], tie: str, name: str = "twin") -> DataFrame:
+    """``rows`` (stored) with a number among the rows that agree in ``columns``, 0 for single ones.
+
+    ``tie`` tells rows apart.  It follows the file layout, and so does which twin gets which
+    number; an order by ``columns`` and this number is the same for every layout but for
+    twins changing places.  A row may stand any number of times.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64(*columns))
+    several = cut(keyed.groupBy("_key").count().where("count > 1").select("_key"))
+    if several.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    single = keyed.join(several, "_key", "left_anti").withColumn(name, F.lit(0).cast("long"))
+    again = store(keyed.join(several, "_key", "left_semi"), "twins")
+    again = running(again, "_key", [tie], F.lit(1).cast("long"), name)
+    return store(single.unionByName(again).drop("_key"), "numbered-twins")
+
+
 def place_in(bounds: Sequence[float], value: F.Column) -> F.Column:
     """How many of the sorted ``bounds`` are below or at ``value``: binary search in a constant."""
     if not len(bounds):

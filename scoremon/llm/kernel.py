@@ -25,6 +25,8 @@ LOWER[0x41:0x5B] += 0x20
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
+#: Length of the tables of powers that a worker keeps.
+KEPT = 1 << 20
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -55,13 +57,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            out = np.full(size, base, U)
-            out[0] = U(1)
-            _powers[k] = np.cumprod(out, out=out)
-    return _powers[0], _powers[1]
+    """At least ``n`` powers of the base and of its inverse; tables above ``KEPT`` are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, KEPT)
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        out = np.full(size, base, U)
+        out[0] = U(1)
+        made.append(np.cumprod(out, out=out))
+    if size == KEPT:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

@@ -37,13 +37,13 @@ from pyspark.sql.types import (
 )
 
 from scoremon.llm import kernel
-from scoremon.llm.common import slices
+from scoremon.llm.common import slices, store
 from scoremon.llm.quality import held_out
 
 #: Bound of the sample per language.
 SAMPLE = 1_000
 TABLE_BITS = 17
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 20
 SWITCH = 12.0
 FLOOR = -30.0
 UNKNOWN = "und"
@@ -265,7 +265,8 @@ def sample(docs: DataFrame, bound: int) -> DataFrame:
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
     )
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    # A row per language, stored: its size is known, so no hint is needed to keep texts in place.
+    counts = store(known.groupBy("lang").agg(F.count("*").alias("_n")), "language-counts")
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
     # Thinned to the expected number first, so the window below sees a bounded table.
     thin = known.join(counts, "lang").where(

@@ -140,16 +140,21 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK)
     )
 
 
-def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+def repeated(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK, row: str | None = None
+) -> DataFrame:
     """Rows of ``docs`` as often as the schedule takes the block in which they begin.
 
     Rows without words stay as they are: the mix weighs words and has no view on them.
+    ``row`` names a column of a stored frame that tells its rows apart; without it the rows
+    are stored with such a column first.
     """
-    names = docs.columns
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    times = mix(mix_rows(rows, F.col("_row")), weights, block).select(
-        F.col("tie").alias("_row"), F.when(F.col("size") == 0, 1).otherwise(F.col("starts")).cast("int").alias("_times")
+    names = [c for c in docs.columns if c != row]
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents") if row is None else docs
+    row = row or "_row"
+    times = mix(mix_rows(rows, F.col(row)), weights, block).select(
+        F.col("tie").alias(row), F.when(F.col("size") == 0, 1).otherwise(F.col("starts")).cast("int").alias("_times")
     )
-    return rows.join(times.where("_times > 0"), "_row").withColumn(
+    return rows.join(times.where("_times > 0"), row).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
     ).select(*names)

@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoremon.llm import kernel
-from scoremon.llm.common import components, cut, release, slices, slots, store
+from scoremon.llm.common import components, cut, discard, release, slices, slots, store, stored
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Names of sets that a task remembers, so that copies beside each other are sent once.
+SEEN = 100_000
 SKETCH = 1 << 20
 SKETCH_BLOCKS = 16
 BLOOM_BITS = 1 << 23
@@ -266,9 +268,9 @@ def _postings(frequent: np.ndarray, percent: int):
 
 
 def _unseen(node: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Sets not met before in this task; forgets all when it has kept a million names."""
+    """Sets not met before in this task; forgets all when it has kept ``SEEN`` names."""
     fresh = np.zeros(len(node), bool)
-    if len(seen) > 1_000_000:
+    if len(seen) > SEEN:
         seen.clear()
     for i, (x, n) in enumerate(zip(node.tolist(), sizes.tolist(), strict=True)):
         if n and x not in seen:
@@ -476,19 +478,23 @@ def verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, percent: int
             .select("a", "b", "x", "y")
         )
 
-    prints = store(
+    prints, prints_path = stored(
         named.join(
             carrying(pairs).select("node", F.col("doc_id").alias("_d")), "node"
         ).where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "fingerprint"),
         "ngram-fingerprints",
     )
     pairs = cut(joined(pairs, prints).mapInArrow(_possible(percent), "a long, b long").distinct())
+    discard(docs.sparkSession, prints_path)
+    release(docs.sparkSession)
     bloom = _bloom(carrying(pairs).where("doc_id IS NOT NULL"))
-    sets = store(
+    sets, sets_path = stored(
         docs.select("doc_id", "text").mapInArrow(_sets(bloom), "node long, members binary"),
         "ngram-sets",
     )
-    return cut(joined(pairs, sets).mapInArrow(_linked(percent), "a long, b long"))
+    links = cut(joined(pairs, sets).mapInArrow(_linked(percent), "a long, b long"))
+    discard(docs.sparkSession, sets_path)
+    return links
 
 
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:

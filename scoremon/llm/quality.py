@@ -8,7 +8,8 @@ coordinate descent.  The n-grams are word unigrams and unigrams to trigrams of w
 form of a text counts as well as its words.
 
 The model is fitted in one task on at most ``SAMPLE`` labelled documents, chosen by the
-smallest hashes of their ids; everything else is a stateless pass over the whole texts.
+smallest hashes of their ids, and at most ``SAMPLE_BYTES`` of their packed indicators, which
+the tasks that read the texts make; everything else is a stateless pass over the whole texts.
 Margins become probabilities by a logistic curve fitted on a held-back part of the sample.
 
 Defined cases: null and empty texts score as texts without indicators; without labels of
@@ -32,8 +33,10 @@ from scoremon.llm.common import slices
 
 #: Bound of the sample of labelled documents that the model is fitted on.
 SAMPLE = 8_000
+#: Bound of the packed indicators of that sample, 4 bytes each.
+SAMPLE_BYTES = 128 << 20
 DIMENSIONS = 1 << 18
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CUT = 0.7
 U = np.uint64
 
@@ -136,44 +139,45 @@ def descend(rows, heads, x, y, cost, epochs: int, seed: int, chosen=None) -> tup
     return w, b
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 12) -> Model:
-    """Model of a bounded sample; a fifth of it, by position, only fits the logistic curve."""
+def texts_as_indicators(column: pa.Array) -> list[bytes]:
+    """Sorted distinct dimensions of every text, as packed 32-bit numbers."""
+    doc, dim = indicators(column)
+    heads = np.searchsorted(doc, np.arange(len(column) + 1))
+    dim = dim.astype(np.int32)
+    return [dim[a:b].tobytes() for a, b in zip(heads[:-1], heads[1:], strict=True)]
+
+
+def fit(examples: list[np.ndarray], labels: list[int], epochs: int = 12) -> Model:
+    """Model of a bounded sample; a fifth of it, by position, only fits the logistic curve.
+
+    An example is the array of its distinct dimensions.
+    """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.5)
-    docs, dims, base = [], [], 0
-    column = pa.array(texts, pa.string())
-    batch = pa.RecordBatch.from_arrays([column], names=["text"])
-    for part in slices(iter([batch]), "text", CHUNK_BYTES):
-        d, k = indicators(part.column(0))
-        docs.append((d + base).astype(np.int32))
-        dims.append(k.astype(np.int32))
-        base += part.num_rows
-    doc, dim = np.concatenate(docs), np.concatenate(dims)
-    del docs, dims
-    heads = np.searchsorted(doc, np.arange(len(y) + 1))
-    size = np.sqrt(np.maximum(np.diff(heads), 1))
+    dims = np.concatenate(examples)
+    heads = np.concatenate([[0], np.cumsum([len(d) for d in examples])])
     fold = np.arange(len(y)) % 5 == 4
     for held in (fold, np.zeros(len(y), bool)):
-        train = ~held
-        if len(set(y[train].tolist())) < 2:
+        chosen = np.flatnonzero(~held)
+        if len(set(y[chosen].tolist())) < 2:
             continue
-        use = train[doc]
-        good = np.bincount(dim[use & (y[doc] == 1)], minlength=DIMENSIONS) + 1.0
-        bad = np.bincount(dim[use & (y[doc] == 0)], minlength=DIMENSIONS) + 1.0
+        counts = np.ones((2, DIMENSIONS))
+        for i in chosen:
+            counts[y[i], examples[i]] += 1.0
+        bad, good = counts
         ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-        x = ratio.astype(np.float32)[dim]
-        x /= size.astype(np.float32)[doc]
+        narrow = ratio.astype(np.float32)
+        x = narrow[dims]
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            x[a:b] /= np.float32(np.sqrt(max(b - a, 1)))
         # Both kinds carry the same weight in all.
         share = np.where(y == 1, len(y) / (2.0 * (y == 1).sum()), len(y) / (2.0 * (y == 0).sum()))
-        chosen = np.flatnonzero(train)
-        w, b = descend(
-            dim, heads, x, 2.0 * y[chosen] - 1.0, share[chosen], epochs, 1, chosen,
-        )
+        w, bias = descend(dims, heads, x, 2.0 * y[chosen] - 1.0, share[chosen], epochs, 1, chosen)
         if held.any():
-            margin = np.bincount(doc, w[dim] * x, minlength=len(y)) + b
+            margin = bias + np.array([w[dims[a:b]] @ x[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True)])
             slope, shift = logistic(margin[held], y[held])
-    return Model(w * ratio, b, slope, shift)
+    return Model(w * ratio, bias, slope, shift)
 
 
 def logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -198,27 +202,45 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", CHUNK_BYTES):
+        doc_id, text, label = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text", "label"))
+        yield pa.RecordBatch.from_arrays(
+            [doc_id, label, pa.array(texts_as_indicators(text), pa.binary())], names=["doc_id", "label", "dims"]
+        )
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
-    """(text, label) of at most ``bound`` labelled documents outside the held-out part.
+    """(doc_id, label, dims) of at most ``bound`` labelled documents outside the held-out part.
 
-    The ids with the smallest hashes are taken before any text is read.
+    The ids with the smallest hashes are taken before any text is read, and the bound holds
+    again after the join, where an id may stand for any number of rows.
     """
     ids = (
         labels.select("doc_id", F.col(column).alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
         "doc_id", "text", F.col("label").cast("int").alias("label")
     )
+    packed = found.mapInArrow(_packed, "doc_id long, label int, dims binary")
+    return packed.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "dims").limit(bound)
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Model of the rows of all batches, in the order of their hashes up to ``SAMPLE_BYTES``."""
     rows = []
     for batch in batches:
-        rows += batch.to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["doc_id"], r["label"], r["text"] or ""))
-    model = fit([r["text"] for r in rows], [r["label"] for r in rows])
+        rows += zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+    kept, size = [], 0
+    for row in rows:
+        size += len(row[2])
+        if kept and size > SAMPLE_BYTES:
+            break
+        kept.append(row)
+    kept.sort(key=lambda r: (r[0] * 0x9E3779B1 % (1 << 32), *r))
+    model = fit([np.frombuffer(r[2], np.int32) for r in kept], [r[1] for r in kept])
     yield pa.RecordBatch.from_arrays([
         pa.array([model.weights.tobytes()], pa.binary()),
         pa.array([[model.bias, model.slope, model.shift]], pa.list_(pa.float64())),
@@ -227,9 +249,9 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: int = SAMPLE) -> Model:
     """Fit on a bounded sample in one task; only the model, of fixed size, comes back."""
-    rows = sample(docs, labels, column, bound).repartition(1).mapInArrow(
-        _fit_task, "weights binary, rest array<double>"
-    ).collect()
+    rows = sample(docs, labels, column, bound).repartition(1).sortWithinPartitions(
+        F.xxhash64("doc_id"), "doc_id", "label", "dims"
+    ).mapInArrow(_fit_task, "weights binary, rest array<double>").collect()
     if not rows:
         return constant(0.5)
     weights, (bias, slope, shift) = rows[0]

@@ -87,4 +87,19 @@ def test_entry_works_without_this_package():
     names, oracles = json.loads(out.stdout.splitlines()[-1])
     assert "monthly_calibration" in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
     assert "pipeline" not in names and set(oracles) <= set(names)
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    (_, _), (_, unique), *_ = corpus_pipeline.STAGES
+    text = "one two three four five six seven eight nine ten"
+    rows = [(9, text, "en", "a", 1), (4, text, "en", "b", 1), (4, text, "en", "a", 1), (4, text, "en", "b", 1)]
+    rows += [(None, "null ids alone make a group of their own here", "en", "a", 2)] * 3 + [(None, text, "en", "a", 1)]
+    rows += [(7, "", "en", "a", 0), (7, "", "en", "a", 0), (None, None, None, None, None), (None, None, None, None, None)]
+    rows += [(4, "another text under a repeated id stays as it is too", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [tuple(r) for r in unique(spark, docs, SF).collect()]
+    assert sum(r[1] == text for r in kept) == 1 and {r[0] for r in kept if r[1] == text} == {4}
+    assert sum(r[1] is not None and r[1].startswith("null ids") for r in kept) == 1
+    assert sum(r[1] == "" for r in kept) == 2 and sum(r[1] is None for r in kept) == 2
+    assert sum(r[1] is not None and r[1].startswith("another") for r in kept) == 1 and len(kept) == 7
