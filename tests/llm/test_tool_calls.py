@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -105,3 +106,88 @@ def test_query_matches_brute_force(spark):
         line = json.loads(r.line)
         assert line["arguments"]["text"] == t.text and line["result"] == answers.get((r.conv_id, r.call_id))
         assert r.valid == (t.role == "system" or 1 <= len(t.text) <= 360)
+
+
+def graph(seed, n):
+    """Calls of several conversations: chains, forks, cycles, unknown and own identifiers."""
+    rng = random.Random(seed)
+    calls = [(1, f"c{i}", "free", "{}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    calls += [(2, f"c{i}", "free", "{}", [f"c{i - k}" for k in (1, 2) if i >= k]) for i in range(5)]
+    calls += [(3, f"c{i}", "free", "{}", [f"c{(i + 1) % 7}"]) for i in range(7)] + [(3, "x", "free", "{}", ["c3"]), (3, "y", "free", "{}", ["x", "z"]), (3, "z", "free", "{}", None)]
+    calls += [(4, "own", "free", "{}", ["own"]), (4, "gone", "free", "{}", ["never"]), (4, "a", "free", "{}", ["hub"]), (4, "hub", "free", "{}", [])]
+    for _ in range(16):
+        i = rng.randrange(10)
+        calls.append((5, f"c{i}", "free", "{}", [f"c{rng.randrange(12)}" if rng.random() < 0.03 else f"c{rng.randrange(i + 1) - 1}" for _ in range(rng.randrange(3))]))
+    calls += [(6, f"leaf{i}", "free", "{}", ["hub"]) for i in range(40)] + [(6, "hub", "free", "{}", ["low"]), (6, "low", "free", "{}", [])]
+    return calls
+
+
+@pytest.mark.parametrize("in_task", [10_000, 0])
+def test_levels_in_tasks_and_by_pointers(spark, monkeypatch, in_task):
+    monkeypatch.setattr(tool_calls, "IN_TASK", in_task)
+    calls = graph(in_task, 40)
+    rows = tool_calls.levels(spark.createDataFrame(calls, CALLS).repartition(3)).collect()
+    got = {(r.conv_id, r.call_id): r.level for r in rows}
+    assert len(got) == len(rows) and got == brute_levels(calls)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    whole = tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda df: rounds.append(1) or whole(df))
+    n = 5_000
+    calls = [(1, f"c{i}", "free", "{}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    rows = tool_calls.levels(spark.createDataFrame(calls, CALLS)).collect()
+    assert {r.call_id: r.level for r in rows} == {f"c{i}": i for i in range(n)} and len(rounds) < 30
+
+
+BAD_TEXTS = [
+    '{"q":"\\ud800"}', '{"\\udfff":1}', '{"q":"\\ud83d\\ude00"}', '{"q":1e400}', '{"q":NaN}', '{"q":-Infinity}', '{"q":' + "9" * 5000 + "}",
+    "[" * 5000 + "]" * 5000, '{"q":' * 99 + "1" + "}" * 99, '{"q":' * 3000 + "1" + "}" * 3000, "", " ", "{", "\x00", '{"q":"\x01"}',
+    '{"q":1,"q":"x"}', '{"q":12345678901234567890123}', '{"q":1e308}', '{"q":-0.0}', "null", "true", '"q"',
+]
+BAD_SCHEMAS = [
+    "no json", "[]", "3", "null", '{"type":"text"}', '{"type":[1]}', '{"type":{}}', '{"minimum":"0"}', '{"properties":{"q":{"pattern":"("}}}', '{"$ref":"#"}',
+    '{"properties":{"q":{"minLength":true}}}', '{"required":"q"}', '{"enum":1}', '{"multipleOf":0}', '{"unevaluatedProperties":false}', '{"items":[1]}',
+    '{"not":' * 5000 + "{}" + "}" * 5000, '{"patternProperties":{"[":{}}}', '{"minimum":1e999}',
+]
+
+
+def test_no_input_ends_the_job(spark):
+    names = [(f"s{i}", s) for i, s in enumerate(BAD_SCHEMAS)]
+    calls = [(1, f"{n}-{i}", n, text, []) for n, _ in [*names, ("free", None), ("search", SCHEMA)] for i, text in enumerate(BAD_TEXTS)]
+    rows = run(spark, calls, [(1, c[1], 1, "￾ ") for c in calls], [*names, ("search", SCHEMA), ("free", None)])
+    assert len(rows) == len(calls)
+    for r in rows:
+        value = json.loads(r.line)["arguments"]
+        assert tool_calls.canonical(json.loads(r.line)) == r.line
+        if not isinstance(value, dict):
+            assert r.valid is False
+        elif r.name not in ("free", "search"):
+            assert r.valid is None
+    valid = {(r.name, int(r.call_id.split("-")[1])): r.valid for r in rows}
+    assert [valid["free", i] for i in range(len(BAD_TEXTS))] == [True, True, True, *[False] * 5, True, *[False] * 6, True, True, True, True, *[False] * 3]
+    assert [valid["search", i] for i in (0, 2, 15, 16)] == [True, True, True, False]
+
+
+@pytest.mark.parametrize("value,schema,good", [
+    (5, {"exclusiveMinimum": 9}, False), (9, {"exclusiveMaximum": 9}, False), (7, {"multipleOf": 2}, False), (0.3, {"multipleOf": 0.1}, True),
+    (10**400, {"multipleOf": 0.5}, False), (10**400, {"type": "integer"}, True), (1, {"anyOf": [{"type": "string"}, {"minimum": 1}]}, True),
+    (1, {"oneOf": [{"minimum": 0}, {"minimum": 1}]}, False), (1, {"allOf": [{"minimum": 0}, {"maximum": 0}]}, False), (1, {"not": {"type": "integer"}}, False),
+    ([1, 1.0], {"uniqueItems": True}, False), ([1, "1"], {"uniqueItems": True}, True), (["a", 1], {"prefixItems": [{"type": "string"}], "items": {"type": "string"}}, False),
+    ({"x1": 1}, {"patternProperties": {"^x": {"type": "string"}}}, False), ({"y": 1}, {"patternProperties": {"^x": {}}, "additionalProperties": False}, False),
+    ({}, {"minProperties": 1}, False), ({"a": 1, "b": 1}, {"maxProperties": 1}, False), ({"ab": 1}, {"propertyNames": {"maxLength": 1}}, False),
+    ({"a": 1}, {"dependentRequired": {"a": ["b"]}}, False), (5, {"if": {"minimum": 3}, "then": {"maximum": 4}}, False), (1, {"if": {"minimum": 3}, "else": {"minimum": 2}}, False),
+    ("x", {"title": "t", "format": "date", "description": "d"}, True),
+])
+def test_more_schemas(value, schema, good):
+    assert tool_calls.conforms(value, schema) is good
+
+
+def test_schemas_that_cannot_be_judged(monkeypatch):
+    for schema in ({"$ref": "#"}, {"dependentSchemas": {}}, {"minimum": "3"}):
+        with pytest.raises(tool_calls.Unjudged):
+            tool_calls.conforms(1, schema)
+    monkeypatch.setattr(tool_calls, "PATTERN_SECONDS", 0.05)
+    slow = json.dumps({"properties": {"q": {"pattern": "^(?:(a+)+)+\\1x$"}}})
+    assert tool_calls.verdict({"q": "a" * 40 + "b"}, slow, {}) in (None, False)
