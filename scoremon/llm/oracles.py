@@ -134,3 +134,111 @@ walk AS (
 SELECT f.word, f.form, k.here AS root, f.n, f.n_near, f.form_n
 FROM formed f JOIN walk k ON k.word = f.word AND k.following IS NULL
 """
+
+#: Turns that are not answers are calls, an answer is the result of the turn before it.
+TOOL_CALLS = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, 't' || turn AS call_id, coalesce(role, 'unknown') AS name, text
+  FROM conversations WHERE role IS NULL OR role <> 'assistant'),
+results AS (
+  SELECT conv_id, 't' || (turn - 1) AS call_id, count(*) AS n,
+    (list({'place': turn, 'content': text} ORDER BY turn NULLS FIRST, text NULLS FIRST))[1].content AS content
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+known AS (SELECT DISTINCT conv_id, turn FROM calls WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+placed AS (
+  SELECT k.conv_id, k.turn, 0 AS level FROM known k
+  WHERE k.turn < 2 OR NOT EXISTS (SELECT 1 FROM known w WHERE w.conv_id = k.conv_id AND w.turn = k.turn - 2)
+  UNION ALL
+  SELECT k.conv_id, k.turn, p.level + 1 FROM placed p
+  JOIN known k ON k.conv_id = p.conv_id AND k.turn = p.turn + 2 AND k.turn >= 2),
+judged AS (
+  SELECT c.*, p.level,
+    CASE name WHEN 'user' THEN coalesce(length(text) BETWEEN 1 AND 360 AND c.turn >= 0, false)
+      WHEN 'system' THEN coalesce(length(text) >= 1, false) ELSE true END AS valid,
+    '{' || array_to_string(list_filter([
+      '"text":' || to_json(text)::VARCHAR, '"turn":' || c.turn,
+      '"uses":[' || CASE WHEN c.turn >= 2 THEN '"t' || (c.turn - 2) || '"' ELSE '' END || ']'],
+      lambda f: f IS NOT NULL), ',') || '}' AS arguments
+  FROM calls c LEFT JOIN placed p USING (conv_id, turn)),
+whole AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name,
+    c.level::INT AS level, c.valid, r.n IS NOT NULL AND c.name IS NOT NULL AS linked,
+    coalesce(r.n, 0)::BIGINT AS n_results, c.arguments, r.content
+  FROM judged c FULL JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id)
+SELECT conv_id, call_id, name, level, valid, linked, n_results,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || coalesce(to_json(call_id)::VARCHAR, 'null')
+  || ',"level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+  || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"valid":' || coalesce(valid::VARCHAR, 'null')
+  || '}' AS line
+FROM whole
+"""
+
+REPEATS = """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+starts AS (SELECT rid, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS p FROM texts WHERE doc_id IS NOT NULL),
+windows AS (SELECT rid, doc_id, p, md5_number(b[p:p + 49]) AS w FROM starts),
+least_doc AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT rid, p FROM windows JOIN least_doc USING (w) WHERE low < doc_id),
+heads AS (
+  SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 50, true) AS new FROM found),
+numbered AS (SELECT rid, p, sum(new::INT) OVER (PARTITION BY rid ORDER BY p) AS k FROM heads),
+spans AS (SELECT rid, k, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY rid, k),
+gaps AS (
+  SELECT rid, lag(z, 1, 1) OVER (PARTITION BY rid ORDER BY k) AS a, a AS z FROM spans
+  UNION ALL
+  SELECT t.rid, coalesce(max(s.z), 1), any_value(octet_length(t.b)) + 1
+  FROM texts t LEFT JOIN spans s ON s.rid = t.rid GROUP BY t.rid),
+kept AS (
+  SELECT g.rid, string_agg(CASE WHEN g.z > g.a THEN hex(t.b[g.a:g.z - 1]) ELSE '' END, '' ORDER BY g.a, g.z) AS h
+  FROM gaps g JOIN texts t ON t.rid = g.rid GROUP BY g.rid),
+sums AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT t.doc_id, octet_length(t.b)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed,
+  coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts t JOIN kept k ON k.rid = t.rid LEFT JOIN sums s ON s.rid = t.rid
+"""
+
+NEAR_TEXTS = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared h JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * h.n >= 80 * (p.n + q.n - h.n)),
+reach AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT t.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, least(t.doc_id, min(r.other)) AS component_id
+FROM texts t LEFT JOIN sizes z USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY t.doc_id
+"""
+
+_WORDS = f"coalesce(regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+LEAKS = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+pieces AS (
+  SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i
+        FROM texts, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT p.rid, p.k, p.i, v.item_id FROM pieces p JOIN windows v ON v.k = p.k AND v.s = p.s),
+hits AS (
+  SELECT rid, count(DISTINCT word_at) AS n
+  FROM (SELECT rid, unnest(range(i, i + k)) AS word_at FROM (SELECT DISTINCT rid, k, i FROM found)) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hits h USING (rid) LEFT JOIN named m USING (rid)
+"""

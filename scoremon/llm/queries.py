@@ -25,7 +25,7 @@ from scoremon.llm.common import table
 from scoremon.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
-@query("op10_benchmark_decontamination")
+@query("op10_benchmark_decontamination", oracles.LEAKS)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -41,7 +41,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-@query("op9_ngram_jaccard_join")
+@query("op9_ngram_jaccard_join", oracles.NEAR_TEXTS)
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -98,14 +98,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_tool_call_linking")
+@query("op8_tool_call_linking", oracles.TOOL_CALLS)
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(tool_calls.TURN_SCHEMAS, "name string, schema string")
     return tool_calls.linked(calls, results, schemas)
 
 
-@query("op7_suffix_array_dedup")
+@query("op7_suffix_array_dedup", oracles.REPEATS)
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_family.repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
     removed = F.aggregate(
