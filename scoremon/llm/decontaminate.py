@@ -36,11 +36,11 @@ from pyspark.sql.types import (
 from scoremon.llm import kernel
 from scoremon.llm.common import slices
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 SAMPLE_EVERY = 8
 
-SPAN = StructType([StructField("first", IntegerType()), StructField("stop", IntegerType())])
+SPAN = StructType([StructField(n, IntegerType()) for n in ("first", "stop", "start", "end")])
 RESULT = StructType([
     StructField("n_words", LongType()),
     StructField("hit_spans", ArrayType(SPAN)),
@@ -135,7 +135,7 @@ class Phrases:
         data, offsets = kernel.raw(pa.array([t for _, t in items], pa.string()))
         data = kernel.LOWER[data]
         doc, starts, ends = kernel.words(data, offsets, kernel.PUNCTUATION)
-        h = kernel.range_hash(kernel.prefix_sums(data), starts, ends)
+        h = kernel.word_hashes(data, starts, ends)
         vocabulary = np.unique(h)
         symbol = np.searchsorted(vocabulary, h) + 2
         found: dict[tuple[int, ...], set[int]] = {}
@@ -197,7 +197,7 @@ def _pass(phrases: Phrases, names: list[str], first: bool):
             data, offsets = kernel.raw(batch.column(batch.schema.get_field_index("text")))
             data = kernel.LOWER[data]
             doc, starts, ends = kernel.words(data, offsets, kernel.PUNCTUATION)
-            h = kernel.range_hash(kernel.prefix_sums(data), starts, ends)
+            h = kernel.word_hashes(data, starts, ends)
             docs = batch.num_rows
             counts = np.bincount(doc, minlength=docs)
             heads = np.cumsum(counts) - counts
@@ -229,8 +229,12 @@ def _pass(phrases: Phrases, names: list[str], first: bool):
                 if len(s) > 1:
                     x = np.array(s, np.int64)
                     s = kernel.spans_in_order(int(counts[i]), x[:, 0], x[:, 1])
-                merged.append([{"first": a, "stop": b} for a, b in s])
-            span = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
+                head, base = heads[i], offsets[i]
+                merged.append([
+                    {"first": a, "stop": b, "start": starts[head + a] - base, "end": ends[head + b - 1] - base}
+                    for a, b in s
+                ])
+            span = pa.list_(pa.struct([(n, pa.int32()) for n in SPAN.names]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in names]
                 + [
@@ -248,7 +252,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the words of ``text`` that stand in a phrase of ``items``.
 
     ``items`` has ``item_id`` and ``text``.  Adds ``n_words``, ``hit_spans`` (word number
-    ranges, merged) and ``hit_items`` (sorted).
+    ranges, merged, with the bytes from the first word's start to the last one's end) and
+    ``hit_items`` (sorted).
     """
     kept = [n for n in docs.columns if n not in RESULT.names]
     size, n = items.where("item_id IS NOT NULL AND text IS NOT NULL").agg(
@@ -274,44 +279,29 @@ def n_hit(spans: str = "hit_spans") -> F.Column:
     )
 
 
-def _cut(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SHARD_BYTES):
-            column = batch.column(batch.schema.get_field_index("text"))
-            all_spans = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
-            texts = column.to_pylist()
-            for i, spans in enumerate(all_spans):
-                if not spans:
-                    continue
-                data, offsets = kernel.raw(column.slice(i, 1))
-                _, starts, ends = kernel.words(kernel.LOWER[data], offsets, kernel.PUNCTUATION)
-                keep, at = [], 0
-                for s in spans:
-                    keep.append(data[at : starts[s["first"]]].tobytes())
-                    at = int(ends[s["stop"] - 1])
-                keep.append(data[at:].tobytes())
-                texts[i] = b"".join(keep).decode("utf-8")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(texts, pa.string()) if n == "text"
-                    else batch.column(batch.schema.get_field_index(n))
-                    for n in names
-                ],
-                names=names,
-            )
+def _between(text: str, spans: str) -> F.Column:
+    """What stands before, between and after the byte ranges of ``spans``; each byte is copied once."""
 
-    return run
+    def joined(data: F.Column) -> F.Column:
+        before = F.transform(spans, lambda s, i: F.substring(
+            data, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0) + 1,
+            s["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0),
+        ).cast("string"))
+        last = F.element_at(spans, -1)["end"]
+        after = F.substring(data, last + 1, F.octet_length(data) - last).cast("string")
+        return F.array_join(F.concat(before, F.array(after)), "")
+
+    # A lambda variable: the bytes of the text are taken once, not once a span.
+    return F.transform(F.array(F.col(text).cast("binary")), joined)[0]
 
 
 def remove(found: DataFrame) -> DataFrame:
     """Result of ``find`` without its hit words; a text with nothing left but space goes.
 
-    The bytes from the first to the last word of each span are cut out of the text.
+    The bytes from the first to the last word of each span are cut out of the text, by
+    Spark's own functions: a second Arrow function would run a second worker beside ``find``'s.
     """
     kept = [n for n in found.columns if n not in RESULT.names]
-    schema = StructType([f for f in found.schema if f.name in kept] + [
-        StructField("_hit", LongType())
-    ])
-    cut = found.withColumn("_hit", n_hit()).mapInArrow(_cut([*kept, "_hit"]), schema)
-    left = (F.col("_hit") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    return cut.where(left).drop("_hit")
+    text = F.when(F.size("hit_spans") > 0, _between("text", "hit_spans")).otherwise(F.col("text"))
+    left = (n_hit() == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    return found.withColumn("text", text).where(left).select(*kept)
